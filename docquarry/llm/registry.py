@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from docquarry.llm.mixing import op9_mixing
 from docquarry.llm.sharding import op5_sharding
+from docquarry.llm.simhash import op6_simhash
 
 QUERIES = {
     "op5_sharding": op5_sharding,
+    "op6_simhash": op6_simhash,
     "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str | None] = {}
