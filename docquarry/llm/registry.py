@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docquarry.llm.mixing import op9_mixing
+from docquarry.llm.sentencepiece import op10_sentencepiece
 from docquarry.llm.sharding import op5_sharding
 from docquarry.llm.simhash import op6_simhash
 
@@ -10,5 +11,6 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op9_mixing": op9_mixing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str | None] = {}
