@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docquarry.llm.ann import op8_nearest
 from docquarry.llm.mixing import op9_mixing
 from docquarry.llm.sentencepiece import op10_sentencepiece
 from docquarry.llm.sharding import op5_sharding
@@ -10,6 +11,7 @@ from docquarry.llm.simhash import op6_simhash
 QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
 }
