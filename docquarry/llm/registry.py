@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from docquarry.llm.ann import op8_nearest
+from docquarry.llm.licenses import op1_licenses
 from docquarry.llm.mixing import op9_mixing
 from docquarry.llm.sentencepiece import op10_sentencepiece
 from docquarry.llm.sharding import op5_sharding
 from docquarry.llm.simhash import op6_simhash
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op8_nearest": op8_nearest,
