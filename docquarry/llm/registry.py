@@ -8,9 +8,11 @@ from docquarry.llm.mixing import op9_mixing
 from docquarry.llm.sentencepiece import op10_sentencepiece
 from docquarry.llm.sharding import op5_sharding
 from docquarry.llm.simhash import op6_simhash
+from docquarry.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_toxicity": op2_toxicity,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op8_nearest": op8_nearest,
