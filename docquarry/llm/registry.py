@@ -8,6 +8,7 @@ from docquarry.llm.mixing import op9_mixing
 from docquarry.llm.sentencepiece import op10_sentencepiece
 from docquarry.llm.sharding import op5_sharding
 from docquarry.llm.simhash import op6_simhash
+from docquarry.llm.suffixes import op7_repeats
 from docquarry.llm.toxicity import op2_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op7_repeats": op7_repeats,
     "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
