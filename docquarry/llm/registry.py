@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docquarry.llm.ann import op8_nearest
+from docquarry.llm.fingerprints import op4_fingerprints
 from docquarry.llm.licenses import op1_licenses
 from docquarry.llm.mixing import op9_mixing
 from docquarry.llm.sentencepiece import op10_sentencepiece
@@ -14,6 +15,7 @@ from docquarry.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
+    "op4_fingerprints": op4_fingerprints,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_repeats": op7_repeats,
