@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +74,22 @@ def positions(
         out = out.withColumn("before", F.col("_sizes") + F.col("_run") - F.col(size))
         return out.drop("_part", "_rows", "_sizes", "_row", "_run")
     return out.drop("_part", "_rows", "_sizes", "_row", "total")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns, bounds) of rows that come sorted by their first `keys` columns, groups never cut:
+    what a batch leaves open is held for the next. bounds: where groups begin, and the end."""
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if kept is not None:
+            now = [np.concatenate(pair) for pair in zip(kept, now, strict=True)]
+        if not len(now[0]):
+            continue
+        starts = np.flatnonzero(np.any([np.diff(c) != 0 for c in now[:keys]], axis=0)) + 1
+        last = int(starts[-1]) if len(starts) else 0
+        if last:
+            yield [c[:last] for c in now], np.concatenate(([0], starts))
+        kept = [c[last:] for c in now]
+    if kept is not None and len(kept[0]):
+        yield kept, np.array([0, len(kept[0])])

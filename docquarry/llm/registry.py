@@ -6,6 +6,7 @@ from docquarry.llm.ann import op8_nearest
 from docquarry.llm.fingerprints import op4_fingerprints
 from docquarry.llm.licenses import op1_licenses
 from docquarry.llm.mixing import op9_mixing
+from docquarry.llm.passages import op3_passages
 from docquarry.llm.sentencepiece import op10_sentencepiece
 from docquarry.llm.sharding import op5_sharding
 from docquarry.llm.simhash import op6_simhash
@@ -15,6 +16,7 @@ from docquarry.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
+    "op3_passages": op3_passages,
     "op4_fingerprints": op4_fingerprints,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
