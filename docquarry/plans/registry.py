@@ -1,6 +1,30 @@
-"""The library's own queries and their SQL."""
+"""The library's own queries and their SQL, collected from the modules beside this one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query by its function's name, with SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from docquarry.plans import extraction, graphs, joins, operations, processing, ranking, search, streams  # noqa: F401
+
+
+_load()
