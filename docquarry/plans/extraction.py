@@ -1 +1,116 @@
-"""Queries."""
+"""Entities by rules, and their check digits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.catalog import table
+from docquarry.functions import checksums as C
+from docquarry.functions import text as T
+from docquarry.operators import entities as E
+from docquarry.plans.registry import query
+
+#: Public examples of the standards, and the same with one digit changed.
+IDS = [
+    ("iban", "GB82 WEST 1234 5698 7654 32", True), ("iban", "GB82 WEST 1234 5698 7654 33", False), ("iban", "DE89 3704 0044 0532 0130 00", True),
+    ("lei", "5493001KJTIIGC8Y1R12", True), ("lei", "5493001KJTIIGC8Y1R13", False), ("isin", "US0378331005", True), ("isin", "US0378331006", False),
+    ("imo", "9074729", True), ("imo", "9074728", False), ("orcid", "0000-0002-1825-0097", True), ("orcid", "0000-0002-1825-0098", False),
+    ("luhn", "4111 1111 1111 1111", True), ("luhn", "4111 1111 1111 1112", False), ("damm", "5724", True), ("damm", "5725", False), ("mod1110", "07945", True), ("mod1110", "07946", False),
+]
+ID_VALUES = ", ".join(f"('{k}', '{t}', {str(v).lower()})" for k, t, v in IDS)
+
+
+@query(f"select kind, id, ok from (values {ID_VALUES}) v(kind, id, ok)")
+def checksum_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validators on public examples: each accepts the valid and refuses the altered one."""
+    ids = spark.createDataFrame([(k, t) for k, t, _ in IDS], "kind string, id string")
+    tests = {"iban": C.iban, "lei": C.mod_97, "isin": C.isin, "imo": C.imo, "orcid": C.mod_11_2, "luhn": C.luhn, "damm": C.damm, "mod1110": C.mod_11_10}
+    ok = F.lit(None).cast("boolean")
+    for kind, test in tests.items():
+        ok = F.when(F.col("kind") == kind, test(F.col("id"))).otherwise(ok)
+    return ids.select("kind", "id", ok.alias("ok"))
+
+
+@query("""with d as (select p_partkey, list_transform(string_split((p_partkey * 7919 + 10000000)::varchar, ''), lambda x: x::integer) as g from part)
+select p_partkey, list_sum(list_transform(g, lambda x, i: case when (len(g) - i) % 2 = 1 then (case when x * 2 > 9 then x * 2 - 9 else x * 2 end) else x end)) % 10 = 0 as ok from d""")
+def checksum_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", C.luhn((F.col("p_partkey") * 7919 + 10000000).cast("string")).alias("ok"))
+
+
+@query("select p_partkey, (p_partkey * 7919 + 10000000) % 97 = 1 as ok from part")
+def checksum_mod97(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", C.mod_97((F.col("p_partkey") * 7919 + 10000000).cast("string")).alias("ok"))
+
+
+@query("""with d as (select p_partkey, lpad((p_partkey * 977 % 10000000)::varchar, 7, '0') as t from part)
+select p_partkey, (substr(t, 1, 1)::int * 7 + substr(t, 2, 1)::int * 6 + substr(t, 3, 1)::int * 5 + substr(t, 4, 1)::int * 4 + substr(t, 5, 1)::int * 3 + substr(t, 6, 1)::int * 2) % 10 = substr(t, 7, 1)::int as ok from d""")
+def checksum_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.lpad((F.col("p_partkey") * 977 % 10000000).cast("string"), 7, "0")
+    return table(spark, sf_dir, "part").select("p_partkey", C.imo(text).alias("ok"))
+
+
+def only(*rule_ids: str) -> tuple[E.Rule, ...]:
+    return tuple(r for r in E.RULES if r.rule_id in rule_ids)
+
+
+@query(r"""with m as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,24}')) as m from documents)
+select doc_id, regexp_extract(m, '^([^@]*@)', 1) || lower(regexp_extract(m, '@(.*)$', 1)) as value, count(*) as n from m where not contains(m, '..') and instr(m, '@') <= 65 group by 1, 2""")
+def scan_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.scan(table(spark, sf_dir, "documents"), only("email.basic")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
+@query(r"""with m as (select doc_id, unnest(regexp_extract_all(text, '\b[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\b')) as m from documents)
+select doc_id, m as value, count(*) as n from m where len(list_filter(string_split(m, '.'), lambda o: o::int > 255 or regexp_matches(o, '^0[0-9]'))) = 0 group by 1, 2""")
+def scan_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.scan(table(spark, sf_dir, "documents"), only("network.ip")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
+@query(r"""with m as (select doc_id, replace(replace(unnest(regexp_extract_all(text, '\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b')), ' ', ''), '-', '') as m from documents),
+g as (select doc_id, m, list_transform(string_split(m, ''), lambda x: x::integer) as g from m)
+select doc_id, m as value, count(*) as n from g where list_sum(list_transform(g, lambda x, i: case when (len(g) - i) % 2 = 1 then (case when x * 2 > 9 then x * 2 - 9 else x * 2 end) else x end)) % 10 = 0 group by 1, 2""")
+def scan_card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.scan(table(spark, sf_dir, "documents"), only("bank.payment_card")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
+NOTES = [
+    (1, "Pay to GB82 WEST 1234 5698 7654 32 or GB82 WEST 1234 5698 7654 33 by 2024-02-29, not 2023-02-29."), (2, "LEI 5493001KJTIIGC8Y1R12, ISIN US0378331005, vessel IMO 9074729 and IMO 9074728."),
+    (3, "See CVE-2021-44228, doi 10.1000/182 and 0000-0002-1825-0097 from 00:1A:2B:3C:4D:5E."), (4, "Paid USD 1,234.50 and EUR 20 on 2024-01-02, mail Jane.Doe@Example.ORG."), (5, "nothing here"),
+]
+
+
+def notes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(NOTES, "doc_id long, text string")
+
+
+@query("select 1::bigint as doc_id, 'GB82WEST12345698765432' as value")
+def scan_iban_mod97(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.scan(notes(spark), only("bank.iban")).select("doc_id", "value")
+
+
+@query("select * from (values (1::bigint, '2024-02-29'), (4::bigint, '2024-01-02')) v(doc_id, value)")
+def scan_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.scan(notes(spark), only("date.iso8601")).select("doc_id", "value")
+
+
+@query("select * from (values (4::bigint, 'USD:1000-10000'), (4::bigint, 'EUR:10-100')) v(doc_id, bucket)")
+def scan_money_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = E.scan(notes(spark), only("money.iso_code"))
+    amount = F.regexp_extract("value", "([0-9.]+)$", 1).cast("decimal(18,2)")
+    return hits.select("doc_id", T.money_bucket(amount, F.substring("value", 1, 3)).alias("bucket"))
+
+
+@query("""select * from (values ('bank_account', 'GB82WEST12345698765432', 1::bigint), ('company_id', '5493001KJTIIGC8Y1R12', 1), ('security', 'US0378331005', 1), ('vessel', 'IMO 9074729', 1),
+('vulnerability', 'CVE-2021-44228', 1), ('publication', '10.1000/182', 1), ('publication', '0000-0002-1825-0097', 1), ('device', '00:1a:2b:3c:4d:5e', 1), ('money', 'USD1234.50', 1), ('money', 'EUR20', 1),
+('email', 'Jane.Doe@example.org', 1), ('date', '2024-02-29', 1), ('date', '2024-01-02', 1)) v(kind, value, n)""")
+def scan_all_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.summarise(E.resolve(E.scan(notes(spark)))).select("kind", "value", "n")
+
+
+SPANS = [(1, "a", 1, 5, 50), (1, "b", 3, 9, 90), (1, "c", 9, 12, 10), (2, "a", 1, 4, 50), (2, "b", 2, 4, 50), (2, "c", 6, 8, 50)]
+
+
+@query("select * from (values (1::bigint, 'b'), (1::bigint, 'c'), (2::bigint, 'a'), (2::bigint, 'c')) v(doc_id, rule_id)")
+def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = spark.createDataFrame(SPANS, 'doc_id long, rule_id string, at int, end int, precedence int')
+    return E.resolve(spans).select("doc_id", "rule_id")

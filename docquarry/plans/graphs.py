@@ -1 +1,125 @@
-"""Queries."""
+"""Threads of messages, and trees of paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docquarry.catalog import table
+from docquarry.functions import text as T
+from docquarry.functions import types
+from docquarry.operators import graph as G
+from docquarry.plans.registry import query
+
+MAIL = [
+    (1, "<a@x>", "", "Budget plan", 1000, "ann,bob"), (2, "<b@x>", "<a@x>", "Re: Budget plan", 2000, "bob,ann"), (3, "<a@x>", "", "Budget plan", 1000, "ann,bob"),
+    (4, "<d@x>", "<zz@x> <b@x>", "AW: Budget plan", 3000, "cyd"), (5, "<e@x>", "", "Other", 500, "eve"), (6, "<f@x>", "", "Re: Other", 900, "eve,ann"), (7, "<g@x>", "", "Hi", 100, "ann"), (8, "<h@x>", "", "Re: Hi", 200, "ann"),
+]
+
+
+def mail(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(MAIL, "id long, message string, refs string, subject string, at long, people string")
+    return rows.select("id", T.normalise_message_id(F.col("message")).alias("message"), T.split_message_ids(F.col("refs")).alias("refs"), T.normalise_subject(F.col("subject")).alias("subject"), "at", F.split("people", ",").alias("people"))
+
+
+def mail_edges(spark: SparkSession) -> DataFrame:
+    nodes = mail(spark)
+    return (
+        G.star_edges(nodes, "id", ["message"], "identity").unionByName(G.parent_edges(nodes, "id", "message", F.col("refs"), "reply"))
+        .unionByName(G.follow_edges(nodes, "id", "subject", "at", "people", 90 * 86400)).dropDuplicates(["src", "dst", "kind"])
+    )
+
+
+@query("select * from (values (3::bigint, 1::bigint, 'identity'), (2, 1, 'reply'), (2, 3, 'reply'), (4, 2, 'reply'), (2, 3, 'inferred'), (6, 5, 'inferred')) v(src, dst, kind)")
+def graph_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mail_edges(spark)
+
+
+@query("""select doc_id as src, hub as dst, 'identity' as kind from (select doc_id, min(doc_id) over (partition by md5(text)) as hub from documents) where doc_id <> hub""")
+def graph_identity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    return G.star_edges(docs, "doc_id", ["h"], "identity")
+
+
+@query("""with m as (select conv_id * 1000 + turn as id, role as subject, turn as t1 from conversations),
+l as (select id, t1, lag(id) over w as dst, lag(t1) over w as t0 from m window w as (partition by subject order by t1, id)) select id as src, dst, 'inferred' as kind from l where t1 > t0 and t1 - t0 <= 90""")
+def graph_inferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("subject"), F.col("turn").alias("at"), F.array(F.lit("all")).alias("people"))
+    return G.follow_edges(nodes, "id", "subject", "at", "people", 90)
+
+
+PAIRS = "select user_id as src, ((user_id * 7) % 150)::bigint as dst from events where user_id % 3 = 0 and user_id <> (user_id * 7) % 150"
+
+
+@query(f"""with recursive e as (select distinct src, dst from ({PAIRS})), b as (select src, dst from e union select dst, src from e),
+r(node, other) as (select src, dst from b union select r.node, b.dst from r join b on r.other = b.src)
+select node, least(node, min(other)) as component from r group by node""")
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("src"), (F.col("user_id") * 7 % 150).alias("dst")).where("src <> dst").distinct()
+    return G.components(users)
+
+
+@query(f"""with recursive e as (select distinct src, dst from ({PAIRS})), b as (select src, dst from e union select dst, src from e),
+r(node, hops) as (select 3::bigint, 0 union select b.dst, r.hops + 1 from r join b on r.node = b.src where r.hops < 3)
+select node, min(hops) as hops from r group by node order by hops, node limit 50""")
+def graph_ego_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("src"), (F.col("user_id") * 7 % 150).alias("dst")).where("src <> dst").distinct()
+    return G.ego(users, 3)
+
+
+URL_PATHS = """p as (select page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z]+://', ''), '[?#].*$', ''), '/+$', '') as u from pages),
+parts as (select page_id, list_filter(string_split(u, '/'), lambda x: x <> '') as g from p), path as (select page_id, '/' || array_to_string(g, '/') as path, g from parts)"""
+
+
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-zA-Z]+://", ""), "[?#].*$", "")
+    return table(spark, sf_dir, "pages").select("page_id", types.normalise_path(bare).alias("path"))
+
+
+@query(f"""with {URL_PATHS}, n as (select path as node, 'file' as kind, page_id from path union all
+select case when i = 0 then '/' else '/' || array_to_string(g[1:i], '/') end, 'folder', page_id from path, unnest(range(len(g))) t(i))
+select node, min(kind) as kind, count(distinct page_id) as pages from n group by 1""")
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paths and the folders above them; what is a file anywhere stays one."""
+    paths = url_paths(spark, sf_dir)
+    files = paths.select(F.col("path").alias("node"), F.lit("file").alias("kind"), "page_id")
+    folders = paths.select(F.explode(types.ancestors(F.col("path"))).alias("node"), F.lit("folder").alias("kind"), "page_id")
+    return files.unionByName(folders).groupBy("node").agg(F.min("kind").alias("kind"), F.countDistinct("page_id").alias("pages"))
+
+
+CONTAINERS = [(1, 2), (2, 3), (3, 1), (4, 2), (4, 5), (5, 6)]
+CONTAINER_VALUES = ", ".join(f"({a}::bigint, {b}::bigint)" for a, b in CONTAINERS)
+
+
+@query(f"""with recursive p(node, parent) as (values {CONTAINER_VALUES}), up(node, ancestor, hops) as (select node, parent, 1 from p
+union select u.node, p.parent, u.hops + 1 from up u join p on u.ancestor = p.node where u.hops < 12 and p.parent <> u.node) select node, ancestor, min(hops) as hops from up group by 1, 2""")
+def tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers within containers, with two parents and a cycle."""
+    return G.closure(spark.createDataFrame(CONTAINERS, "node long, parent long"), 12)
+
+
+@query(f"""with {URL_PATHS} select page_id, '/' || coalesce(' > ' || array_to_string(list_transform(range(1, len(g)), lambda i: '/' || array_to_string(g[1:i], '/')), ' > '), '') as crumbs from path where len(g) > 1""")
+def tree_breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = types.ancestors(F.col("path"))
+    return url_paths(spark, sf_dir).select("page_id", F.array_join(up, " > ").alias("crumbs"), F.size(up).alias("n")).where("n > 1").drop("n")
+
+
+@query(f"""with {URL_PATHS}, n as (select distinct case when len(g) = 1 then '/' else '/' || array_to_string(g[1:len(g) - 1], '/') end as parent, path from path)
+select parent, count(*) as children, min(path) as first_child from n group by 1""")
+def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parent = F.element_at(types.ancestors(F.col("path")), -1)
+    return url_paths(spark, sf_dir).select("path").distinct().where("path <> '/'").groupBy(parent.alias("parent")).agg(F.count("*").alias("children"), F.min("path").alias("first_child"))
+
+
+@query("""select conv_id, turn, case when role = 'assistant' and r > 2 then '[earlier result]' else text end as text from
+(select *, row_number() over (partition by conv_id, role order by turn desc) as r from conversations)""")
+def compaction_keep_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two results of a conversation stay, earlier ones become a placeholder."""
+    turns = table(spark, sf_dir, "conversations").withColumn("r", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy(F.desc("turn"))))
+    return turns.select("conv_id", "turn", F.when((F.col("role") == "assistant") & (F.col("r") > 2), "[earlier result]").otherwise(F.col("text")).alias("text"))
+
+
+@query("""select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r = 1""")
+def transcript_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of a transcript by its sequence number."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))

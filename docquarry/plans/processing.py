@@ -1 +1,277 @@
-"""Queries."""
+"""Ingest and parsing: deduplication, types, tables, text quality, pages and chunks, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.catalog import table
+from docquarry.functions import text as T
+from docquarry.functions import types as types
+from docquarry.operators import chunking, packing
+from docquarry.operators import tables as tab
+from docquarry.plans.registry import query
+
+
+@query("select sha256(text) as blob_hash, source, count(*) as copies, min(doc_id) as first_id, max(strlen(text))::bigint as size from documents group by 1, 2")
+def blob_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents by hash within a dataset."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy(F.sha2("text", 256).alias("blob_hash"), "source").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max(F.octet_length("text")).cast("long").alias("size")
+    )
+
+
+@query("select doc_id, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256 from documents")
+def blob_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+select md5(line) as line_hash, count(*) as places, count(distinct doc_id) as docs from l where length(line) > 20 group by 1 having count(*) > 1""")
+def near_line_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 20")
+    return lines.groupBy(F.md5("line").alias("line_hash")).agg(F.count("*").alias("places"), F.countDistinct("doc_id").alias("docs")).where("places > 1")
+
+
+MIMES = ["text/plain", "text/csv", "application/pdf", "image/png", "message/rfc822", "application/zip", "video/mp4", "audio/mpeg", "application/vnd.ms-excel", "text/html", "application/x-unknown"]
+
+
+@query(f"""select m, case when m in ('message/rfc822', 'application/mbox', 'application/vnd.ms-outlook') then 'email'
+when m in ('text/csv', 'text/tab-separated-values', 'application/vnd.ms-excel', 'application/vnd.oasis.opendocument.spreadsheet') or contains(m, 'spreadsheetml') then 'table'
+when m in ('application/zip', 'application/x-tar', 'application/gzip', 'application/x-7z-compressed', 'application/vnd.rar') then 'archive'
+when m = 'application/pdf' then 'pdf' when m = 'text/html' then 'html' when starts_with(m, 'text/') then 'text' when starts_with(m, 'image/') then 'image'
+when starts_with(m, 'video/') then 'video' when starts_with(m, 'audio/') then 'audio' else 'other' end as kind from (values {", ".join(f"('{m}')" for m in MIMES)}) t(m)""")
+def mime_coarse_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(m,) for m in MIMES], "m string").select("m", types.coarse_type(F.col("m")).alias("kind"))
+
+
+SHEETS = [(1, "a,b,c\n1,2,3\n4,5,6\n7,8,9\n0,0,0"), (2, "a;b\n1;2\n3;4\n5;6\n7;8"), (3, "just words\nand, more\nlines here\nof prose\nend"), (4, "x\ty\tz\n1\t2\t3\n1\t2\t3\n1\t2\t3\n1\t2\t3"), (5, "a,b\n1,2")]
+
+
+@query(f"""with s(id, body) as (values {", ".join(f"({i}, '{b}')" for i, b in SHEETS)}), d(sep, pri) as (values (',', 4), (chr(9), 3), (';', 2), ('|', 1)),
+c as (select id, sep, pri, list_transform(string_split(body, chr(10)), lambda l: len(string_split(l, sep))) as n from s, d),
+ok as (select id, sep, n[1] as fields, len(n) as lines, row_number() over (partition by id order by n[1] desc, pri desc) as r from c where len(n) >= 5 and n[1] > 1 and len(list_distinct(n)) = 1)
+select id, sep, fields::integer as fields, lines::integer as lines from ok where r = 1""")
+def sniff_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimiter of rectangular tables of five lines or more; the most fields win."""
+    bodies = spark.createDataFrame([(i, b.replace("\\n", "\n").replace("\\t", "\t")) for i, b in SHEETS], "id int, body string")
+    return bodies.select("id", types.sniff_table(F.col("body")).alias("t")).where("t is not null").select("id", "t.sep", "t.fields", "t.lines")
+
+
+CELLS = ["1", "007", "-5", "3.14", "1e5", "2024-02-29", "2023-02-29", "2024-01-01 10:00", "true", "9223372036854775807", "9223372036854775808", "0", "-0.5", "abc", ".5"]
+
+
+@query(f"""select t, case when regexp_matches(t, '^-?(0|[1-9][0-9]{{0,18}})$') and try_cast(t as bigint) is not null then 'int' when regexp_matches(t, '^-?[0-9]+\\.[0-9]+$') then 'float'
+when regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}})?)?$') and try_cast(substr(t, 1, 10) as date) is not null then 'date' else 'text' end as kind
+from (values {", ".join(f"('{c}')" for c in CELLS)}) v(t)""")
+def cell_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in CELLS], "t string").select("t", tab.cell_kind(F.col("t")).alias("kind"))
+
+
+PART_COLUMNS = ["p_name", "p_brand", "p_type", "p_size"]
+PART_CELLS = " union all ".join(f"select p_partkey as row_id, {i} as column_id, {c}::varchar as cell_text from part" for i, c in enumerate(PART_COLUMNS, 1))
+
+
+def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tab.unpivot(table(spark, sf_dir, "part"), "p_partkey", PART_COLUMNS)
+
+
+@query(f"""with c as ({PART_CELLS}) select column_id, count(*) as non_empty, count(distinct cell_text) as distinct_cells, min(try_cast(cell_text as double)) as min_number,
+max(try_cast(cell_text as double)) as max_number, min(cell_text) as min_text, max(cell_text) as max_text from c group by 1""")
+def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tab.column_stats(part_cells(spark, sf_dir))
+
+
+@query(f"""with c as (select column_id, case when regexp_matches(cell_text, '^-?(0|[1-9][0-9]*)$') then 'int' else 'text' end as kind from ({PART_CELLS})),
+n as (select column_id, kind, count(*) as n from c group by 1, 2), r as (select *, row_number() over (partition by column_id order by n desc) as r, count(*) over (partition by column_id, n) as ties from n)
+select column_id, case when ties > 1 then 'text' else kind end as kind from r where r = 1""")
+def column_majority_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tab.majority_kind(part_cells(spark, sf_dir).withColumn("kind", tab.cell_kind(F.col("cell_text"))))
+
+
+@query("select p_brand as value, count(*) as n from part where contains(lower(p_brand), 'brand#1') group by 1 order by 2 desc, 1 limit 200")
+def column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = part_cells(spark, sf_dir).where("column_id = 2").where(F.contains(F.lower("cell_text"), F.lit("brand#1")))
+    return cells.groupBy(F.col("cell_text").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(200)
+
+
+@query("select (row_number() over (order by p_size desc, p_partkey))::bigint as position, p_partkey as row_id, p_name as c1, p_size::varchar as c4 from part order by p_size desc, p_partkey limit 30 offset 10")
+def grid_page_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tab.grid_page(part_cells(spark, sf_dir), 4, [1, 4], 10, 30, descending=True)
+
+
+@query("""select p_partkey as row_id from part where p_size between 10 and 20 and starts_with(lower(p_type), 'promo') and contains(lower(p_name), 'a')
+and p_partkey not in (select p_partkey from part where p_brand = 'Brand#11')""")
+def table_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters of several columns as semi- and anti-joins of row ids."""
+    cells = part_cells(spark, sf_dir)
+    text = F.lower("cell_text")
+    size = tab.matching_rows(cells, 4, F.col("cell_text").try_cast("double").between(10, 20))
+    for also in (tab.matching_rows(cells, 3, F.startswith(text, F.lit("promo"))), tab.matching_rows(cells, 1, F.contains(text, F.lit("a")))):
+        size = size.join(also, "row_id", "left_semi")
+    return size.join(tab.matching_rows(cells, 2, F.col("cell_text") == "Brand#11"), "row_id", "left_anti")
+
+
+@query("select i, case when i <= 26 then chr(64 + i) else chr(64 + (i - 1) // 26) || chr(65 + (i - 1) % 26) end as letters from (select unnest(range(1, 300))::integer as i)")
+def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1, 300).select(F.col("id").cast("int").alias("i"), tab.column_letter(F.col("id")).alias("letters"))
+
+
+@query("select s, (timestamp '1899-12-30' + to_days((case when s < 60 then s + 1 else s end)::integer)) as at from (select unnest([1, 59, 61, 367, 44197, 45000])::integer as s)")
+def excel_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = spark.createDataFrame([(s,) for s in (1, 59, 61, 367, 44197, 45000)], "s int")
+    return days.select("s", tab.excel_serial(F.col("s")).cast("timestamp_ntz").alias("at"))
+
+
+NOISE = [(1, "QUJD" * 40), (2, "a b c d e f g h i j " * 8), (3, " ".join(str(i) for i in range(100, 140))), (4, "#$%& ** ++ -- ~~ " * 10), (5, "plain words in a row that make a fair sentence " * 4), (6, "short")]
+
+
+@query(f"""select id, case when length(t) < 120 then null when list_sum(list_transform(regexp_extract_all(t, '[A-Za-z0-9+/=]{{40,}}'), lambda x: length(x))) > 0.3 * length(t) then 'encoded'
+when len(list_filter(w, lambda x: length(x) = 1)) > 0.55 * len(w) then 'single_chars' when len(w) >= 30 and len(list_filter(w, lambda x: regexp_matches(x, '^[0-9.,:%-]+$'))) > 0.8 * len(w) then 'numeric'
+when length(regexp_replace(t, '[^A-Za-zÀ-ÿ]', '', 'g')) < 0.2 * length(t) then 'few_letters' end as reason
+from (select id, t, list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') as w from
+(select doc_id::integer as id, text as t from documents union all select * from (values {", ".join(f"({-i}, '{t}')" for i, t in NOISE)}) v(id, t)))""")
+def text_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("id"), F.col("text").alias("t"))
+    texts = texts.unionByName(spark.createDataFrame([(-i, t) for i, t in NOISE], "id int, t string"))
+    return texts.select("id", T.non_linguistic_reason(F.col("t")).alias("reason"))
+
+
+@query("select doc_id, strlen(text)::bigint as bytes, md5(text) as digest from documents where text <> ''")
+def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of at most 4096 bytes, put together again."""
+    parts = chunking.cut_texts(table(spark, sf_dir, "documents"), chunking.page_bounds, most=4096)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "")
+    return parts.groupBy("doc_id").agg(F.max("end").alias("bytes"), F.md5(whole).alias("digest"))
+
+
+@query("select doc_id, 0::bigint as first_byte, strlen(text)::bigint as last_byte, true as covered, true as bounded from documents where text <> ''")
+def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks cover each text without a gap, none over 1200 bytes."""
+    from pyspark.sql import Window
+
+    parts = chunking.cut_texts(table(spark, sf_dir, "documents"), chunking.chunk_bounds)
+    last = F.lag("end", 1, 0).over(Window.partitionBy("doc_id").orderBy("part"))
+    return parts.withColumn("ok", F.col("start") <= last).groupBy("doc_id").agg(
+        F.min("start").alias("first_byte"), F.max("end").alias("last_byte"), F.bool_and("ok").alias("covered"), (F.max(F.col("end") - F.col("start")) <= 1200).alias("bounded")
+    )
+
+
+SUBJECTS = ["Re: Fwd:  Budget   2024", "AW: Re[2]: Hello", "no prefix", "  RE :  spaced", "Fw: Re: x", "Regarding: y", ""]
+
+
+@query(f"""select s, trim(regexp_replace(regexp_replace(lower(s), '^(?:\\s*(?:re|fw|fwd|aw|wg|sv|vs|antw|tr|rv)\\s*(?:\\[\\d+\\])?\\s*:)+\\s*', ''), '\\s+', ' ', 'g')) as norm,
+case when regexp_extract(lower(s), '^\\s*([a-z]+)\\s*(?:\\[\\d+\\])?\\s*:', 1) in ('fw', 'fwd', 'wg', 'vs', 'tr', 'rv') then 'forward'
+when regexp_extract(lower(s), '^\\s*([a-z]+)\\s*(?:\\[\\d+\\])?\\s*:', 1) in ('re', 'aw', 'sv', 'antw') then 'reply' else 'none' end as kind from (values {", ".join(f"('{s}')" for s in SUBJECTS)}) v(s)""")
+def subject_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in SUBJECTS], "s string").select("s", T.normalise_subject(F.col("s")).alias("norm"), T.subject_prefix_kind(F.col("s")).alias("kind"))
+
+
+@query("""with a as (select page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') as u from pages),
+b as (select page_id, regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^(?:www|m)\\.', '') as host, regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda p: p <> '' and regexp_extract(p, '^([^=]*)', 1) not in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref'))) as q from a)
+select page_id, host || path || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as url from b""")
+def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.normalise_url(F.col("url")).alias("url"))
+
+
+@query("""select page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) as digest from pages""")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("digest"))
+
+
+@query("select event_id, (props->>'k')::integer as k from events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+PACKED = """with w as (select source, doc_id, strlen(text) as size, greatest(ceil(strlen(text) * 1000000::bigint / {bytes}::double), {rows})::bigint as worth from documents)
+select source, doc_id, (coalesce(sum(worth) over (partition by source order by {order} rows between unbounded preceding and 1 preceding), 0) // 1000000)::bigint as unit from w"""
+
+
+@query(PACKED.format(bytes=40000, rows=-(-1_000_000 // 20), order="size, doc_id"))
+def plan_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work units by size ascending, of 20 items or 40 kB."""
+    docs = table(spark, sf_dir, "documents").withColumn("size", F.octet_length("text"))
+    return packing.pack(docs, "source", ["size", "doc_id"], F.col("size"), 40000, 20).select("source", "doc_id", "unit")
+
+
+@query(PACKED.format(bytes=100000, rows=-(-1_000_000 // 25), order="md5(doc_id::varchar), doc_id"))
+def shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by hash, of 25 rows or 100 kB."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, "source", [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], F.octet_length("text"), 100000, 25).select("source", "doc_id", "unit")
+
+
+EVIDENCE = [(1, "application/pdf", "text/plain", 0), (2, "application/zip", "", 3), (3, "application/zip", "", 0), (4, "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/zip", 5), (5, "text/plain", "message/rfc822", 0), (6, "", "", 0), (7, "text/plain", "text/csv", 0)]
+
+
+@query("""select * from (values (1, 'pdf', 'content'), (2, 'archive', 'members'), (3, 'other', 'none'), (4, 'office', 'zip document'), (5, 'email', 'content'), (6, 'other', 'none'), (7, 'table', 'content')) v(id, kind, decided_by)""")
+def canonical_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One type of each file from what its detectors and parsers found."""
+    files = spark.createDataFrame(EVIDENCE, "id int, a string, b string, members int")
+    found = types.canonical_type(F.filter(F.array("a", "b"), lambda m: m != ""), F.col("members"))
+    return files.select("id", found.alias("t")).select("id", "t.kind", "t.decided_by")
+
+
+ENTITIES = [("person", "John Smith"), ("person", "re"), ("org", "12345"), ("org", "ACME Ltd"), ("loc", "x"), ("org", "aGVsbG8gd29ybGQgYmFzZTY0"), ("person", "From: Jane"), ("misc", "----"), ("person", "")]
+
+
+@query(f"""select kind, value, (length(trim(value)) < 2 or not regexp_matches(value, '[A-Za-zÀ-ÿ]') or lower(trim(value)) in ('re', 'fw', 'fwd', 'cc', 'bcc', 'to', 'from', 'subject', 'date', 'sent')
+or regexp_matches(lower(value), '^(from|to|cc|subject|sent|date)\\s*:') or (not contains(value, ' ') and length(value) >= 16 and len(regexp_extract_all(value, '[a-z][A-Z]|[A-Z][a-z]')) >= 5)) as stopped
+from (values {", ".join(f"('{k}', '{v}')" for k, v in ENTITIES)}) t(kind, value)""")
+def stoplist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(ENTITIES, "kind string, value string").select("kind", "value", types.is_stopped_entity(F.col("value")).alias("stopped"))
+
+
+@query("""with b as (select item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as q from benchmark), d as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from documents)
+select item_id, count(*) as docs, min(doc_id) as first_doc from b join d on length(q) >= 12 and contains(t, q) group by 1""")
+def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents quote whole: an equi-join on five words, then the exact test."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), T.quote_form(F.col("text")).alias("q"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), T.quote_form(F.col("text")).alias("t"))
+    # The quote's second to sixth word are whole words of the text; its first may follow other letters.
+    words = lambda c: F.split(c, " ")
+    key = F.xxhash64(F.array_join(F.slice(words(F.col("q")), 2, 5), " "))
+    keyed = docs.withColumn("w", words(F.col("t"))).select("doc_id", "body", F.explode(F.array_distinct(F.transform("w", lambda _, i: F.xxhash64(F.array_join(F.slice("w", i + 1, 5), " "))))).alias("key"))
+    hits = keyed.join(items.withColumn("key", key), "key").where(T.quote_occurs(F.col("quote"), F.col("body")))
+    return hits.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query("""select doc_id, case when h.id is null then 'new' when h.size <> d.n_chars then 'changed' when h.mtime = 1 then 'unchanged' else 'rehash' end as state
+from documents d left join (select doc_id as id, case when doc_id % 7 = 0 then n_chars + 1 else n_chars end as size, doc_id % 2 as mtime from documents where doc_id % 5 <> 0) h on h.id = d.doc_id""")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files against what is known of their paths: size differs, or only the time moved."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    size = F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    known = docs.where("doc_id % 5 <> 0").select("doc_id", size.alias("size"), (F.col("doc_id") % 2).alias("mtime"))
+    state = F.when(F.col("size").isNull(), "new").when(F.col("size") != F.col("n_chars"), "changed").when(F.col("mtime") == 1, "unchanged").otherwise("rehash")
+    return docs.join(known, "doc_id", "left").select("doc_id", state.alias("state"))
+
+
+@query("""select user_id, 1 as tombstone from events group by 1 having max(ts) < timestamp '2024-01-29 20:00:00'""")
+def reconcile_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths not seen since the scan began get a tombstone row."""
+    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("at"))
+    return seen.where(F.col("at") < F.lit("2024-01-29 20:00:00").cast("timestamp_ntz")).select("user_id", F.lit(1).alias("tombstone"))
+
+
+DATES = [(1, "2020-05-06T07:08:09Z"), (2, "D:20191231235959Z"), (3, "2021-03-04"), (4, "1700-01-01"), (5, "soon"), (6, "2020-05-06T07:08:09+02:00")]
+
+
+@query("""select * from (values (1, 1588748889::bigint), (2, 1577836799::bigint), (3, 1614816000::bigint), (6, 1588741689::bigint)) v(id, at_s)""")
+def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in several notations as seconds, those of a sane range only."""
+    raw = spark.createDataFrame(DATES, "id int, raw string")
+    return raw.select("id", types.parse_date(F.col("raw")).alias("at_s")).where(types.sane_date(F.col("at_s"), F.lit("2024-01-01").cast("timestamp")))
+
+
+PATHS = ["/a/b/c.txt", "a//b/", "/", "x"]
+
+
+@query("""select * from (values ('/a/b/c.txt', '/a/b/c.txt', '/,/a,/a/b', 'c.txt'), ('a//b/', '/a/b', '/,/a', 'b'), ('/', '/', '', ''), ('x', '/x', '/', 'x')) v(raw, path, ancestors, name)""")
+def path_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.createDataFrame([(p,) for p in PATHS], "raw string").withColumn("path", types.normalise_path(F.col("raw")))
+    return raw.select("raw", "path", F.array_join(types.ancestors(F.col("path")), ",").alias("ancestors"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
