@@ -151,7 +151,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, most: int = 3) -> DataFram
         ),
         "fingerprints",
     )
-    classes = fp.select("fp").distinct()
+    classes = materialize(spark, fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     keys = []
     for t, chosen in enumerate(combinations(BLOCKS, 3)):
         mask = sum(((1 << n) - 1) << at for at, n in chosen)
@@ -161,9 +161,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, most: int = 3) -> DataFram
         buckets.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_links(most), "a long, b long").distinct()
     )
     labels = components(spark, links, "simhash-links")
-    named = fp.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
-    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "group").select("doc_id", "text_hash", "fp", "component_id", "group")
+    # Groups are settled among classes; the written tables let the joins split a class or group of very many rows.
+    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    least = materialize(spark, named.groupBy("group").agg(F.min("least").alias("component_id")), "simhash-groups")
+    settled = materialize(spark, named.join(least, "group").select("fp", "group", "component_id"), "simhash-classes")
+    return fp.join(settled, "fp").select("doc_id", "text_hash", "fp", "component_id", "group")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, most: int = 3) -> DataFrame:
