@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize, table, text_hash
+from docquarry.llm.common import NO_ID, materialize, packed, table, text_hash, unpacked
 from docquarry.llm.components import components
 
 BITS = 64
@@ -172,19 +172,18 @@ def keep_one(spark: SparkSession, docs: DataFrame, most: int = 3) -> DataFrame:
     """The documents without near copies: one of each group stays, with all its columns.
 
     It is the one with the least doc_id (null last), then the least text_hash; of rows that repeat
-    both, the first by source and lang.
+    both, the one of least hash over all columns.
     """
     last = F.lit(2**63 - 1)
     kept = (
         near_groups(spark, docs, most)
         .groupBy("group")
-        .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("text_hash").alias("_hash"))).alias("k"))
-        .select("k.*")
+        .agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), F.col("text_hash").alias("_hash"))).alias("k"))
+        .select(F.when(F.col("k._id") == last, NO_ID).otherwise(F.col("k._id")).alias("_id"), "k._hash")
     )
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", last), "_hash": text_hash()})
-    one = Window.partitionBy("_id", "_hash").orderBy("source", "lang")
-    found = keyed.join(kept, ["_id", "_hash"], "left_semi").withColumn("_row", F.row_number().over(one))
-    return found.where("_row = 1").select(*docs.columns)
+    one = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("doc"))
+    found = packed(docs).join(kept, ["_id", "_hash"], "left_semi").withColumn("_row", F.row_number().over(one))
+    return unpacked(found.where("_row = 1"), docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize, table, text_hash
+from docquarry.llm.common import materialize, packed, table, text_hash
 
 #: Bytes of an initial q-gram, and of a window, and offsets of a band of windows.
 Q, LENGTH, BAND = 32, 200, 42
@@ -302,16 +302,16 @@ def keep_rest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A character that is cut apart goes whole; a null text becomes empty.
     """
-    texts = keyed(docs)
-    runs = repeated_runs(spark, texts)
+    runs = repeated_runs(spark, keyed(docs))
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    whole = keyed(docs, *others).join(runs, ["_id", "_hash"], "left").select(*others, "text", "runs")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others) + ", text string"
-    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
-    out = whole.mapInArrow(_rest, schema)
-    if kind is not None:
-        out = out.withColumn("n_chars", F.length("text").cast(kind))
-    return out.select(*docs.columns)
+    rest = F.struct(*[F.col(f"doc.`{c}`") for c in others])
+    text = F.coalesce(F.col("doc.text"), F.lit("")).cast("binary")
+    whole = packed(docs).join(runs, ["_id", "_hash"], "left").select(rest.alias("rest"), text.alias("text"), "runs")
+    out = whole.mapInArrow(_rest, f"rest {whole.schema['rest'].dataType.simpleString()}, text string")
+    columns = {c: F.col("rest").getField(c) for c in others} | {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
