@@ -110,10 +110,10 @@ def asof_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("signup_id", last).where("event_type = 'purchase'").select("event_id", "signup_id")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey from lineitem where (l_orderkey, l_linenumber) > (500, 2) order by l_orderkey, l_linenumber limit 50")
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem where (l_orderkey, l_linenumber) > (500, 2) order by l_orderkey, l_linenumber, l_partkey limit 50")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.struct("l_orderkey", "l_linenumber") > F.struct(F.lit(500).cast("long"), F.lit(2))
-    return table(spark, sf_dir, "lineitem").where(after).select("l_orderkey", "l_linenumber", "l_partkey").orderBy("l_orderkey", "l_linenumber").limit(50)
+    return table(spark, sf_dir, "lineitem").where(after).select("l_orderkey", "l_linenumber", "l_partkey").orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(50)
 
 
 @query("""select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer join orders on c_custkey = o_custkey
