@@ -116,3 +116,52 @@ def snap_to_day(seconds: Column) -> Column:
 
 def size_bucket(size: Column) -> Column:
     return F.when(size < 1000, "0-1k").when(size < 5000, "1k-5k").when(size < 20000, "5k-20k").otherwise("20k+")
+
+
+def slug(name: Column, most: int = 48) -> Column:
+    """Lower case, runs of anything but a-z and 0-9 as one underscore, none at the ends."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, most)
+
+
+def unwrap_redirect(url: Column) -> Column:
+    """The target in a redirect's url=, u= or q= parameter, decoded; else the URL itself."""
+    inner = F.regexp_extract(url, r"[?&](?:url|u|q)=(https?(?:://|%3A%2F%2F)[^&#]*)", 1)
+    return F.when(inner != "", F.url_decode(inner)).otherwise(url)
+
+
+def display_url(url: Column) -> Column:
+    """Host, then the path's parts."""
+    bare = F.regexp_replace(F.regexp_replace(url, "^[a-zA-Z]+://(?:www[.])?", ""), "[?#].*$", "")
+    return F.replace(F.regexp_replace(bare, "/+$", ""), F.lit("/"), F.lit(" > "))
+
+
+def truncate_words(text: Column, most: int) -> Column:
+    """At most that many characters, cut after a whole word where there is one."""
+    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*\z", ""))
+
+
+def term_id(field: Column, value: Column) -> Column:
+    """An id below 2^60 from the term itself, so that no dictionary need be asked."""
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", field, value)), 1, 15), 16, 10).cast("long")
+
+
+def variant_key(engine: Column, languages: Column) -> Column:
+    return F.concat(F.lit("ocr:"), engine, F.lit(":"), F.array_join(F.array_sort(languages), "+"))
+
+
+def parse_variant_key(key: Column) -> Column:
+    """(engine, languages) of an OCR variant's key; nulls for other variants."""
+    ok = key.rlike("^ocr:[^:]+:[^:]+$")
+    part = lambda i: F.when(ok, F.regexp_extract(key, "^ocr:([^:]+):([^:]+)$", i))
+    return F.struct(part(1).alias("engine"), F.split(part(2), "[+]").alias("languages"))
+
+
+def first_header(pairs: Column, name: str) -> Column:
+    """The first value of a header in a JSON list of [name, value] pairs, whatever its case."""
+    parsed = F.from_json(pairs, "array<array<string>>")
+    return F.get(F.filter(parsed, lambda p: F.lower(F.get(p, F.lit(0))) == name.lower()), F.lit(0))[1]
+
+
+def embedding_input(text: Column, kind: str) -> Column:
+    """Text as an embedding model wants it: query or passage."""
+    return F.concat(F.lit(f"{kind}: "), collapse(text))
