@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize, packed, table, text_hash
+from docquarry.llm.common import NO_ID, materialize, table, text_hash, whole_groups
 
-#: Bytes of an initial q-gram, and of a window, and offsets of a band of windows.
-Q, LENGTH, BAND = 32, 200, 42
+#: Bytes of an initial q-gram, and of a window.
+Q, LENGTH = 32, 200
 #: Odd multipliers of the two polynomial hashes modulo 2^64 that name strings.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Bytes hashed at a time, beside the overlap.
@@ -41,7 +41,7 @@ class Names:
     """Identifiers of strings of one stretch of bytes: mixed polynomial hashes from prefix sums."""
 
     def __init__(self, data: np.ndarray, base: int):
-        room = CHUNK + 4 * LENGTH
+        room = CHUNK + 8 * LENGTH
         self.inverse = _powers(pow(base, -1, 1 << 64), room)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, room)[: len(data)], out=self.sums[1:])
@@ -140,64 +140,112 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(_key(batch, text) | {"at": pa.array(byte), "name": pa.array(names[at].view(np.int64))})
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows (lo to hi) with one repeated anchor and band of offsets before it, and the
-    names of what all windows of the band share (core) and of what they cover together (hull, null
-    where that leaves the text). Names take the band in, so that one place gives a name once."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each repeated anchor, the windows (lo to hi) that it is the anchor of, its q-gram's name, and
+    the name of all that any window with an anchor here could cover (null where that leaves the
+    text)."""
     for batch in batches:
         texts = _texts(batch)
-        repeated = [np.array(x.as_py(), np.int64) for x in batch.column("at")]
+        repeated = [np.array(x.as_py(), np.int64) for x in batch.column("ats")]
         sizes = np.array([len(t) for t in texts])
         for data, places in stretches(texts):
-            starts, anchors, _ = anchors_of(data, places)
+            starts, anchors, names = anchors_of(data, places)
             part, text, anchor = _owners(places, anchors)
             _, _, start = _owners(places, starts)
-            flagged = np.zeros(len(starts), bool)
-            edges = np.searchsorted(part, np.arange(len(places) + 1))
-            for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                flagged[lo:hi] = np.isin(anchor[lo:hi], repeated[places[k].text])
-            part, text, anchor, start, place = part[flagged], text[flagged], anchor[flagged], start[flagged], anchors[flagged]
-            if not len(text):
-                continue
-            band = np.minimum((anchor - start) // BAND, 3)
-            new = np.flatnonzero((np.diff(part) != 0) | (np.diff(anchor) != 0) | (np.diff(band) != 0)) + 1
+            new = np.flatnonzero((np.diff(part) != 0) | (np.diff(anchor) != 0)) + 1
             first, end = np.concatenate(([0], new)), np.concatenate((new, [len(text)])) - 1
             own = np.array([p.own for p in places])[part[first]] <= start[first]
             own &= start[first] < np.array([p.end for p in places])[part[first]]
             first, end = first[own], end[own]
-            near = band[first] * BAND
-            far = np.where(band[first] == 3, LENGTH - Q, near + BAND - 1)
-            a, t = place[first], text[first]
-            names = Names(data, BASES[0])
-            mark = (band[first] + 1).astype(np.uint64) * np.uint64(BASES[1])
-            core = names.of(a - near, a - far + LENGTH) + mark
-            inside = (anchor[first] - far >= 0) & (anchor[first] - near + LENGTH <= sizes[t])
-            hull = np.zeros(len(a), np.uint64)
-            hull[inside] = names.of((a - far)[inside], (a - near)[inside] + LENGTH) + mark[inside]
+            kept = np.zeros(len(first), bool)
+            edges = np.searchsorted(text[first], np.arange(len(texts) + 1))
+            for i in np.unique(text[first]).tolist():
+                lo, hi = edges[i], edges[i + 1]
+                kept[lo:hi] = np.isin(anchor[first[lo:hi]], repeated[i])
+            first, end = first[kept], end[kept]
+            if not len(first):
+                continue
+            a, t = anchors[first], text[first]
+            inside = (anchor[first] >= LENGTH - Q) & (anchor[first] + LENGTH <= sizes[t])
+            whole = np.zeros(len(a), np.uint64)
+            whole[inside] = Names(data, BASES[0]).of(a[inside] - (LENGTH - Q), a[inside] + LENGTH)
             yield pa.record_batch(
                 _key(batch, t)
                 | {
+                    "at": pa.array(anchor[first]),
                     "lo": pa.array(start[first]),
                     "hi": pa.array(start[end]),
-                    "core": pa.array(core.view(np.int64)),
-                    "hull": pa.array(hull.view(np.int64), mask=~inside),
+                    "name": pa.array(names[a].view(np.int64)),
+                    "whole": pa.array(whole.view(np.int64), mask=~inside),
                 }
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the open runs and its name, of 128 bits."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes that the windows of open anchors cover."""
     for batch in batches:
         texts = _texts(batch)
+        owner, rows = [], []
         for i, runs in enumerate(batch.column("runs").to_pylist()):
-            text = texts[i]
-            for lo, hi in ((r["lo"], r["hi"]) for r in runs):
-                data = np.frombuffer(text[lo : hi + LENGTH], np.uint8)
-                at = np.arange(hi - lo + 1)
-                one, two = (Names(data, b).of(at, at + LENGTH).view(np.int64) for b in BASES)
-                yield pa.record_batch(
-                    _key(batch, np.full(len(at), i)) | {"lo": pa.array(at + lo), "one": pa.array(one), "two": pa.array(two)}
-                )
+            owner += [i] * len(runs)
+            rows += [(r["name"], r["lo"], r["hi"], texts[i][r["lo"] : r["hi"] + LENGTH]) for r in runs]
+        if rows:
+            name, lo, hi, data = zip(*rows, strict=True)
+            columns = {"name": pa.array(name, pa.int64())} | _key(batch, np.array(owner))
+            yield pa.record_batch(columns | {"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def window_names(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, window's place in it, two names) of all windows of some contexts."""
+    sizes = np.array([len(c) for c in contexts])
+    counts = sizes - LENGTH + 1
+    own = np.repeat(np.arange(len(contexts)), counts)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = np.repeat(np.cumsum(sizes) - sizes, counts) + at
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    one, two = (Names(data, base).of(start, start + LENGTH) for base in BASES)
+    return own, at, one, two
+
+
+def _pieces(contexts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(first, contexts) of about CHUNK bytes."""
+    first, size = 0, 0
+    for i, c in enumerate(contexts):
+        if size + len(c) > CHUNK:
+            yield first, contexts[first:i]
+            first, size = i, 0
+        size += len(c)
+    if first < len(contexts):
+        yield first, contexts[first:]
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that repeat among the anchors of one q-gram; rows come sorted by its name."""
+    for (_, id_, hash_, lo, _, data), _ in whole_groups(batches, 1):
+        found = []
+        for first, part in _pieces(data.tolist()):
+            own, at, one, two = window_names(part)
+            found.append((own + first, at, one, two))
+        own, at, one, two = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((two, one))
+        same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        again = np.zeros(len(own), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        own, at = own[again], at[again]
+        if len(own):
+            new = np.flatnonzero((np.diff(own) != 0) | (np.diff(at) != 1)) + 1
+            begin, end = np.concatenate(([0], new)), np.concatenate((new, [len(own)])) - 1
+            o = own[begin]
+            yield pa.record_batch({"_id": pa.array(id_[o]), "_hash": pa.array(hash_[o]), "lo": pa.array(lo[o] + at[begin]), "hi": pa.array(lo[o] + at[end])})
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the contexts and its name, of 128 bits."""
+    for batch in batches:
+        for first, part in _pieces([d.as_py() for d in batch.column("data")]):
+            own, at, one, two = window_names(part)
+            lo = batch.column("lo").to_numpy()[own + first] + at
+            yield pa.record_batch(_key(batch, own + first) | {"lo": pa.array(lo), "one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64))})
 
 
 def cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -217,36 +265,51 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, spans
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
+def keyed(docs: DataFrame, others: list[str] | None = None) -> DataFrame:
+    """(_id, _hash, text), and with others those columns as one struct, `rest`."""
+    rest = [] if others is None else [F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")]
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"),
-        text_hash().alias("_hash"),
-        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
-        *more,
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_hash().alias("_hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *rest
     )
 
 
 KEY = "_id long, _hash long"
 
 
-def repeated_runs(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """(_id, _hash, runs) of the texts in which windows repeat; windows start at lo to hi of a run."""
+def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 20_000) -> DataFrame:
+    """(_id, _hash, runs) of the texts in which windows repeat; windows start at lo to hi of a run.
+
+    Buckets are refined in turn: q-grams that occur once go; an anchor whose whole surroundings
+    repeat is settled, all its windows repeat; the windows of the rest are compared within their
+    q-gram's bucket, or, in a bucket of over `most` anchors, by counting their names, which needs
+    no bucket in one task. texts: as `keyed` gives them. Of settled anchors with equal surroundings one stays as a witness, since
+    windows of open anchors may equal some of its own.
+    """
     key = ["_id", "_hash"]
-    anchors = materialize(spark, texts.mapInArrow(_anchors, f"{KEY}, at long, name long"), "anchors")
     again = lambda df, *names: df.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    flagged = materialize(spark, anchors.join(again(anchors, "name"), "name").groupBy(*key).agg(F.collect_set("at").alias("at")), "anchors-repeated")
-    cells = texts.join(flagged, key).select(*key, "text", "at").mapInArrow(_cells, f"{KEY}, lo long, hi long, core long, hull long")
-    # A run whose hull repeats is settled: all its windows repeat. One run of each hull stays as a
-    # witness for open runs that share its core: their windows may equal some of its own.
-    place = F.struct(*key, "lo")
-    hulls = cells.where("hull is not null").groupBy("hull").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1")
-    settled = cells.join(hulls, "hull", "left").select(*key, "lo", "hi", "core", F.col("_n").isNotNull().alias("settled"), (place == F.col("_first")).alias("witness"))
-    cores = settled.groupBy("core").agg(F.count("*").alias("_n"), F.count_if(~F.col("settled")).alias("_open")).where("_n > 1 and _open > 0")
-    run = F.struct("lo", "hi")
-    refined = settled.where("not settled or witness").join(cores, "core", "left_semi").groupBy(*key).agg(F.collect_set(run).alias("runs"))
-    windows = texts.join(refined, key).select(*key, "text", "runs").mapInArrow(_windows, f"{KEY}, lo long, one long, two long")
-    single = windows.join(again(windows, "one", "two"), ["one", "two"]).select(*key, "lo", F.col("lo").alias("hi"))
-    return settled.where("settled").select(*key, "lo", "hi").unionByName(single).groupBy(*key).agg(F.collect_set(run).alias("runs"))
+    anchors = materialize(spark, texts.select(*key, "text").mapInArrow(_anchors, f"{KEY}, at long, name long"), "anchors")
+    flagged = materialize(spark, anchors.join(again(anchors, "name"), "name").groupBy(*key).agg(F.collect_set("at").alias("ats")), "anchors-repeated")
+
+    columns = "at long, lo long, hi long, name long, whole long"
+    # All columns go along every time, so that the shuffled texts are written once for all joins.
+    found = texts.join(flagged, key).mapInArrow(_stretches, f"{KEY}, {columns}")
+    place = F.struct(*key, "at")
+    wholes = found.where("whole is not null").groupBy("whole").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1")
+    marked = found.join(wholes, "whole", "left").select(*key, "lo", "hi", "name", F.col("_n").isNotNull().alias("settled"), (place == F.col("_first")).alias("witness"))
+    members = marked.where("not settled or witness")
+    buckets = members.groupBy("name").agg(F.count_if(~F.col("settled")).alias("_open"), F.count("*").alias("_n")).where("_open > 0 and _n > 1")
+    run = F.struct("name", "lo", "hi", (F.col("_n") > most).alias("large"))
+    asked = members.join(buckets, "name").groupBy(*key).agg(F.collect_list(run).alias("runs"))
+
+    def contexts(large: bool) -> DataFrame:
+        chosen = asked.withColumn("runs", F.filter("runs", lambda r: r["large"] == F.lit(large))).where(F.size("runs") > 0)
+        return texts.join(chosen, key).mapInArrow(_contexts, f"name long, {KEY}, lo long, hi long, data binary")
+
+    small = contexts(False).repartition("name").sortWithinPartitions("name").mapInArrow(_settle, f"{KEY}, lo long, hi long")
+    windows = contexts(True).mapInArrow(_windows, f"{KEY}, lo long, one long, two long")
+    large = windows.join(again(windows, "one", "two"), ["one", "two"]).select(*key, "lo", F.col("lo").alias("hi"))
+    runs = marked.where("settled").select(*key, "lo", "hi").unionByName(small).unionByName(large)
+    return runs.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +345,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (
         texts.join(runs, ["_id", "_hash"], "left")
-        .select(F.when(F.col("_id") != -(2**63), F.col("_id")).cast(kind).alias("doc_id"), "text", "runs")
+        .select(F.when(F.col("_id") != NO_ID, F.col("_id")).cast(kind).alias("doc_id"), "text", "runs")
         .mapInArrow(_cutter, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 
@@ -302,11 +365,9 @@ def keep_rest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A character that is cut apart goes whole; a null text becomes empty.
     """
-    runs = repeated_runs(spark, keyed(docs))
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rest = F.struct(*[F.col(f"doc.`{c}`") for c in others])
-    text = F.coalesce(F.col("doc.text"), F.lit("")).cast("binary")
-    whole = packed(docs).join(runs, ["_id", "_hash"], "left").select(rest.alias("rest"), text.alias("text"), "runs")
+    texts = keyed(docs, others)
+    whole = texts.join(repeated_runs(spark, texts), ["_id", "_hash"], "left").select("rest", "text", "runs")
     out = whole.mapInArrow(_rest, f"rest {whole.schema['rest'].dataType.simpleString()}, text string")
     columns = {c: F.col("rest").getField(c) for c in others} | {"text": F.col("text")}
     if "n_chars" in docs.columns:

@@ -169,6 +169,10 @@ def test_repeats(spark, docs, none):
     assert suffixes.remove_repeats(spark, none).count() == 0
     want = slow_cut([t.encode() for _, t in pairs()])
     assert sorted((as_key(r["doc_id"]), *r[1:]) for r in got) == sorted((as_key(d), *w) for (d, _), w in zip(pairs(), want))
+    texts = {(r["_id"], r["_hash"]): bytes(r["text"]) for r in suffixes.keyed(docs).collect()}
+    by_count, in_buckets = (suffixes.repeated_runs(spark, suffixes.keyed(docs), most).collect() for most in (1, 20_000))
+    kept = lambda found: {(r["_id"], r["_hash"]): suffixes.cut(texts[r["_id"], r["_hash"]], [tuple(x) for x in r["runs"]]) for r in found}
+    assert kept(by_count) == kept(in_buckets)
     rest = suffixes.keep_rest(spark, docs)
     assert rest.columns == docs.columns and rest.count() == len(ROWS)
     for r in rest.collect():
