@@ -26,8 +26,8 @@ from docquarry.llm.common import NO_ID, materialize, table, text_hash, whole_gro
 Q, LENGTH = 32, 200
 #: Odd multipliers of the two polynomial hashes modulo 2^64 that name strings.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Bytes hashed at a time, beside the overlap.
-CHUNK = 1 << 19
+#: Bytes hashed at a time, beside the overlap; rows of a batch taken at a time; contexts compared at a time.
+CHUNK, ROWS, CONTEXTS = 1 << 17, 256, 512
 
 
 @lru_cache(maxsize=4)
@@ -122,6 +122,13 @@ def _owners(places: list[Place], at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, text[own], at + shift[own]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROWS of a batch at a time, so that a few texts at once become Python bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t.as_py() or b"" for t in batch.column("text")]
 
@@ -132,7 +139,7 @@ def _key(batch: pa.RecordBatch, text: np.ndarray) -> dict[str, pa.Array]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         for data, places in stretches(_texts(batch)):
             _, anchors, names = anchors_of(data, places)
             at = np.unique(anchors)
@@ -144,7 +151,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each repeated anchor, the windows (lo to hi) that it is the anchor of, its q-gram's name, and
     the name of all that any window with an anchor here could cover (null where that leaves the
     text)."""
-    for batch in batches:
+    for batch in _slices(batches):
         texts = _texts(batch)
         repeated = [np.array(x.as_py(), np.int64) for x in batch.column("ats")]
         sizes = np.array([len(t) for t in texts])
@@ -183,7 +190,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that the windows of open anchors cover."""
-    for batch in batches:
+    for batch in _slices(batches):
         texts = _texts(batch)
         owner, rows = [], []
         for i, runs in enumerate(batch.column("runs").to_pylist()):
@@ -219,29 +226,40 @@ def _pieces(contexts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, contexts[first:]
 
 
+def _whole(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(lo, hi) of whole groups, of about CONTEXTS rows together."""
+    lo = 0
+    for hi, after in zip(bounds[1:].tolist(), [*bounds[2:].tolist(), None], strict=True):
+        if after is None or after - lo > CONTEXTS:
+            yield lo, hi
+            lo = hi
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of windows that repeat among the anchors of one q-gram; rows come sorted by its name."""
-    for (_, id_, hash_, lo, _, data), _ in whole_groups(batches, 1):
-        found = []
-        for first, part in _pieces(data.tolist()):
-            own, at, one, two = window_names(part)
-            found.append((own + first, at, one, two))
-        own, at, one, two = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((two, one))
-        same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-        again = np.zeros(len(own), bool)
-        again[order[1:][same]] = again[order[:-1][same]] = True
-        own, at = own[again], at[again]
-        if len(own):
-            new = np.flatnonzero((np.diff(own) != 0) | (np.diff(at) != 1)) + 1
-            begin, end = np.concatenate(([0], new)), np.concatenate((new, [len(own)])) - 1
-            o = own[begin]
-            yield pa.record_batch({"_id": pa.array(id_[o]), "_hash": pa.array(hash_[o]), "lo": pa.array(lo[o] + at[begin]), "hi": pa.array(lo[o] + at[end])})
+    for columns, bounds in whole_groups(batches, 1):
+        for a, b in _whole(bounds):
+            _, id_, hash_, lo, _, data = (c[a:b] for c in columns)
+            found = []
+            for first, part in _pieces(data.tolist()):
+                own, at, one, two = window_names(part)
+                found.append((own + first, at, one, two))
+            own, at, one, two = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((two, one))
+            same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+            again = np.zeros(len(own), bool)
+            again[order[1:][same]] = again[order[:-1][same]] = True
+            own, at = own[again], at[again]
+            if len(own):
+                new = np.flatnonzero((np.diff(own) != 0) | (np.diff(at) != 1)) + 1
+                begin, end = np.concatenate(([0], new)), np.concatenate((new, [len(own)])) - 1
+                o = own[begin]
+                yield pa.record_batch({"_id": pa.array(id_[o]), "_hash": pa.array(hash_[o]), "lo": pa.array(lo[o] + at[begin]), "hi": pa.array(lo[o] + at[end])})
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the contexts and its name, of 128 bits."""
-    for batch in batches:
+    for batch in _slices(batches):
         for first, part in _pieces([d.as_py() for d in batch.column("data")]):
             own, at, one, two = window_names(part)
             lo = batch.column("lo").to_numpy()[own + first] + at
@@ -276,7 +294,7 @@ def keyed(docs: DataFrame, others: list[str] | None = None) -> DataFrame:
 KEY = "_id long, _hash long"
 
 
-def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 20_000) -> DataFrame:
+def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> DataFrame:
     """(_id, _hash, runs) of the texts in which windows repeat; windows start at lo to hi of a run.
 
     Buckets are refined in turn: q-grams that occur once go; an anchor whose whole surroundings
@@ -313,7 +331,7 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 20_000) ->
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for text, runs in zip(_texts(batch), batch.column("runs").to_pylist(), strict=True):
             kept, removed, spans = cut(text, [(r["lo"], r["hi"]) for r in runs or ()])
