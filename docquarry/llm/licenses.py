@@ -54,14 +54,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain, GAP), "")
 
 
-def rolling(k: int) -> Column:
-    """(h, pos) of each k-gram of the column words. Grams that run over the end are hashed without
-    the missing words and fail the comparison of words."""
-
-    def gram(word: Column, i: Column) -> Column:
-        return F.struct(F.xxhash64(word, *[F.get("words", i + j) for j in range(1, k)]).alias("h"), i.alias("pos"))
-
-    return F.transform("words", gram)
+def rolling(sizes: Sequence[int]) -> Column:
+    """(words, 1, 2, ...): each word of the column padded and those after it, as many as the longest
+    gram has. Grams that run over the end are hashed without the missing words and fail the
+    comparison of words."""
+    return F.arrays_zip("padded", *[F.slice("padded", F.lit(j + 1), F.size("padded")) for j in range(1, max(sizes))])
 
 
 def scan(spark: SparkSession, docs: DataFrame, templates: Sequence[Template] = TEMPLATES, drift: int = 2) -> DataFrame:
@@ -99,11 +96,13 @@ def scan(spark: SparkSession, docs: DataFrame, templates: Sequence[Template] = T
     known = known.withColumn("h", hashed)
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words_of(F.col("text")).alias("words"))
-    # One sentinel a document meets the template -1, so that documents without matches stay.
-    per_k = [rolling(k) for k in sizes]
-    sentinel = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("pos")))
-    seen = rows.select("_row", "doc_id", "words", F.explode(F.concat(sentinel, *per_k)).alias("g"))
-    hits = seen.join(F.broadcast(known), F.col("g.h") == F.col("h")).select(
+    # One sentinel a document, before its words, meets the template -1, so that documents without matches stay.
+    rows = rows.withColumn("padded", F.concat(F.array(F.lit("")), "words"))
+    placed = rows.select("_row", "doc_id", "words", F.posexplode(rolling(sizes)).alias("_at", "_w")).withColumn("_at", F.col("_at") - 1)
+    word = lambda j: F.col("_w").getField("padded" if not j else str(j))
+    gram = lambda k: F.when(F.col("_at") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64(*[word(j) for j in range(k)]))
+    seen = placed.select("_row", "doc_id", "words", F.col("_at").alias("pos"), F.explode(F.array(*[gram(k) for k in sizes])).alias("gram_hash"))
+    hits = seen.join(F.broadcast(known), F.col("gram_hash") == F.col("h")).select(
         "_row",
         "doc_id",
         F.size("words").alias("n_words"),
@@ -114,8 +113,8 @@ def scan(spark: SparkSession, docs: DataFrame, templates: Sequence[Template] = T
         "base",
         "least",
         "label",
-        F.col("g.pos").alias("pos"),
-        (F.when(F.col("template") < 0, F.lit(True)).otherwise(F.array_join(F.slice("words", F.col("g.pos") + 1, F.col("k")), " ") == F.col("gram"))).alias("same"),
+        "pos",
+        (F.when(F.col("template") < 0, F.lit(True)).otherwise(F.array_join(F.slice("words", F.col("pos") + 1, F.col("k")), " ") == F.col("gram"))).alias("same"),
     ).where("same")
 
     keys = ["_row", "doc_id", "n_words", "template", "length", "base", "least", "label"]
