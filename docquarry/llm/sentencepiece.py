@@ -15,7 +15,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm.common import table
+from docquarry.llm.common import small_batches, table
 
 #: Model file of the registered query; any SentencePiece model with byte pieces or an unknown piece will do.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -24,7 +24,7 @@ BLANK = "▁"
 #: Below the least score of all pieces by this, as SentencePiece scores characters without a piece.
 UNKNOWN_PENALTY = 10.0
 #: Units longer than this many characters are not remembered; at most MEMO units are.
-MEMO_CHARS, MEMO = 48, 1 << 17
+MEMO_CHARS, MEMO = 48, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -184,6 +184,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
     Returns doc_id, n_tokens, n_byte_tokens, ids_sha256 (of the ids as little-endian int32),
     round_trip, ids.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         _encoder(pieces),

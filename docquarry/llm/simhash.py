@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import NO_ID, materialize, packed, table, text_hash, unpacked
+from docquarry.llm.common import NO_ID, materialize, packed, small_batches, table, text_hash, unpacked
 from docquarry.llm.components import components
 
 BITS = 64
@@ -143,6 +143,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, most: int = 3) -> DataFram
     Returns doc_id, text_hash (xxhash64), fp (long, the fingerprint's bits), component_id, and the
     long `group` (the least fingerprint's bits) that stands for the component.
     """
+    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fp = materialize(
         spark,

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import NO_ID, materialize, table, text_hash, whole_groups
+from docquarry.llm.common import NO_ID, materialize, slices, small_batches, table, text_hash, whole_groups
 
 #: Bytes of an initial q-gram, and of a window.
 Q, LENGTH = 32, 200
 #: Odd multipliers of the two polynomial hashes modulo 2^64 that name strings.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Bytes hashed at a time, beside the overlap; rows of a batch taken at a time; contexts compared at a time.
-CHUNK, ROWS, CONTEXTS = 1 << 17, 256, 512
+#: Bytes hashed at a time, beside the overlap; contexts compared at a time.
+CHUNK, CONTEXTS = 1 << 17, 512
 
 
 @lru_cache(maxsize=4)
@@ -122,13 +122,6 @@ def _owners(places: list[Place], at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, text[own], at + shift[own]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ROWS of a batch at a time, so that a few texts at once become Python bytes."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t.as_py() or b"" for t in batch.column("text")]
 
@@ -139,7 +132,7 @@ def _key(batch: pa.RecordBatch, text: np.ndarray) -> dict[str, pa.Array]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in slices(batches):
         for data, places in stretches(_texts(batch)):
             _, anchors, names = anchors_of(data, places)
             at = np.unique(anchors)
@@ -151,7 +144,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each repeated anchor, the windows (lo to hi) that it is the anchor of, its q-gram's name, and
     the name of all that any window with an anchor here could cover (null where that leaves the
     text)."""
-    for batch in _slices(batches):
+    for batch in slices(batches):
         texts = _texts(batch)
         repeated = [np.array(x.as_py(), np.int64) for x in batch.column("ats")]
         sizes = np.array([len(t) for t in texts])
@@ -190,7 +183,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that the windows of open anchors cover."""
-    for batch in _slices(batches):
+    for batch in slices(batches):
         texts = _texts(batch)
         owner, rows = [], []
         for i, runs in enumerate(batch.column("runs").to_pylist()):
@@ -259,7 +252,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the contexts and its name, of 128 bits."""
-    for batch in _slices(batches):
+    for batch in slices(batches):
         for first, part in _pieces([d.as_py() for d in batch.column("data")]):
             own, at, one, two = window_names(part)
             lo = batch.column("lo").to_numpy()[own + first] + at
@@ -303,6 +296,7 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> Da
     no bucket in one task. texts: as `keyed` gives them. Of settled anchors with equal surroundings one stays as a witness, since
     windows of open anchors may equal some of its own.
     """
+    small_batches(spark)
     key = ["_id", "_hash"]
     again = lambda df, *names: df.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     anchors = materialize(spark, texts.select(*key, "text").mapInArrow(_anchors, f"{KEY}, at long, name long"), "anchors")
@@ -331,7 +325,7 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> Da
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in slices(batches):
         out = []
         for text, runs in zip(_texts(batch), batch.column("runs").to_pylist(), strict=True):
             kept, removed, spans = cut(text, [(r["lo"], r["hi"]) for r in runs or ()])

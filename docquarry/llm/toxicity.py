@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize, table
+from docquarry.llm.common import materialize, slices, small_batches, table
 
 #: Bounds of what is learned: labelled rows (those of the least xxhash64(doc_id)) and terms.
 EXAMPLES, TERMS = 4096, 1000
@@ -21,7 +21,8 @@ EXAMPLES, TERMS = 4096, 1000
 PREFIXES = range(4, 9)
 #: Rows of a block of the index; votes of a score; added to a distance before it weighs a vote.
 BLOCK, VOTES, NEAR = 64, 10, 1e-4
-MEMO, MEMO_CHARS = 1 << 17, 40
+#: Words, and term counts, whose results are remembered at most; characters of such a word.
+MEMO, MEMO_SCORES, MEMO_CHARS = 1 << 15, 1 << 13, 40
 _words = re.compile(r"\w+").findall
 
 
@@ -166,7 +167,7 @@ def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counter(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counts(terms)
-        for batch in batches:
+        for batch in slices(batches):
             found = [count(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch(
                 {
@@ -183,12 +184,12 @@ def _counter(terms: list[str]):
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple, tuple[float, str]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for terms, counts, n in zip(*(batch.column(c).to_pylist() for c in ("terms", "counts", "n_words")), strict=True):
                 key = (tuple(terms), tuple(counts), n if terms else n > 0)
                 if key not in memo:
-                    if len(memo) >= MEMO:
+                    if len(memo) >= MEMO_SCORES:
                         memo.clear()
                     memo[key] = model.score(dict(zip(terms, counts, strict=True)), n)
                 out.append(memo[key])
@@ -228,6 +229,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Mode
 
     Labelled rows are a bounded sample; document frequencies are counted over all documents.
     """
+    small_batches(spark)
     marked = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     sample = materialize(spark, docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic-sample")
@@ -279,7 +281,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
 def _clean(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counts(model.terms)
-        for batch in batches:
+        for batch in slices(batches):
             clean = [model.score(*count(t.as_py()))[0] < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
