@@ -236,6 +236,23 @@ def test_passages(spark, docs, none):
     assert all(by[d]["n_passages"] == 0 and by[d]["class_id"] == d for d in (6, 7, 8, 12, 13, 14, 16))
 
 
+def test_passages_link_all_holders(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(4000)) for _ in range(n))
+    wide = text(40)
+    rows = [(d, text(20) + " " + wide + " " + text(20)) for d in range(7)]  # seven hold one passage
+    rows += [(7, rows[3][1])]  # and an equal text
+    for d in range(10, 50, 2):  # passages of the least length, often with a single seed
+        short = text(passages.LEAST_WORDS)
+        rows += [(d, text(25) + " " + short + " " + text(25)), (d + 1, text(35) + " " + short)]
+    lines = [text(21) for _ in range(2)]  # B (61) and C (62) share both lines in a row, others one only
+    rows += [(60 + i, " ".join([text(30), *lines, text(30)]) if i in (1, 2) else text(30) + " " + lines[i % 2] + " " + text(30)) for i in range(6)]
+    got = {r["doc_id"]: r for r in passages.report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: got[d]["n_links"] for d in range(8)} == dict.fromkeys(range(8), 7)
+    assert all(got[d]["n_links"] == 1 and got[d]["class_id"] == d // 2 * 2 and got[d]["n_shared"] >= passages.LEAST_WORDS for d in range(10, 50))
+    assert {d: (got[d]["n_links"], got[d]["class_id"]) for d in (60, 61, 62, 63)} == {60: (0, 60), 61: (1, 61), 62: (1, 61), 63: (0, 63)}
+
+
 def test_chains_by_brute_force():
     rng = random.Random(3)
     for _ in range(30):
