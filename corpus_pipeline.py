@@ -26,13 +26,13 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of an interleaving of the sources with equal target weights."""
-    return mixing.mixed_order(spark, docs)
+    """Documents with their slot, and row in it, of an interleaving of the sources with equal target weights."""
+    return mixing.with_slots(spark, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
-    return sentencepiece.encode_documents(docs, sentencepiece.load_pieces(sentencepiece.MODEL_PATH))
+    """Piece ids of every document, with its slot and row in the mix."""
+    return sentencepiece.encode_documents(docs, sentencepiece.load_pieces(sentencepiece.MODEL_PATH), ["slot", "row"])
 
 
 STAGES = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -144,7 +144,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-def _encoder(pieces: Pieces):
+def _encoder(pieces: Pieces, keep: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(pieces)
         bytes_first = pieces.byte_ids[0] if pieces.byte_ids else -1
@@ -170,25 +170,26 @@ def _encoder(pieces: Pieces):
                         "round_trip": same,
                         "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32))),
                     }
+                    | {c: part.column(c) for c in keep}
                 )
 
     return run
 
 
-def encode_documents(docs: DataFrame, pieces: Pieces) -> DataFrame:
+def encode_documents(docs: DataFrame, pieces: Pieces, keep: Sequence[str] = ()) -> DataFrame:
     """Piece ids of every whole text, and whether decoding them gives back the text.
 
     Null and empty texts have no ids. Null doc_ids and repeated rows are kept as they come, other
-    columns are ignored, an empty table gives an empty result.
+    columns are ignored but for those of `keep`, an empty table gives an empty result.
 
     Returns doc_id, n_tokens, n_byte_tokens, ids_sha256 (of the ids as little-endian int32),
-    round_trip, ids.
+    round_trip, ids, and the columns of `keep`.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        _encoder(pieces),
-        f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean, ids array<int>",
+    return docs.select("doc_id", "text", *keep).mapInArrow(
+        _encoder(pieces, keep),
+        f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean, ids array<int>" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep),
     )
 
 

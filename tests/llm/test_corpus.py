@@ -381,5 +381,21 @@ def test_pipeline(spark, tmp_path):
     assert passage[5:200] not in codec.decode(got[13]["ids"]) and codec.decode(got[7]["ids"]) == rows[7][1]
 
 
+def test_pipeline_returns_the_mix(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    rows = [(d, f"text {d}", "en", "big" if d % 3 else "small", 0) for d in range(3 * 7998)] + [(0, "text 0", "en", "small", 0)] * 2
+    at = str(tmp_path / "mixed")
+    corpus_pipeline.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").write.parquet(at)
+    got = sorted((r["slot"], r["row"], r["doc_id"]) for r in corpus_pipeline.encode(spark, spark.read.parquet(at), "").collect())
+    assert len(got) == len({g[:2] for g in got}) == len(rows) and sorted(g[2] for g in got) == sorted(r[0] for r in rows)
+    blocks = {slot: "big" if d % 3 else "small" for slot, _, d in got}
+    assert sorted(blocks) == list(range(len(blocks)))
+    small = np.cumsum([blocks[s] == "small" for s in range(2 * 500)])  # until its 8000 rows are out, half of every prefix
+    assert small[-1] == 500 and (abs(small - np.arange(1, 1001) / 2) < 1).all()
+    odd = mixing.with_slots(spark, docs).collect()
+    assert sorted((r["slot"], r["row"]) for r in odd) == sorted((r["slot"], r["row"]) for r in mixing.mix_sources(spark, docs).collect())
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert common.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
