@@ -12,10 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: Stands for a null doc_id in keys.
-NO_ID = -(2**63)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,9 +21,14 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def row_key() -> list[Column]:
+    """_id, _hash: the key of a row, without nulls (rows that share it are equal in doc_id and text)."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNull()).alias("_hash")]
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """(doc, _id, _hash): each row in one struct, so that no column of it clashes with another, and its key."""
-    return docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_hash().alias("_hash"))
+    return docs.select(F.struct("*").alias("doc"), *row_key())
 
 
 def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,10 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a cut in the lineage that outlives lost executors."""
     path = f"{shared_dir(spark)}/docquarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # What was shuffled for it isn't read again: its files go with the end of the write.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

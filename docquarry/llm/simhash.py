@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import NO_ID, materialize, packed, small_batches, table, text_hash, unpacked
+from docquarry.llm.common import materialize, small_batches, table, text_hash, unpacked
 from docquarry.llm.components import components
 
 BITS = 64
@@ -175,15 +175,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, most: int = 3) -> DataFrame:
     It is the one with the least doc_id (null last), then the least text_hash; of rows that repeat
     both, the one of least hash over all columns.
     """
-    last = F.lit(2**63 - 1)
-    kept = (
-        near_groups(spark, docs, most)
-        .groupBy("group")
-        .agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), F.col("text_hash").alias("_hash"))).alias("k"))
-        .select(F.when(F.col("k._id") == last, NO_ID).otherwise(F.col("k._id")).alias("_id"), "k._hash")
-    )
-    one = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("doc"))
-    found = packed(docs).join(kept, ["_id", "_hash"], "left_semi").withColumn("_row", F.row_number().over(one))
+    rows = near_groups(spark, docs, most)
+    first = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("text_hash").alias("_hash"))
+    kept = rows.groupBy("group").agg(F.min(first).alias("k")).select("k.*")
+    one = Window.partitionBy("_none", "_id", "_hash").orderBy(F.xxhash64("doc"))
+    own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), text_hash().alias("_hash"))
+    found = own.join(kept, ["_none", "_id", "_hash"], "left_semi").withColumn("_row", F.row_number().over(one))
     return unpacked(found.where("_row = 1"), docs.columns)
 
 

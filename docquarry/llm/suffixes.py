@@ -1,11 +1,14 @@
-"""Exact removal of byte strings that occur elsewhere, by bucket refinement in the manner of suffix sorting.
-
-Buckets of starting points get ever finer identifiers. The first identifier of a point is its
-q-gram; the identifier of a longer string at the point follows from identifiers at later offsets
-(of the halves it is made of), so every round reuses what the last has found, and only buckets that
-still hold several members and aren't settled are refined. Points are anchors: in each window of
-`length` bytes the leftmost q-gram of least hash. Equal windows have their anchor at the same
-offset, so windows need comparing only through their anchors.
+"""Exact removal of byte strings that occur elsewhere, by bucket-pointer refinement.
+
+The suffixes that take part are those at anchors: in each window of `length` bytes the leftmost
+q-gram of least hash. Equal windows have their anchor at the same offset, so windows need comparing
+only through their anchors. Suffixes fall into buckets by their q-grams; what is alone in its
+bucket goes. A bucket is named by a pointer, its least member. Buckets are refined by grouping on
+the pointers of the suffixes at later offsets: first by the string up to the next anchor, then by
+(own pointer, pointer one anchor on), then by (own pointer, pointer two anchors on), each round
+reusing what the last has found. Pointers of four anchors' length in a row then tell which anchors
+have surroundings, all that any of their windows covers, that occur again: they are settled. Only
+the anchors at the ends of repeats stay open, and their windows are compared byte for byte's worth.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import NO_ID, materialize, slices, small_batches, table, text_hash, whole_groups
+from docquarry.llm.common import materialize, row_key, slices, small_batches, table, whole_groups
 
 #: Bytes of an initial q-gram, and of a window.
 Q, LENGTH = 32, 200
@@ -131,52 +135,100 @@ def _key(batch: pa.RecordBatch, text: np.ndarray) -> dict[str, pa.Array]:
     return {"_id": batch.column("_id").take(at), "_hash": batch.column("_hash").take(at)}
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        for data, places in stretches(_texts(batch)):
-            _, anchors, names = anchors_of(data, places)
-            at = np.unique(anchors)
-            _, text, byte = _owners(places, at)
-            yield pa.record_batch(_key(batch, text) | {"at": pa.array(byte), "name": pa.array(names[at].view(np.int64))})
+def anchor_rows(texts: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(text of each row, columns): the anchors of each text in order, and before them, where none
+    stands there, the text's start, which has no windows (lo -1).
+
+    name: of the q-gram. link: of the string from the anchor through the next anchor's q-gram, or
+    to the end of the text. lo, hi: first and last window. The links from `back` anchors before on,
+    `span` of them, cover all that these windows cover.
+    """
+    found = [[np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)]]
+    for data, places in stretches(texts):
+        starts, anchors, names = anchors_of(data, places)
+        part, text, at = _owners(places, anchors)
+        start = starts + (at - anchors)
+        new = np.flatnonzero((np.diff(part) != 0) | (np.diff(anchors) != 0)) + 1
+        first, last = np.concatenate(([0], new)), np.concatenate((new, [len(text)])) - 1
+        lo = start[first]
+        own = (np.array([p.own for p in places])[part[first]] <= lo) & (lo < np.array([p.end for p in places])[part[first]])
+        first, last = first[own], last[own]
+        found.append([text[first], at[first], start[first], start[last], names[anchors[first]]])
+    text, at, lo, hi, name = (np.concatenate(c) for c in zip(*found, strict=True))
+    heads = np.flatnonzero(np.diff(text, prepend=-1))
+    heads = heads[at[heads] > 0]
+    firsts = np.array([xxhash.xxh3_64_intdigest(texts[t][:Q], 2) for t in text[heads].tolist()], np.uint64)
+    text = np.insert(text, heads, text[heads])
+    at, lo, hi = (np.insert(c, heads, v) for c, v in ((at, 0), (lo, -1), (hi, -1)))
+    name = np.insert(name, heads, firsts)
+
+    n = len(text)
+    head = np.flatnonzero(np.diff(text, prepend=-1))
+    size = np.diff(np.append(head, n))
+    base = np.concatenate(([0], np.cumsum([len(t) + LENGTH + Q for t in texts])))[text]
+    place = base + at
+    begin = np.searchsorted(place, base + lo, side="right") - 1
+    end = np.searchsorted(place + Q, base + hi + LENGTH)
+    last = np.repeat(head + size, size) - 1
+    digest = xxhash.xxh3_64_intdigest
+    after = np.append(at[1:], 0) + Q
+    link = np.array(
+        [digest(texts[t][a:], 1) if end_ else digest(texts[t][a:b]) for t, a, b, end_ in zip(text.tolist(), at.tolist(), after.tolist(), (last == np.arange(n)).tolist(), strict=True)],
+        np.uint64,
+    )
+    windows = lo >= 0
+    columns = {"i": np.arange(n) - np.repeat(head, size), "at": at, "lo": lo, "hi": hi}
+    columns |= {"back": np.where(windows, np.arange(n) - begin, 0), "span": np.where(windows, end - begin, 0)}
+    return text, {k: v.astype(np.int32) for k, v in columns.items()} | {"name": name.view(np.int64), "link": link.view(np.int64)}
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each repeated anchor, the windows (lo to hi) that it is the anchor of, its q-gram's name, and
-    the name of all that any window with an anchor here could cover (null where that leaves the
-    text)."""
+ANCHORS = "i int, at int, lo int, hi int, back int, span int, name long, link long"
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        texts = _texts(batch)
-        repeated = [np.array(x.as_py(), np.int64) for x in batch.column("ats")]
-        sizes = np.array([len(t) for t in texts])
-        for data, places in stretches(texts):
-            starts, anchors, names = anchors_of(data, places)
-            part, text, anchor = _owners(places, anchors)
-            _, _, start = _owners(places, starts)
-            new = np.flatnonzero((np.diff(part) != 0) | (np.diff(anchor) != 0)) + 1
-            first, end = np.concatenate(([0], new)), np.concatenate((new, [len(text)])) - 1
-            own = np.array([p.own for p in places])[part[first]] <= start[first]
-            own &= start[first] < np.array([p.end for p in places])[part[first]]
-            first, end = first[own], end[own]
-            kept = np.zeros(len(first), bool)
-            edges = np.searchsorted(text[first], np.arange(len(texts) + 1))
-            for i in np.unique(text[first]).tolist():
-                lo, hi = edges[i], edges[i + 1]
-                kept[lo:hi] = np.isin(anchor[first[lo:hi]], repeated[i])
-            first, end = first[kept], end[kept]
-            if not len(first):
+        text, columns = anchor_rows(_texts(batch))
+        yield pa.record_batch(_key(batch, text) | {k: pa.array(v) for k, v in columns.items()})
+
+
+#: Anchors that the pointers of the last round reach over, whose runs `_surroundings` names.
+REACH = 4
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, anchor, level, pointer, back, span) sorted by the first three: level 0 has the
+    anchors, others the pointers of so many links. A row for each anchor whose surroundings have
+    pointers throughout: those of the largest level, as many as cover them."""
+    for (text, anchor, level, pointer, back, span), _ in whole_groups(batches, 1):
+        asked = np.flatnonzero(level == 0)
+        begin, span, back = anchor[asked] - back[asked], span[asked], back[asked]
+        keys: list[list[int] | None] = [None] * len(asked)
+        for reach in (1, 2, REACH):
+            own = np.flatnonzero(span >= reach if reach == REACH else (span >= reach) & (span < 2 * reach))
+            rows = np.flatnonzero(level == reach)
+            if not len(own) or not len(rows):
                 continue
-            a, t = anchors[first], text[first]
-            inside = (anchor[first] >= LENGTH - Q) & (anchor[first] + LENGTH <= sizes[t])
-            whole = np.zeros(len(a), np.uint64)
-            whole[inside] = Names(data, BASES[0]).of(a[inside] - (LENGTH - Q), a[inside] + LENGTH)
+            known, values = anchor[rows], pointer[rows]  # anchors are numbered through all texts in the same order
+            order = np.argsort(known, kind="stable")
+            known, values = known[order], values[order]
+            counts = -(-span[own] // reach)
+            which = np.repeat(np.arange(len(own)), counts)
+            step = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+            want = begin[own][which] + np.minimum(step * reach, (span[own] - reach)[which])
+            at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+            whole = np.ones(len(own), bool)
+            np.logical_and.at(whole, which, known[at] == want)
+            got, ends = values[at], np.cumsum(counts)
+            for k in np.flatnonzero(whole).tolist():
+                keys[own[k]] = got[ends[k] - counts[k] : ends[k]].tolist()
+        kept = np.array([i for i, k in enumerate(keys) if k], np.int64)
+        if len(kept):
             yield pa.record_batch(
-                _key(batch, t)
-                | {
-                    "at": pa.array(anchor[first]),
-                    "lo": pa.array(start[first]),
-                    "hi": pa.array(start[end]),
-                    "name": pa.array(names[a].view(np.int64)),
-                    "whole": pa.array(whole.view(np.int64), mask=~inside),
+                {
+                    "anchor": pa.array(anchor[asked][kept]),
+                    "back": pa.array(back[kept].astype(np.int32)),
+                    "span": pa.array(span[kept].astype(np.int32)),
+                    "pointers": pa.array([keys[i] for i in kept.tolist()], pa.list_(pa.int64())),
                 }
             )
 
@@ -188,11 +240,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, rows = [], []
         for i, runs in enumerate(batch.column("runs").to_pylist()):
             owner += [i] * len(runs)
-            rows += [(r["name"], r["lo"], r["hi"], texts[i][r["lo"] : r["hi"] + LENGTH]) for r in runs]
+            rows += [(r["name"], r["lo"], r["hi"], r["large"], texts[i][r["lo"] : r["hi"] + LENGTH]) for r in runs]
         if rows:
-            name, lo, hi, data = zip(*rows, strict=True)
+            name, lo, hi, large, data = zip(*rows, strict=True)
             columns = {"name": pa.array(name, pa.int64())} | _key(batch, np.array(owner))
-            yield pa.record_batch(columns | {"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64()), "data": pa.array(data, pa.binary())})
+            yield pa.record_batch(columns | {"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64()), "large": pa.array(large, pa.bool_()), "data": pa.array(data, pa.binary())})
 
 
 def window_names(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,51 +329,79 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def keyed(docs: DataFrame, others: list[str] | None = None) -> DataFrame:
-    """(_id, _hash, text), and with others those columns as one struct, `rest`."""
+    """(_id, _hash, text, doc_id), and with others those columns as one struct, `rest`."""
     rest = [] if others is None else [F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")]
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_hash().alias("_hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *rest
-    )
+    return docs.select(*row_key(), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "doc_id", *rest)
 
 
 KEY = "_id long, _hash long"
 
 
+def refined(members: DataFrame, *keys: str) -> DataFrame:
+    """(text, anchor, pointer): the buckets of members (text, anchor, keys) that agree in all keys,
+    named by their least anchor; what is alone in its bucket goes."""
+    buckets = members.groupBy(*keys).agg(F.min("anchor").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return members.join(buckets, list(keys)).select("text", "anchor", F.col("_least").alias("pointer"))
+
+
 def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> DataFrame:
     """(_id, _hash, runs) of the texts in which windows repeat; windows start at lo to hi of a run.
 
-    Buckets are refined in turn: q-grams that occur once go; an anchor whose whole surroundings
-    repeat is settled, all its windows repeat; the windows of the rest are compared within their
-    q-gram's bucket, or, in a bucket of over `most` anchors, by counting their names, which needs
-    no bucket in one task. texts: as `keyed` gives them. Of settled anchors with equal surroundings one stays as a witness, since
-    windows of open anchors may equal some of its own.
+    The windows of anchors whose surroundings occur again all repeat. Those of other anchors whose
+    q-gram occurs again are compared within its bucket, by names of 128 bits: in one task, or in a
+    bucket of over `most` anchors by counting the names, which needs no bucket in one task. Of
+    settled anchors with equal surroundings one stays as a witness, since windows of open anchors
+    may equal some of its own. texts: as `keyed` gives them.
     """
     small_batches(spark)
     key = ["_id", "_hash"]
-    again = lambda df, *names: df.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    anchors = materialize(spark, texts.select(*key, "text").mapInArrow(_anchors, f"{KEY}, at long, name long"), "anchors")
-    flagged = materialize(spark, anchors.join(again(anchors, "name"), "name").groupBy(*key).agg(F.collect_set("at").alias("ats")), "anchors-repeated")
-
-    columns = "at long, lo long, hi long, name long, whole long"
-    # All columns go along every time, so that the shuffled texts are written once for all joins.
-    found = texts.join(flagged, key).mapInArrow(_stretches, f"{KEY}, {columns}")
-    place = F.struct(*key, "at")
-    wholes = found.where("whole is not null").groupBy("whole").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1")
-    marked = found.join(wholes, "whole", "left").select(*key, "lo", "hi", "name", F.col("_n").isNotNull().alias("settled"), (place == F.col("_first")).alias("witness"))
-    members = marked.where("not settled or witness")
-    buckets = members.groupBy("name").agg(F.count_if(~F.col("settled")).alias("_open"), F.count("*").alias("_n")).where("_open > 0 and _n > 1")
-    run = F.struct("name", "lo", "hi", (F.col("_n") > most).alias("large"))
-    asked = members.join(buckets, "name").groupBy(*key).agg(F.collect_list(run).alias("runs"))
-
-    def contexts(large: bool) -> DataFrame:
-        chosen = asked.withColumn("runs", F.filter("runs", lambda r: r["large"] == F.lit(large))).where(F.size("runs") > 0)
-        return texts.join(chosen, key).mapInArrow(_contexts, f"name long, {KEY}, lo long, hi long, data binary")
+    every = materialize(spark, texts.select(*key, "text").mapInArrow(_anchors, f"{KEY}, {ANCHORS}").withColumn("anchor", F.monotonically_increasing_id()), "anchors")
+    # The anchors of a text are numbered one after another, from the number that stands for the text.
+    names = every.groupBy("name").agg(F.count("*").alias("_n")).where("_n > 1").select("name")
+    shared = materialize(
+        spark, every.join(names, "name").select((F.col("anchor") - F.col("i")).alias("text"), "anchor", "lo", "hi", "back", "span", "name", "link"), "anchors-repeated"
+    )
+    levels = {1: materialize(spark, refined(shared.select("text", "anchor", "name", "link"), "name", "link"), "pointers-1")}
+    for reach in (1, 2):
+        ahead = Window.partitionBy("text").orderBy("anchor").rangeBetween(reach, reach)
+        later = levels[reach].withColumn("later", F.max("pointer").over(ahead)).where("later is not null")
+        levels[2 * reach] = materialize(spark, refined(later, "pointer", "later"), f"pointers-{2 * reach}")
+    none = F.lit(0)
+    rows = shared.where("lo >= 0").select("text", "anchor", none.alias("level"), none.cast("long").alias("pointer"), "back", "span")
+    for reach, found in levels.items():
+        rows = rows.unionByName(found.select("text", "anchor", F.lit(reach).alias("level"), "pointer", none.alias("back"), none.alias("span")))
+    around = materialize(
+        spark,
+        rows.repartition("text").sortWithinPartitions("text", "anchor", "level").mapInArrow(_surroundings, "anchor long, back int, span int, pointers array<long>"),
+        "surroundings",
+    )
+    equal = ["pointers", "back", "span"]
+    groups = around.groupBy(*equal).agg(F.min("anchor").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    settled = around.join(groups, equal).select("anchor", (F.col("anchor") == F.col("first")).alias("witness"))
+    marked = materialize(
+        spark, shared.where("lo >= 0").drop("link", "back", "span").join(settled, "anchor", "left").withColumn("settled", F.col("witness").isNotNull()), "anchors-marked"
+    )
 
-    small = contexts(False).repartition("name").sortWithinPartitions("name").mapInArrow(_settle, f"{KEY}, lo long, hi long")
-    windows = contexts(True).mapInArrow(_windows, f"{KEY}, lo long, one long, two long")
-    large = windows.join(again(windows, "one", "two"), ["one", "two"]).select(*key, "lo", F.col("lo").alias("hi"))
-    runs = marked.where("settled").select(*key, "lo", "hi").unionByName(small).unionByName(large)
-    return runs.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    members = marked.where("not settled or witness")
+    buckets = materialize(
+        spark, members.groupBy("name").agg(F.count_if(~F.col("settled")).alias("_open"), F.count("*").alias("_n")).where("_open > 0 and _n > 1").select("name", (F.col("_n") > most).alias("large")), "buckets"
+    )
+    owners = every.where("i = 0").select(F.col("anchor").alias("text"), *key)
+    asked = materialize(
+        spark,
+        members.join(buckets, "name").groupBy("text").agg(F.collect_list(F.struct("name", "lo", "hi", "large")).alias("runs"))
+        .join(owners, "text").groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")),
+        "asked",
+    )
+    context = f"name long, {KEY}, lo long, hi long, large boolean, data binary"
+    contexts = materialize(spark, texts.select(*key, "text").join(asked, key).mapInArrow(_contexts, context), "contexts")
+    in_one = contexts.where("not large").drop("large").repartition("name").sortWithinPartitions("name").mapInArrow(_settle, f"{KEY}, lo long, hi long")
+    windows = contexts.where("large").mapInArrow(_windows, f"{KEY}, lo long, one long, two long")
+    again = windows.groupBy("one", "two").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    counted = windows.join(again, ["one", "two"]).select(*key, "lo", F.col("lo").alias("hi"))
+    known = marked.where("settled").groupBy("text").agg(F.collect_list(F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))).alias("runs")).join(owners, "text")
+    runs = in_one.unionByName(counted).groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).unionByName(known.select(*key, "runs"))
+    return materialize(spark, runs.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "runs")
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +437,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (
         texts.join(runs, ["_id", "_hash"], "left")
-        .select(F.when(F.col("_id") != NO_ID, F.col("_id")).cast(kind).alias("doc_id"), "text", "runs")
+        .select("doc_id", "text", "runs")
         .mapInArrow(_cutter, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 
