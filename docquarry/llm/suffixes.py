@@ -337,11 +337,13 @@ def keyed(docs: DataFrame, others: list[str] | None = None) -> DataFrame:
 KEY = "_id long, _hash long"
 
 
-def refined(members: DataFrame, *keys: str) -> DataFrame:
+def refined(spark: SparkSession, members: DataFrame, name: str, *keys: str) -> DataFrame:
     """(text, anchor, pointer): the buckets of members (text, anchor, keys) that agree in all keys,
-    named by their least anchor; what is alone in its bucket goes."""
+    named by their least anchor; what is alone in its bucket goes. The buckets are written first, so
+    that the join with them can split a bucket of very many members."""
     buckets = members.groupBy(*keys).agg(F.min("anchor").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return members.join(buckets, list(keys)).select("text", "anchor", F.col("_least").alias("pointer"))
+    found = members.join(materialize(spark, buckets, f"{name}-buckets"), list(keys))
+    return materialize(spark, found.select("text", "anchor", F.col("_least").alias("pointer")), name)
 
 
 def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> DataFrame:
@@ -357,15 +359,15 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> Da
     key = ["_id", "_hash"]
     every = materialize(spark, texts.select(*key, "text").mapInArrow(_anchors, f"{KEY}, {ANCHORS}").withColumn("anchor", F.monotonically_increasing_id()), "anchors")
     # The anchors of a text are numbered one after another, from the number that stands for the text.
-    names = every.groupBy("name").agg(F.count("*").alias("_n")).where("_n > 1").select("name")
+    names = materialize(spark, every.groupBy("name").agg(F.count("*").alias("_n")).where("_n > 1").select("name"), "grams-repeated")
     shared = materialize(
         spark, every.join(names, "name").select((F.col("anchor") - F.col("i")).alias("text"), "anchor", "lo", "hi", "back", "span", "name", "link"), "anchors-repeated"
     )
-    levels = {1: materialize(spark, refined(shared.select("text", "anchor", "name", "link"), "name", "link"), "pointers-1")}
+    levels = {1: refined(spark, shared.select("text", "anchor", "name", "link"), "pointers-1", "name", "link")}
     for reach in (1, 2):
         ahead = Window.partitionBy("text").orderBy("anchor").rangeBetween(reach, reach)
         later = levels[reach].withColumn("later", F.max("pointer").over(ahead)).where("later is not null")
-        levels[2 * reach] = materialize(spark, refined(later, "pointer", "later"), f"pointers-{2 * reach}")
+        levels[2 * reach] = refined(spark, later, f"pointers-{2 * reach}", "pointer", "later")
     none = F.lit(0)
     rows = shared.where("lo >= 0").select("text", "anchor", none.alias("level"), none.cast("long").alias("pointer"), "back", "span")
     for reach, found in levels.items():
@@ -376,7 +378,7 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> Da
         "surroundings",
     )
     equal = ["pointers", "back", "span"]
-    groups = around.groupBy(*equal).agg(F.min("anchor").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    groups = materialize(spark, around.groupBy(*equal).agg(F.min("anchor").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "surroundings-repeated")
     settled = around.join(groups, equal).select("anchor", (F.col("anchor") == F.col("first")).alias("witness"))
     marked = materialize(
         spark, shared.where("lo >= 0").drop("link", "back", "span").join(settled, "anchor", "left").withColumn("settled", F.col("witness").isNotNull()), "anchors-marked"
@@ -387,21 +389,17 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> Da
         spark, members.groupBy("name").agg(F.count_if(~F.col("settled")).alias("_open"), F.count("*").alias("_n")).where("_open > 0 and _n > 1").select("name", (F.col("_n") > most).alias("large")), "buckets"
     )
     owners = every.where("i = 0").select(F.col("anchor").alias("text"), *key)
-    asked = materialize(
-        spark,
-        members.join(buckets, "name").groupBy("text").agg(F.collect_list(F.struct("name", "lo", "hi", "large")).alias("runs"))
-        .join(owners, "text").groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")),
-        "asked",
-    )
+    run = F.struct("name", "lo", "hi", "large")
+    asked = materialize(spark, members.join(buckets, "name").join(owners, "text").groupBy(*key).agg(F.collect_set(run).alias("runs")), "asked")
     context = f"name long, {KEY}, lo long, hi long, large boolean, data binary"
     contexts = materialize(spark, texts.select(*key, "text").join(asked, key).mapInArrow(_contexts, context), "contexts")
     in_one = contexts.where("not large").drop("large").repartition("name").sortWithinPartitions("name").mapInArrow(_settle, f"{KEY}, lo long, hi long")
     windows = contexts.where("large").mapInArrow(_windows, f"{KEY}, lo long, one long, two long")
     again = windows.groupBy("one", "two").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     counted = windows.join(again, ["one", "two"]).select(*key, "lo", F.col("lo").alias("hi"))
-    known = marked.where("settled").groupBy("text").agg(F.collect_list(F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))).alias("runs")).join(owners, "text")
-    runs = in_one.unionByName(counted).groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).unionByName(known.select(*key, "runs"))
-    return materialize(spark, runs.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), "runs")
+    known = marked.where("settled").join(owners, "text").select(*key, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    runs = in_one.unionByName(counted).unionByName(known).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    return materialize(spark, runs, "runs")
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
