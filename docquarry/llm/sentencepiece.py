@@ -5,9 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,8 +22,28 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Below the least score of all pieces by this, as SentencePiece scores characters without a piece.
 UNKNOWN_PENALTY = 10.0
-#: Units longer than this many characters are not remembered; at most MEMO units are.
-MEMO_CHARS, MEMO = 48, 1 << 16
+#: Units longer than this many characters are not remembered; the last MEMO to twice MEMO that came
+#: up are, and as many pairs of pieces.
+MEMO_CHARS, MEMO = 48, 1 << 18
+
+
+class Memo(dict):
+    """Remembers what a function gives, so that a lookup costs no call. Bounded: when MEMO entries
+    are new, those not asked for since the last time go."""
+
+    def __init__(self, of: Callable):
+        self.of, self.old = of, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.of(key)
+        if type(key) is not str or len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 @dataclass(frozen=True)
@@ -38,23 +57,32 @@ class Pieces:
     #: Ids that stand for no text: control and unknown pieces.
     silent: frozenset[int]
     unknown_id: int
+    #: Whether the scores are ranks of merges (a BPE model), not logarithms of probabilities.
+    merges: bool
 
 
 def load_pieces(path: str) -> Pieces:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     by_name = {model.id_to_piece(i): i for i in range(n) if model.is_byte(i)}
+    ranks = [model.get_score(i) for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
     return Pieces(
         [model.id_to_piece(i) for i in range(n)],
         [model.get_score(i) for i in range(n)],
         [by_name[f"<0x{b:02X}>"] for b in range(256)] if len(by_name) == 256 else [],
         frozenset(i for i in range(n) if model.is_control(i) or model.is_unknown(i)),
         model.unk_id(),
+        all(r == int(r) for r in ranks),
     )
 
 
 class Codec:
-    """Encodes by the segmentation with the greatest sum of piece scores, and decodes.
+    """Encodes, by an automaton's matches and one pass over their ends, and decodes.
+
+    In a model of probabilities each match relaxes the best sum of scores at its end. In a model of
+    merges the score of a segmentation is whether merging by rank would give it, which holds if it
+    holds for each piece with the one before it; every place has exactly one such last piece, and
+    the ids are those of the SentencePiece library.
 
     One blank is put before the text and blanks become the blank sign, as the public models have
     it. A character without a piece, and a blank sign in the text itself, become their UTF-8 byte
@@ -80,7 +108,11 @@ class Codec:
                 self.single.add(name)
         self.automaton.make_automaton()
         self.units = re.compile(r"(?s).+" if crossing else r" *[^ ]+| +").findall
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.score_of = {pieces.names[i].replace(BLANK, " "): (pieces.scores[i], i) for i in plain}
+        self.text_of = {i: name for name, (_, i) in self.score_of.items()}
+        segment = self.merged if pieces.merges else self.best
+        self.memo = Memo(lambda unit: array("i", segment(unit)).tobytes())
+        self.pairs = Memo(self._apart)
         byte_of = {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
         self.bytes_of = [
             byte_of.get(i, b"" if i in pieces.silent else name.replace(BLANK, " ").encode()) for i, name in enumerate(pieces.names)
@@ -115,38 +147,82 @@ class Codec:
             at = start
         return tuple(out[::-1])
 
-    def _part(self, text: str) -> Iterator[tuple[int, ...]]:
-        memo = self.memo
-        for unit in self.units(text):
-            ids = memo.get(unit)
-            if ids is None:
-                ids = self.best(unit)
-                if len(unit) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[unit] = ids
-            yield ids
+    def by_merging(self, text: str) -> list[str]:
+        """Merge neighbours that are a piece together, those of the best rank first, the leftmost of equals."""
+        parts = list(text)
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                found = self.score_of.get(parts[i] + parts[i + 1])
+                if found is not None and (best is None or found[0] > best):
+                    best, at = found[0], i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def _apart(self, pair: tuple[int, int]) -> bool:
+        """Whether merging the text of both pieces (or of the second, after -1) gives just them."""
+        texts = [self.text_of[i] for i in pair if i >= 0]
+        return self.by_merging("".join(texts)) == texts
+
+    def merged(self, unit: str) -> tuple[int, ...]:
+        """What merging by rank makes of a unit: at each end the match, longest first, that stays
+        apart from the last piece before it."""
+        n = len(unit)
+        last: list[int | None] = [-1] + [None] * n
+        size, pairs = [0] * (n + 1), self.pairs
+        if not self.single.issuperset(unit):
+            for i, char in enumerate(unit):
+                if char not in self.single:
+                    last[i + 1] = -1  # a character without a piece, which nothing merges with
+        for end, (length, _, piece) in self.automaton.iter(unit):
+            end += 1
+            if last[end] is None:
+                before = last[end - length]
+                if before is not None and pairs[before, piece]:
+                    last[end], size[end] = piece, length
+        out: list[int] = []
+        at = n
+        while at:
+            if size[at]:
+                out.append(last[at])
+                at -= size[at]
+            elif last[at] is None:
+                raise ValueError(f"no segmentation of {unit!r}")
+            else:
+                out += self._rare(unit[at - 1])[::-1]
+                at -= 1
+        out.reverse()
+        return tuple(out)
 
     def encode(self, text: str) -> array:
         """Piece ids of a text; none for an empty one."""
-        if not text:
-            return array("i")
-        if BLANK not in text:
-            return array("i", chain.from_iterable(self._part(" " + text)))
         out = array("i")
-        for i, part in enumerate((" " + text).split(BLANK)):
-            if i:
-                out.extend(self._rare(BLANK))
-            out.extend(chain.from_iterable(self._part(part)))
+        if text:
+            for i, part in enumerate((" " + text).split(BLANK)):
+                if i:
+                    out.extend(self._rare(BLANK))
+                out.frombytes(b"".join(map(self.memo.__getitem__, self.units(part))))
         return out
 
     def decode(self, ids: array) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+#: The codec of this process and the names of its pieces, kept from task to task.
+_own: dict[int, tuple[Pieces, Codec]] = {}
+
+
+def codec_of(pieces: Pieces) -> Codec:
+    known = _own.get(0)
+    if known is None or known[0] != pieces:
+        _own[0] = (pieces, Codec(pieces))
+    return _own[0][1]
+
+
 def _encoder(pieces: Pieces, keep: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(pieces)
+        codec = codec_of(pieces)
         bytes_first = pieces.byte_ids[0] if pieces.byte_ids else -1
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
