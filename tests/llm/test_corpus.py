@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import dataclasses
 import hashlib
 import random
 import re
@@ -276,6 +277,12 @@ def test_sentencepiece(spark, docs, none):
     codec = sentencepiece.Codec(pieces)
     for text in ("", " ", "a▁b ▁", "tab\tnew\n\nline", "日本語 😀", "  two  blanks "):
         assert codec.decode(codec.encode(text)) == text
+    library = spm.SentencePieceProcessor(model_file=sentencepiece.MODEL_PATH)
+    rng = random.Random(8)
+    odd = ["".join(rng.choice("abcdefghijklmn  \n\t.,éü日本😀ZQ0123") for _ in range(rng.randrange(40))) for _ in range(500)]
+    for text in [t for _, t in pairs() if t and "▁" not in t] + odd:
+        assert codec.encode(text).tolist() == library.encode(text)
+    likely = sentencepiece.Codec(dataclasses.replace(pieces, merges=False))  # the same pieces as a model of probabilities
     names = {n.replace("▁", " "): (pieces.scores[i], i) for i, n in enumerate(pieces.names) if i not in set(pieces.byte_ids) | pieces.silent}
     for text in [t[:300] for _, t in pairs() if t]:
         best = [(0.0, [])] + [None] * (len(text) + 1)
@@ -283,12 +290,13 @@ def test_sentencepiece(spark, docs, none):
         for e in range(1, len(text) + 1):
             options = [(best[s][0] + names[text[s:e]][0], s) for s in range(e) if text[s:e] in names]
             if text[e - 1] not in names:
-                options.append((best[e - 1][0] + codec.floor, e - 1))
+                options.append((best[e - 1][0] + likely.floor, e - 1))
             best[e] = (max(options)[0], None)
-        got = [i for i in codec.encode(text[1:])]
+        got = likely.encode(text[1:])
+        assert likely.decode(got) == text[1:]
         total = sum(pieces.scores[i] for i in got if i not in pieces.byte_ids)
         rare = sum(text[k] not in names for k in range(len(text)))
-        assert total + rare * codec.floor == pytest.approx(best[len(text)][0])
+        assert total + rare * likely.floor == pytest.approx(best[len(text)][0])
     assert spm.SentencePieceProcessor(model_file=sentencepiece.MODEL_PATH).decode(codec.encode("plain words here").tolist()) == "plain words here"
 
 
@@ -339,14 +347,17 @@ def test_nearest(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(3000, 24))
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    odd = [(4000, None), (4020, [0.0] * 24), (4040, [float("nan")] * 24), (4060, [None] * 24), (4080, [1.0] * 3), (None, rows[1][1]), rows[20], (5000, rows[21][1]), (5001, rows[21][1])]
+    odd = [(4000, None), (4020, [0.0] * 24), (4040, [float("nan")] * 24), (4060, [None] * 24), (4080, [1.0] * 3), (4100, [2.0] * 3), (None, rows[1][1]), rows[20], (5000, rows[21][1]), (5001, rows[21][1])]
     got = ann.nearest(spark, spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")).collect()
     by = collections.defaultdict(list)
     for r in got:
         by[r["query_id"]].append(r)
-    assert set(by) == {i for i in range(0, 3000, 20)} | {5000}
+    assert set(by) == {i for i in range(0, 3000, 20)} | {5000, 4080, 4100}
+    assert [tuple(r)[1:3] for r in by.pop(4080) + by.pop(4100)] == [(1, 4100), (1, 4080)]
+    twice = by.pop(20)
+    assert len(twice) == 40 and {r["rank"] for r in twice if r["vec_id"] == 20} == {1} and sum(r["vec_id"] == 20 for r in twice) == 2
     vectors = np.array([np.float32(v) for v in vectors], dtype=np.float64)
-    both, ids = np.vstack([vectors, vectors[21], vectors[21]]), np.array([*range(3000), 5000, 5001])
+    both, ids = np.vstack([vectors, vectors[20], vectors[21], vectors[21]]), np.array([*range(3000), 20, 5000, 5001])
     hits = total = 0
     for q, found in by.items():
         found.sort(key=lambda r: r["rank"])
