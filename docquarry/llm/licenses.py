@@ -68,8 +68,8 @@ def scan(spark: SparkSession, docs: DataFrame, templates: Sequence[Template] = T
     positions (broadcast: the templates are a parameter). A match votes for the diagonal (word
     position less template position); diagonals of one template that lie within `drift` of each
     other at neighbouring places are merged, so that a word more or less does not part a finding.
-    Spans are verified: grams are compared word for word, and a base phrase must be whole, any
-    other must have its template's share of words matched.
+    Spans are verified: grams are compared word for word, and a base phrase must be whole, of any
+    other the share of its template's words that are matched must be its `least` or more.
 
     Null and empty texts have no words, null doc_ids and repeated rows are kept as they come, ties
     cannot arise, other columns are ignored, an empty table gives an empty result.
@@ -119,15 +119,16 @@ def scan(spark: SparkSession, docs: DataFrame, templates: Sequence[Template] = T
 
     keys = ["_row", "doc_id", "n_words", "template", "length", "base", "least", "label"]
     votes = hits.groupBy(*keys, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.greatest(F.col("k"), F.lit(1)) - 1))))).alias("matched")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.greatest(F.col("k"), F.lit(1)) - 1))))).alias("matched"),
+        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.greatest(F.col("k"), F.lit(1)) - 1)))).alias("covered"),
     )
     order = Window.partitionBy(*keys).orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(order) > drift) | F.col("base") | F.lag("diagonal").over(order).isNull()
     chained = votes.withColumn("chain", F.sum(far.cast("int")).over(order))
     spans = (
         chained.groupBy(*keys, "chain")
-        .agg(F.array_distinct(F.flatten(F.collect_list("matched"))).alias("m"))
-        .withColumn("share", F.least(F.lit(1.0), F.when(F.col("length") > 0, F.size("m") / F.col("length")).otherwise(0.0)))
+        .agg(F.array_distinct(F.flatten(F.collect_list("matched"))).alias("m"), F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"))
+        .withColumn("share", F.when(F.col("length") > 0, F.size("covered") / F.col("length")).otherwise(0.0))
         .where((F.col("template") < 0) | (F.col("share") >= F.col("least") - 1e-9))
         .withColumn("first", F.array_min("m"))
         .withColumn("last", F.array_max("m"))
