@@ -73,22 +73,44 @@ def test_shards(spark, docs, none):
 
 @pytest.mark.parametrize("weights", [None, {"src0": 5.0, "src1": 1.0}])
 def test_mixing(spark, docs, none, weights):
-    rows = mixing.mix_sources(spark, docs, weights, block_rows=2, cycle=7).collect()
+    rows = mixing.mix_sources(spark, docs, weights, block_rows=2).collect()
     assert mixing.mix_sources(spark, none).count() == 0 and len(rows) == len(ROWS)
-    blocks = {(r["source"], r["block"]): (r["release"], r["slot"], r["deadline"]) for r in rows}
-    assert sorted(s for _, s, _ in blocks.values()) == list(range(len(blocks)))
-    assert all(r <= s < d for r, s, d in blocks.values())
+    blocks = {(r["source"], r["block"]): (r["release"], r["turn"], r["deadline"], r["slot"]) for r in rows}
+    assert sorted(b[3] for b in blocks.values()) == list(range(len(blocks)))
+    assert all(r <= t < d for r, t, d, _ in blocks.values())
+    assert sorted(blocks, key=lambda b: blocks[b][1]) == sorted(blocks, key=lambda b: blocks[b][3])
     assert max(collections.Counter((r["source"], r["block"]) for r in rows).values()) == 2
     ordered = mixing.mixed_order(spark, docs, weights, 2)
     assert ordered.columns == docs.columns and sorted(map(repr, ordered.collect())) == sorted(map(repr, docs.collect()))
 
 
-def test_edf_keeps_within_one_block():
-    quota = {"a": 5, "b": 3, "c": 1, "d": 1}
-    got, done = mixing.edf_cycle(quota), collections.Counter()
-    for t, (source, *_) in enumerate(got, 1):
-        done[source] += 1
-        assert all(abs(done[s] - q * t / 10) < 1 for s, q in quota.items())
+def test_mixing_keeps_within_one_block(spark):
+    """Against the exact shares, over all turns; a weight of 0.0004 too."""
+    weights = {"a": 0.5, "b": 0.25, "c": 0.2496, "d": 0.0004}
+    rows = [(i, f"{s}{i}", s) for s, n in (("a", 5200), ("b", 2600), ("c", 2600), ("d", 4)) for i in range(n)]
+    got = mixing.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block_rows=1).collect()
+    order = {r["turn"]: r["source"] for r in got}
+    done = collections.Counter()
+    for t in range(10_000):
+        done[order[t]] += 1
+        assert all(abs(done[s] - w * (t + 1)) < 1 for s, w in weights.items())
+
+
+def slow_edf(shares):
+    length, done, out = sum(shares), [0] * len(shares), []
+    for t in range(length):
+        ready = [(-(-(k + 1) * length // q), i) for i, (k, q) in enumerate(zip(done, shares)) if k * length // q <= t]
+        _, i = min(ready)
+        out.append((i, done[i], t))
+        done[i] += 1
+    return out
+
+
+def test_edf_by_brute_force(spark):
+    rng = random.Random(6)
+    for shares in ([1], [5, 3, 1, 1], [rng.randrange(1, 90) for _ in range(9)]):
+        assert sorted((r["class"], r["r"], r["at"]) for r in mixing.edf_cycle(spark, shares).collect()) == sorted(slow_edf(shares))
+    assert mixing.exact_shares([0.1, 0.3], [1, 1]) == [1, 3] and sum(mixing.exact_shares([1 / 3, 0.12345678901], [1, 2])) <= mixing.MOST_CYCLE + 2
 
 
 def test_components(spark):
