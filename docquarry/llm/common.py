@@ -60,7 +60,16 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote, when all that is made of them is written itself."""
+    for table_ in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Most rows of an Arrow batch between the JVM and Python, of whole texts of any length.

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize, row_key, slices, small_batches, table, whole_groups
+from docquarry.llm.common import materialize, release, row_key, slices, small_batches, table, whole_groups
 
 #: Bytes of an initial q-gram, and of a window.
 Q, LENGTH = 32, 200
@@ -342,8 +342,10 @@ def refined(spark: SparkSession, members: DataFrame, name: str, *keys: str) -> D
     named by their least anchor; what is alone in its bucket goes. The buckets are written first, so
     that the join with them can split a bucket of very many members."""
     buckets = members.groupBy(*keys).agg(F.min("anchor").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    found = members.join(materialize(spark, buckets, f"{name}-buckets"), list(keys))
-    return materialize(spark, found.select("text", "anchor", F.col("_least").alias("pointer")), name)
+    buckets = materialize(spark, buckets, f"{name}-buckets")
+    found = materialize(spark, members.join(buckets, list(keys)).select("text", "anchor", F.col("_least").alias("pointer")), name)
+    release(spark, buckets)
+    return found
 
 
 def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> DataFrame:
@@ -363,6 +365,8 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> Da
     shared = materialize(
         spark, every.join(names, "name").select((F.col("anchor") - F.col("i")).alias("text"), "anchor", "lo", "hi", "back", "span", "name", "link"), "anchors-repeated"
     )
+    owners = materialize(spark, every.where("i = 0").select(F.col("anchor").alias("text"), *key), "anchor-texts")
+    release(spark, every, names)
     levels = {1: refined(spark, shared.select("text", "anchor", "name", "link"), "pointers-1", "name", "link")}
     for reach in (1, 2):
         ahead = Window.partitionBy("text").orderBy("anchor").rangeBetween(reach, reach)
@@ -384,11 +388,11 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> Da
         spark, shared.where("lo >= 0").drop("link", "back", "span").join(settled, "anchor", "left").withColumn("settled", F.col("witness").isNotNull()), "anchors-marked"
     )
 
+    release(spark, shared, around, groups, *levels.values())
     members = marked.where("not settled or witness")
     buckets = materialize(
         spark, members.groupBy("name").agg(F.count_if(~F.col("settled")).alias("_open"), F.count("*").alias("_n")).where("_open > 0 and _n > 1").select("name", (F.col("_n") > most).alias("large")), "buckets"
     )
-    owners = every.where("i = 0").select(F.col("anchor").alias("text"), *key)
     run = F.struct("name", "lo", "hi", "large")
     asked = materialize(spark, members.join(buckets, "name").join(owners, "text").groupBy(*key).agg(F.collect_set(run).alias("runs")), "asked")
     context = f"name long, {KEY}, lo long, hi long, large boolean, data binary"
@@ -399,7 +403,9 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, most: int = 4000) -> Da
     counted = windows.join(again, ["one", "two"]).select(*key, "lo", F.col("lo").alias("hi"))
     known = marked.where("settled").join(owners, "text").select(*key, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
     runs = in_one.unionByName(counted).unionByName(known).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    return materialize(spark, runs, "runs")
+    runs = materialize(spark, runs, "runs")
+    release(spark, marked, buckets, asked, contexts, owners)
+    return runs
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
