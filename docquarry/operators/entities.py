@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import checksums as C
@@ -99,13 +99,22 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def resolve(hits: DataFrame) -> DataFrame:
-    """Of hits that overlap, those of greater precedence stay, then longer, then earlier ones: an
-    anti-join with the better hits that meet them, repeated in the case of chains by the rank itself."""
-    rank = F.struct(-F.col("precedence"), F.col("at") - F.col("end"), F.col("at"), F.col("rule_id"))
-    ranked = hits.withColumn("rank", rank)
-    better = ranked.select("doc_id", F.col("at").alias("b_at"), F.col("end").alias("b_end"), F.col("rank").alias("b_rank"))
-    meets = (ranked.doc_id == better.doc_id) & (F.col("b_at") < F.col("end")) & (F.col("at") < F.col("b_end")) & (F.col("b_rank") < F.col("rank"))
-    return ranked.join(better, meets, "left_anti").drop("rank")
+    """Of hits that overlap, those of greater precedence stay, then longer, then earlier ones. A hit
+    goes only if it meets one that stays: in a chain the best stays and so does the one beyond its neighbour.
+
+    Hits of a text that touch form runs, by one sort; within a run the best are taken in turn.
+    """
+    order = Window.partitionBy("doc_id").orderBy("at", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.withColumn("_new", F.coalesce((F.col("at") >= reach).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order))
+    rank = F.struct((-F.col("precedence")).alias("p"), (F.col("at") - F.col("end")).alias("l"), F.col("at").alias("at"), F.col("rule_id").alias("r"))
+    own = runs.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.struct(*hits.columns).alias("hit")))).alias("h"))
+
+    def take(kept: Column, x: Column) -> Column:
+        meets = F.exists(kept, lambda k: (x["hit"]["at"] < k["hit"]["end"]) & (k["hit"]["at"] < x["hit"]["end"]))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(x)))
+
+    return own.select(F.explode(F.aggregate("h", F.slice("h", 1, 0), take)).alias("h")).select("h.hit.*")
 
 
 def summarise(hits: DataFrame) -> DataFrame:

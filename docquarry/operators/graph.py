@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.intervals import range_join
+from docquarry.session import shared_dir
+
 
 def star_edges(nodes: DataFrame, key: str, by: Sequence[str], kind: str) -> DataFrame:
     """Edges of all nodes that share `by` to the least of them: a star, so edges grow with the nodes."""
@@ -21,46 +24,55 @@ def parent_edges(nodes: DataFrame, key: str, id_column: str, parents: Column, ki
     return named.join(ids, "_p").where("src <> dst").select("src", "dst", F.lit(kind).alias("kind")).distinct()
 
 
-def follow_edges(nodes: DataFrame, key: str, subject: str, at: str, people: str, within: int, kind: str = "inferred") -> DataFrame:
-    """Edges from a message to the last one before it on the same subject (over three letters), at
-    most `within` seconds earlier, strictly, with a person in common."""
-    fair = nodes.where((F.length(subject) > 3) & F.col(at).isNotNull())
-    order = Window.partitionBy(subject).orderBy(at, key)
-    linked = fair.withColumn("dst", F.lag(key).over(order)).withColumn("_t", F.lag(at).over(order)).withColumn("_p", F.lag(people).over(order))
-    close = (F.col(at) > F.col("_t")) & (F.col(at) - F.col("_t") <= within) & F.arrays_overlap(people, "_p")
-    return linked.where(close).select(F.col(key).alias("src"), "dst", F.lit(kind).alias("kind"))
+def follow_edges(nodes: DataFrame, key: str, subject: str, at: str, people: str, marked: str, within: int, kind: str = "inferred") -> DataFrame:
+    """Edges from a message that is marked as a reply or forward to all on the same subject (over
+    three letters) that came before it, strictly, at most `within` seconds, with a person in common.
+
+    A range join on subject and person, so that only rows that share both and lie near meet.
+    """
+    fair = nodes.where((F.length(subject) > 3) & F.col(at).isNotNull()).select(F.col(key).alias("_k"), F.col(subject).alias("_s"), F.col(at).alias("_at"), F.col(marked).alias("_m"), F.explode(people).alias("_p"))
+    later = fair.where("_m").select("_s", "_p", F.col("_k").alias("src"), (F.col("_at") - within).alias("_start"), F.col("_at").alias("_end"))
+    earlier = fair.select("_s", "_p", F.col("_k").alias("dst"), F.col("_at").alias("_then"))
+    near = range_join(later, earlier, ["_s", "_p"], "_start", "_then", within).where(F.col("_then") < F.col("_end"))
+    return near.select("src", "dst", F.lit(kind).alias("kind")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that can be reached. Labels spread to neighbours and to
     their labels' labels; each round is checkpointed, and rounds end when no label falls."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = _checkpoint(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
-    spark = edges.sparkSession
     total = None
-    for _ in range(rounds):
-        labels = _checkpoint(spark, labels)
+    while True:
+        labels = _checkpoint(labels)
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == total:
-            break
+            return labels
         total = now
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("_near"))
         fallen = labels.join(near, "node").select("node", F.least("component", "_near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("_far"))
         labels = fallen.join(jump, "component", "left").select("node", F.least("component", "_far").alias("component"))
-    return labels
 
 
-def _checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut the lineage in spark.checkpoint.dir; without one (local runs), go on uncut."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not found:
-            return df
-        spark.sparkContext.setCheckpointDir(found)
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that all executors share."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
+def clusters(labels: DataFrame, key: str = "node", label: str = "component") -> DataFrame:
+    """(component, size, anchor) of the components with several members."""
+    return labels.groupBy(label).agg(F.count("*").alias("size"), F.min(key).alias("anchor")).where("size > 1")
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """(kind, edges, nodes): how many edges of each kind there are, and nodes that they start from."""
+    return edges.groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("nodes"))
+
+
 def ego(edges: DataFrame, start: int, depth: int = 3, most: int = 50) -> DataFrame:
     """(node, hops) within `depth` hops of a node, the nearest `most`, then by node."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -71,6 +83,14 @@ def ego(edges: DataFrame, start: int, depth: int = 3, most: int = 50) -> DataFra
     return seen.orderBy("hops", "node").limit(most)
 
 
+def ego_flags(edges: DataFrame, start: int, depth: int = 3, most: int = 50) -> DataFrame:
+    """(nodes, more_nodes, more_depth): the size of what `ego` returns, and whether nodes within reach
+    were left out, or any lie beyond it."""
+    wide = ego(edges, start, depth + 1, most * most)
+    inside = F.count_if(F.col("hops") <= depth)
+    return wide.agg(F.least(inside, F.lit(most)).cast("long").alias("nodes"), (inside > most).alias("more_nodes"), (F.count_if(F.col("hops") > depth) > 0).alias("more_depth"))
+
+
 def closure(parents: DataFrame, depth: int = 64) -> DataFrame:
     """(node, ancestor, hops) over (node, parent) rows with several parents and cycles; the fewest
     hops to each ancestor, by a recursive query that keeps what is new."""

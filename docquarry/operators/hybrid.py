@@ -40,10 +40,12 @@ def per_kind_floor(ranked: DataFrame, kind: str, order: Sequence[Column | str],
     return picked.orderBy("_late", *order).limit(total).drop("_own", "_late")
 
 
-def within_budget(ranked: DataFrame, order: Sequence[Column | str], cost: Column, budget: int) -> DataFrame:
-    """The first rows whose costs together keep within a budget."""
+def within_budget(ranked: DataFrame, order: Sequence[Column | str], cost: Column, budget: int, least: int) -> DataFrame:
+    """The first rows whose costs together keep within a budget. least: what any row costs at least,
+    so that no more than budget / least rows, the first, need summing."""
+    first = ranked.orderBy(*order).limit(budget // least + 1)
     running = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("spent", running).where(F.col("spent") <= budget)
+    return first.withColumn("spent", running).where(F.col("spent") <= budget)
 
 
 def hash_embedding(tokens: Column, dim: int = 64) -> Column:

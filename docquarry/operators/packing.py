@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def pack(df: DataFrame, group: str, order: Sequence[Column | str], size: Column, most_bytes: int, most_rows: int) -> DataFrame:
-    """Add `unit`, from 0 within the group: a new one begins whenever the rows so far have used up
-    another unit's worth of bytes or rows, whichever a row takes more of. So a unit has at most
-    `most_rows` rows and exceeds `most_bytes` by less than its last row; a larger row takes several
-    units' worth by itself. One running sum; rows stream through the sort and are never gathered.
+    """Add `unit`, from 0 within the group: rows in order fill a unit until the next one would take
+    it over either limit; that row opens the next. A row over the limit by itself has a unit of its own.
+
+    Where units end depends on all rows before, so a group's rows stream through one task in order;
+    nothing of them is kept but two sums. Keep df narrow.
     """
-    worth = F.greatest(F.ceil(size.cast("long") * 1_000_000 / most_bytes), F.lit(-(-1_000_000 // most_rows))).cast("long")
-    before = F.sum(worth).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("unit", F.floor(F.coalesce(before, F.lit(0)) / 1_000_000).cast("long"))
+    sized = df.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0)))
+    columns = sized.schema.names
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, unit, rows, used = object(), 0, 0, 0
+        for frame in frames:
+            units = []
+            for key, n in zip(frame[group], frame["_size"], strict=True):
+                if key != now:
+                    now, unit, rows, used = key, 0, 0, 0
+                elif rows and (used + n > most_bytes or rows + 1 > most_rows):
+                    unit, rows, used = unit + 1, 0, 0
+                rows, used = rows + 1, used + n
+                units.append(unit)
+            yield frame[columns].assign(unit=units)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema)
+    return sized.repartition(group).sortWithinPartitions(group, *order).mapInPandas(deal, f"{schema}, unit long").drop("_size")

@@ -58,9 +58,10 @@ def grid_page(cells: DataFrame, sort_column: int, columns: Sequence[int], offset
 
 
 def column_letter(index: Column) -> Column:
-    """A, B, ..., Z, AA, ... of a column's number from 1, up to ZZ."""
-    letter = lambda n: F.char(n + 64)
-    return F.when(index <= 26, letter(index)).otherwise(F.concat(letter(F.floor((index - 1) / 26)), letter((index - 1) % 26 + 1)))
+    """A, B, ..., Z, AA, ..., XFD, ... of a column's number from 1: digits 1 to 26, without a zero."""
+    state = lambda n, t: F.struct(n.cast("long").alias("n"), t.alias("t"))
+    step = lambda s, _: F.when(s["n"] <= 0, s).otherwise(state(F.floor((s["n"] - 1) / 26), F.concat(F.char((s["n"] - 1) % 26 + 65), s["t"])))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), state(index, F.lit("")), step, lambda s: s["t"])
 
 
 def excel_serial(serial: Column, from_1904: bool = False) -> Column:

@@ -19,52 +19,92 @@ MAIL = [
 
 def mail(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(MAIL, "id long, message string, refs string, subject string, at long, people string")
-    return rows.select("id", T.normalise_message_id(F.col("message")).alias("message"), T.split_message_ids(F.col("refs")).alias("refs"), T.normalise_subject(F.col("subject")).alias("subject"), "at", F.split("people", ",").alias("people"))
+    return rows.select(
+        "id", T.normalise_message_id(F.col("message")).alias("message"), T.split_message_ids(F.col("refs")).alias("refs"), T.normalise_subject(F.col("subject")).alias("subject"),
+        (T.subject_prefix_kind(F.col("subject")) != "none").alias("marked"), "at", F.split("people", ",").alias("people"),
+    )
 
 
 def mail_edges(spark: SparkSession) -> DataFrame:
     nodes = mail(spark)
     return (
         G.star_edges(nodes, "id", ["message"], "identity").unionByName(G.parent_edges(nodes, "id", "message", F.col("refs"), "reply"))
-        .unionByName(G.follow_edges(nodes, "id", "subject", "at", "people", 90 * 86400)).dropDuplicates(["src", "dst", "kind"])
+        .unionByName(G.follow_edges(nodes, "id", "subject", "at", "people", "marked", 90 * 86400)).dropDuplicates(["src", "dst", "kind"])
     )
 
 
-@query("select * from (values (3::bigint, 1::bigint, 'identity'), (2, 1, 'reply'), (2, 3, 'reply'), (4, 2, 'reply'), (2, 3, 'inferred'), (6, 5, 'inferred')) v(src, dst, kind)")
+MAIL_EDGES = f"""raw(id, message, refs, subject, "at", people) as (values {", ".join(str(r) for r in MAIL)}),
+m as (select id, lower(regexp_replace(message, '[<>]', '', 'g')) as message, list_transform(regexp_extract_all(refs, '<[^<>]+>'), lambda r: lower(regexp_replace(r, '[<>]', '', 'g'))) as refs,
+  trim(regexp_replace(lower(subject), '^(re|aw|fwd?):\\s*', '')) as subject, regexp_matches(lower(subject), '^(re|aw|fwd?):') as marked, "at", string_split(people, ',') as people from raw),
+e as (select id::bigint as src, hub::bigint as dst, 'identity' as kind from (select id, min(id) over (partition by message) as hub from m) where id <> hub
+ union select a.id, b.id, 'reply' from m a join m b on list_contains(a.refs, b.message) and a.id <> b.id
+ union select a.id, b.id, 'inferred' from m a join m b on a.subject = b.subject and length(a.subject) > 3 and a.marked and b."at" < a."at" and a."at" - b."at" <= 7776000 and list_has_any(a.people, b.people))"""
+
+
+@query(f"with {MAIL_EDGES} select * from e")
 def graph_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail_edges(spark)
 
 
+@query(f"with {MAIL_EDGES} select kind, count(*) as edges, count(distinct src) as nodes from e group by 1")
+def graph_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.edge_counts(mail_edges(spark))
+
+
 @query("""select doc_id as src, hub as dst, 'identity' as kind from (select doc_id, min(doc_id) over (partition by md5(text)) as hub from documents) where doc_id <> hub""")
 def graph_identity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
     return G.star_edges(docs, "doc_id", ["h"], "identity")
 
 
-@query("""with m as (select conv_id * 1000 + turn as id, role as subject, turn as t1 from conversations),
-l as (select id, t1, lag(id) over w as dst, lag(t1) over w as t0 from m window w as (partition by subject order by t1, id)) select id as src, dst, 'inferred' as kind from l where t1 > t0 and t1 - t0 <= 90""")
+@query("""with m as (select conv_id * 1000 + turn as id, 'conversation ' || conv_id as subject, turn as t, role, role = 'assistant' as marked from conversations)
+select distinct a.id as src, b.id as dst, 'inferred' as kind from m a join m b on a.subject = b.subject and a.role = b.role and a.marked and b.t < a.t and a.t - b.t <= 90""")
 def graph_inferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("subject"), F.col("turn").alias("at"), F.array(F.lit("all")).alias("people"))
-    return G.follow_edges(nodes, "id", "subject", "at", "people", 90)
+    """Turns of a conversation as messages on one subject: an answer follows all earlier ones of its role."""
+    nodes = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("subject"),
+        F.col("turn").alias("at"), F.array("role").alias("people"), (F.col("role") == "assistant").alias("marked"),
+    )
+    return G.follow_edges(nodes, "id", "subject", "at", "people", "marked", 90)
+
+
+#: Documents linked to the least of their text, and of their source and length.
+TWINS = """e as (select doc_id as src, hub as dst from (select doc_id, min(doc_id) over (partition by md5(text)) as hub from documents) where doc_id <> hub
+union select doc_id, hub from (select doc_id, min(doc_id) over (partition by source, n_chars) as hub from documents) where doc_id <> hub),
+b as (select src, dst from e union select dst, src from e)"""
 
 
-PAIRS = "select user_id as src, ((user_id * 7) % 150)::bigint as dst from events where user_id % 3 = 0 and user_id <> (user_id * 7) % 150"
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), "source", "n_chars")
+    return G.star_edges(docs, "doc_id", ["h"], "text").unionByName(G.star_edges(docs, "doc_id", ["source", "n_chars"], "size")).select("src", "dst").distinct()
 
 
-@query(f"""with recursive e as (select distinct src, dst from ({PAIRS})), b as (select src, dst from e union select dst, src from e),
-r(node, other) as (select src, dst from b union select r.node, b.dst from r join b on r.other = b.src)
-select node, least(node, min(other)) as component from r group by node""")
+REACHED = f"""with recursive {TWINS}, r(node, other) as (select src, dst from b union select r.node, b.dst from r join b on r.other = b.src), c as (select node, least(node, min(other)) as component from r group by node)"""
+
+
+@query(f"{REACHED} select node, component from c")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("src"), (F.col("user_id") * 7 % 150).alias("dst")).where("src <> dst").distinct()
-    return G.components(users)
+    return G.components(twins(spark, sf_dir))
+
+
+@query(f"{REACHED} select component, count(*) as size, min(node) as anchor from c group by 1 having count(*) > 1")
+def graph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster rows: the size and the least member of each component."""
+    return G.clusters(G.components(twins(spark, sf_dir)))
 
 
-@query(f"""with recursive e as (select distinct src, dst from ({PAIRS})), b as (select src, dst from e union select dst, src from e),
-r(node, hops) as (select 3::bigint, 0 union select b.dst, r.hops + 1 from r join b on r.node = b.src where r.hops < 3)
-select node, min(hops) as hops from r group by node order by hops, node limit 50""")
+HOPS = f"""with recursive {TWINS}, r(node, hops) as (select 0::bigint, 0 union select b.dst, r.hops + 1 from r join b on r.node = b.src where r.hops < {{depth}}), n as (select node, min(hops) as hops from r group by node)"""
+
+
+@query(f"{HOPS.format(depth=3)} select node, hops from n order by hops, node limit 50")
 def graph_ego_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("src"), (F.col("user_id") * 7 % 150).alias("dst")).where("src <> dst").distinct()
-    return G.ego(users, 3)
+    return G.ego(twins(spark, sf_dir), 0)
+
+
+@query(f"{HOPS.format(depth=3)} select least(count(*) filter (hops <= 2), 5) as nodes, count(*) filter (hops <= 2) > 5 as more_nodes, count(*) filter (hops > 2) > 0 as more_depth from n")
+def graph_ego_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an ego graph of two hops and five nodes leaves anything out."""
+    return G.ego_flags(twins(spark, sf_dir), 0, 2, 5)
 
 
 URL_PATHS = """p as (select page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z]+://', ''), '[?#].*$', ''), '/+$', '') as u from pages),

@@ -187,22 +187,25 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-PACKED = """with w as (select source, doc_id, strlen(text) as size, greatest(ceil(strlen(text) * 1000000::bigint / {bytes}::double), {rows})::bigint as worth from documents)
-select source, doc_id, (coalesce(sum(worth) over (partition by source order by {order} rows between unbounded preceding and 1 preceding), 0) // 1000000)::bigint as unit from w"""
+PACKED = """with recursive w as (select source, doc_id, strlen(text) as size, row_number() over (partition by source order by {order}) as r from (select *, strlen(text) as size from documents)),
+p(source, r, doc_id, unit, n, used) as (select source, r, doc_id, 0::bigint, 1, size from w where r = 1 union all
+select p.source, w.r, w.doc_id, case when p.used + w.size > {bytes} or p.n + 1 > {rows} then p.unit + 1 else p.unit end,
+ case when p.used + w.size > {bytes} or p.n + 1 > {rows} then 1 else p.n + 1 end, case when p.used + w.size > {bytes} or p.n + 1 > {rows} then w.size else p.used + w.size end
+from p join w on w.source = p.source and w.r = p.r + 1) select source, doc_id, unit from p"""
 
 
-@query(PACKED.format(bytes=40000, rows=-(-1_000_000 // 20), order="size, doc_id"))
+@query(PACKED.format(bytes=40000, rows=20, order="size, doc_id"))
 def plan_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work units by size ascending, of 20 items or 40 kB."""
-    docs = table(spark, sf_dir, "documents").withColumn("size", F.octet_length("text"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("size"))
     return packing.pack(docs, "source", ["size", "doc_id"], F.col("size"), 40000, 20).select("source", "doc_id", "unit")
 
 
-@query(PACKED.format(bytes=100000, rows=-(-1_000_000 // 25), order="md5(doc_id::varchar), doc_id"))
+@query(PACKED.format(bytes=100000, rows=25, order="md5(doc_id::varchar), doc_id"))
 def shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards by hash, of 25 rows or 100 kB."""
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, "source", [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], F.octet_length("text"), 100000, 25).select("source", "doc_id", "unit")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("size"))
+    return packing.pack(docs, "source", [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], F.col("size"), 100000, 25).select("source", "doc_id", "unit")
 
 
 EVIDENCE = [(1, "application/pdf", "text/plain", 0), (2, "application/zip", "", 3), (3, "application/zip", "", 0), (4, "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/zip", 5), (5, "text/plain", "message/rfc822", 0), (6, "", "", 0), (7, "text/plain", "text/csv", 0)]
@@ -226,18 +229,51 @@ def stoplist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(ENTITIES, "kind string, value string").select("kind", "value", types.is_stopped_entity(F.col("value")).alias("stopped"))
 
 
+def quoted(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where the body holds the quote whole: an equi-join, then the exact test.
+
+    The words of a quote but its first and last, up to five of them, are whole words of the text.
+    Quotes of two words or less have none and are joined on their first twelve characters.
+    """
+    form = items.select("item_id", "quote", T.quote_form(F.col("quote")).alias("q")).where(F.length("q") >= 12)
+    inner = F.least(F.size(F.split("q", " ")) - 2, F.lit(5))
+    keyed = form.withColumn("n", F.greatest(inner, F.lit(0)))
+    key = F.when(F.col("n") > 0, F.xxhash64(F.array_join(F.slice(F.split("q", " "), F.lit(2), F.col("n")), " "))).otherwise(F.xxhash64(F.substring("q", 1, 12)))
+    keyed = keyed.withColumn("key", key)
+    texts = docs.select("doc_id", "body", T.quote_form(F.col("body")).alias("t")).withColumn("w", F.split("t", " "))
+    hits = None
+    for n in [r["n"] for r in keyed.select("n").distinct().collect()]:  # 0 to 5
+        size = F.lit(n)
+        grams = (
+            F.transform("w", lambda _, i: F.xxhash64(F.array_join(F.slice("w", i + 1, size), " ")))
+            if n
+            else F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 11, F.lit(1))), lambda i: F.xxhash64(F.substr("t", i, F.lit(12))))
+        )
+        own = texts.select("doc_id", "body", F.explode(F.array_distinct(grams)).alias("key")).join(keyed.where(F.col("n") == n), "key")
+        found = own.where(T.quote_occurs(F.col("quote"), F.col("body"))).select("item_id", "doc_id")
+        hits = found if hits is None else hits.unionByName(found)
+    return (form.join(docs.limit(0), F.lit(True)).select("item_id", "doc_id") if hits is None else hits).distinct()
+
+
 @query("""with b as (select item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as q from benchmark), d as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from documents)
 select item_id, count(*) as docs, min(doc_id) as first_doc from b join d on length(q) >= 12 and contains(t, q) group by 1""")
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items that documents quote whole: an equi-join on five words, then the exact test."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), T.quote_form(F.col("text")).alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), T.quote_form(F.col("text")).alias("t"))
-    # The quote's second to sixth word are whole words of the text; its first may follow other letters.
-    words = lambda c: F.split(c, " ")
-    key = F.xxhash64(F.array_join(F.slice(words(F.col("q")), 2, 5), " "))
-    keyed = docs.withColumn("w", words(F.col("t"))).select("doc_id", "body", F.explode(F.array_distinct(F.transform("w", lambda _, i: F.xxhash64(F.array_join(F.slice("w", i + 1, 5), " "))))).alias("key"))
-    hits = keyed.join(items.withColumn("key", key), "key").where(T.quote_occurs(F.col("quote"), F.col("body")))
-    return hits.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    """Benchmark items that documents quote whole."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    return quoted(items, docs).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query("""with w as (select item_id, string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' ') as g from benchmark), b as (select item_id * 10 + k as item_id, array_to_string(g[1:k], ' ') as q from w, unnest([1, 2, 3, 4]) t(k)),
+d as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from documents)
+select item_id, count(*) as docs, min(doc_id) as first_doc from b join d on length(q) >= 12 and contains(t, q) group by 1""")
+def quote_verify_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of one to four words, the first of each item, which documents hold whole."""
+    words = F.split(T.quote_form(F.col("text")), " ")
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"), F.explode(F.array(*[F.lit(k) for k in range(1, 5)])).alias("k"))
+    short = items.select((F.col("item_id") * 10 + F.col("k")).alias("item_id"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("quote"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    return quoted(short, docs).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""select doc_id, case when h.id is null then 'new' when h.size <> d.n_chars then 'changed' when h.mtime = 1 then 'unchanged' else 'rehash' end as state

@@ -85,7 +85,7 @@ def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results in order while their texts and envelopes keep within 5000 characters."""
     items = table(spark, sf_dir, "benchmark")
-    return H.within_budget(items, ["item_id"], F.length("text") + 120, 5000).select("item_id", F.col("spent").cast("long").alias("spent"))
+    return H.within_budget(items, ["item_id"], F.length("text") + 120, 5000, 120).select("item_id", F.col("spent").cast("long").alias("spent"))
 
 
 @query(f"""with k as ({KNN.format(k=10)}) select k.vec_id, k.cosine, d.source from k left join documents d on d.doc_id = k.vec_id""")

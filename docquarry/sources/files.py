@@ -41,8 +41,8 @@ def sha3_256(content: pd.Series) -> pd.Series:
 
 @pandas_udf(LongType())
 def hash63(text: pd.Series) -> pd.Series:
-    """An id below 2^63 from the text's BLAKE2b."""
-    return text.map(lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "big") >> 1)
+    """The text's BLAKE2b of eight bytes, modulo 2^63."""
+    return text.map(lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "big") % 2**63)
 
 
 def digests(files: DataFrame) -> DataFrame:

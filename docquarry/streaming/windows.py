@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.session import shared_dir
+
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, event_time: str = "ts") -> DataFrame:
     """A Parquet table as a stream of its files, with the event time as a timestamp."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    path = f"{sf_dir}/{name}*.parquet"
+    path = f"{sf_dir}/{name}.parquet*"  # a glob, since a stream reads folders; no other table is called so
     return spark.readStream.schema(schema).parquet(path).withColumn(event_time, F.col(event_time).cast("timestamp"))
 
 
@@ -58,7 +60,13 @@ def limiter(events: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run over all that the source holds now, then stop; the result as a table in memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run over all that the source holds now, then stop; the result as a table, written batch by
+    batch to the folder that all executors share. In complete mode the last batch is the result."""
+    at = f"{shared_dir(stream.sparkSession)}/docquarry/drained-{uuid.uuid4().hex}"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/rows" if mode == "complete" else f"{at}/rows/batch={batch}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/progress").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    found = stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
+    return found.select(*stream.columns)
