@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import materialize, slices, small_batches, table
 
-#: Bounds of what is learned: labelled rows (those of the least xxhash64(doc_id)) and terms.
-EXAMPLES, TERMS = 4096, 1000
+#: Bound of what is learned: labelled rows, those of the least xxhash64(doc_id). Terms are bounded by their texts.
+EXAMPLES = 4096
+#: How strongly a term must go with the labels (a log-likelihood ratio) to weigh half of its TF-IDF.
+HALF = 5.0
 #: Lengths of the word beginnings that are terms beside whole words.
 PREFIXES = range(4, 9)
 #: Rows of a block of the index; votes of a score; added to a distance before it weighs a vote.
@@ -87,8 +89,8 @@ class BlockMaxIndex:
         np.maximum.at(self.most, cells, self.values)
         self.most = self.most.reshape(n_terms, self.blocks)
 
-    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine, ties to the smaller number, and the cosines."""
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, skip: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of greatest cosine, ties to the smaller number, and the cosines; skip: from, to before, which take no part."""
         bound = q @ self.most[terms]
         best_ids, best = np.empty(0, np.int64), np.empty(0)
         for b in np.argsort(-bound, kind="stable").tolist():
@@ -102,8 +104,8 @@ class BlockMaxIndex:
                     got[self.ids[lo:hi] - b * BLOCK] += w * self.values[lo:hi]
             own = np.arange(b * BLOCK, min(self.n, (b + 1) * BLOCK))
             got = got[: len(own)]
-            if b * BLOCK <= skip < b * BLOCK + len(own):
-                own, got = np.delete(own, skip - b * BLOCK), np.delete(got, skip - b * BLOCK)
+            others = (own < skip[0]) | (own >= skip[1])
+            own, got = own[others], got[others]
             best_ids, best = np.concatenate((best_ids, own)), np.concatenate((best, got))
             order = np.lexsort((best_ids, -np.round(best, 6)))[:k]
             best_ids, best = best_ids[order], best[order]
@@ -128,7 +130,7 @@ def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """What is learned, of bounded size (EXAMPLES sparse vectors over TERMS terms)."""
+    """What is learned, of bounded size: EXAMPLES sparse vectors over the terms of their texts."""
 
     terms: list[str]
     idf: np.ndarray
@@ -137,7 +139,7 @@ class Model:
     index: BlockMaxIndex | None
     knots: tuple[np.ndarray, np.ndarray] | None
 
-    def vote(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, at: np.ndarray, w: np.ndarray, skip: tuple[int, int] = (0, 0)) -> tuple[float, np.ndarray, np.ndarray]:
         ids, cosines = self.index.nearest(at, w, VOTES, skip)
         weigh = 1 / (np.maximum(0, 1 - cosines) + NEAR)
         return float(weigh @ self.labels[ids] / weigh.sum()), ids, cosines
@@ -164,14 +166,14 @@ def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"term": pa.array(found, pa.string()), "label": pa.array([label] * len(found), pa.int32())})
 
 
-def _counter(terms: list[str]):
+def _counter(terms: list[str], keep: tuple[str, ...] = ("doc_id",)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counts(terms)
         for batch in slices(batches):
             found = [count(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"),
+                {c: batch.column(c) for c in keep}
+                | {
                     "terms": pa.array([list(c) for c, _ in found], pa.list_(pa.int32())),
                     "counts": pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int64())),
                     "n_words": pa.array([n for _, n in found], pa.int64()),
@@ -181,18 +183,29 @@ def _counter(terms: list[str]):
     return run
 
 
+class Scores:
+    """A model's scores; what equal counts give is remembered, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.memo: dict[tuple, tuple[float, str]] = {}
+
+    def __call__(self, counts: dict[int, int], n: int) -> tuple[float, str]:
+        key = (tuple(counts.items()), n if counts else n > 0)
+        found = self.memo.get(key)
+        if found is None:
+            if len(self.memo) >= MEMO_SCORES:
+                self.memo.clear()
+            found = self.memo[key] = self.model.score(counts, n)
+        return found
+
+
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple, tuple[float, str]] = {}
+        score = Scores(model)
         for batch in slices(batches):
-            out = []
-            for terms, counts, n in zip(*(batch.column(c).to_pylist() for c in ("terms", "counts", "n_words")), strict=True):
-                key = (tuple(terms), tuple(counts), n if terms else n > 0)
-                if key not in memo:
-                    if len(memo) >= MEMO_SCORES:
-                        memo.clear()
-                    memo[key] = model.score(dict(zip(terms, counts, strict=True)), n)
-                out.append(memo[key])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("terms", "counts", "n_words")), strict=True)
+            out = [score(dict(zip(terms, counts, strict=True)), n) for terms, counts, n in rows]
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -204,9 +217,10 @@ def _scorer(model: Model):
     return run
 
 
-def choose_terms(sample: DataFrame, most: int = TERMS) -> list[str]:
-    """Terms that toxic examples hold at over three times the rate of others, and in five at least:
-    the `most` of greatest log-likelihood ratio, ties by the term."""
+def choose_terms(sample: DataFrame) -> list[tuple[str, float]]:
+    """(term, weight from 0 to 1) of all terms that toxic examples hold at over three times the rate
+    of others. The weight tells how strongly a term goes with the label: r / (r + HALF) for a
+    log-likelihood ratio r, so that a rare term counts, but little. No term is left out for its rank."""
     n1, n0 = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*") - F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n1 or not n0:
         return []
@@ -215,13 +229,13 @@ def choose_terms(sample: DataFrame, most: int = TERMS) -> list[str]:
         .mapInArrow(_term_labels, "term string, label int")
         .groupBy("term")
         .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-        .where((F.col("a") >= 5) & (F.col("a") / n1 > 3 * (F.col("b") + 0.5) / (n0 + 1)))
+        .where((F.col("a") > 0) & (F.col("a") / n1 > 3 * (F.col("b") + 0.5) / (n0 + 1)))
     )
     clipped = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
     like = lambda k, n, p: k * F.log(clipped(p)) + (n - k) * F.log(1 - clipped(p))
     a, b, p = F.col("a"), F.col("b"), (F.col("a") + F.col("b")) / (n1 + n0)
-    ratio = like(a, n1, a / n1) + like(b, n0, b / n0) - like(a, n1, p) - like(b, n0, p)
-    return [r["term"] for r in counts.orderBy(F.desc(F.round(ratio, 9)), "term").limit(most).select("term").collect()]
+    ratio = F.greatest(like(a, n1, a / n1) + like(b, n0, b / n0) - like(a, n1, p) - like(b, n0, p), F.lit(0.0))
+    return [(r["term"], r["w"]) for r in counts.select("term", F.round(ratio / (ratio + HALF), 9).alias("w")).orderBy("term").collect()]
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
@@ -233,28 +247,28 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Mode
     marked = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     sample = materialize(spark, docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "toxic-sample")
-    terms = choose_terms(sample)
+    chosen = choose_terms(sample)
+    terms, strength = [t for t, _ in chosen], np.array([w for _, w in chosen])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = materialize(
-        spark,
-        docs.select("doc_id", "text").mapInArrow(_counter(terms), f"doc_id {kind}, terms array<int>, counts array<long>, n_words long"),
-        "toxic-terms",
-    )
+    columns = "terms array<int>, counts array<long>, n_words long"
+    counted = materialize(spark, docs.select("doc_id", "text").mapInArrow(_counter(terms), f"doc_id {kind}, {columns}"), "toxic-terms")
     idf = np.zeros(len(terms))
     total = counted.count()
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        idf[r["t"]] = math.log((total + 1) / (r["count"] + 1)) + 1
+    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # no more than terms
+        idf[r["t"]] = (math.log((total + 1) / (r["count"] + 1)) + 1) * strength[r["t"]]
     if not terms:
         return Model([], idf, np.empty(0), np.empty(0), None, None), counted
-    count = Counts(terms)
-    rows = []
-    for r in sample.select("doc_id", "text", "label").toLocalIterator():
-        found, n = count(r["text"])
-        rows.append((r["label"], sorted(found), r["doc_id"], found, n))
-    rows.sort(key=lambda r: r[:3])  # alike examples share blocks
-    vectors = [weights(found, n, idf) for *_, found, n in rows]
-    model = Model(terms, idf, np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), BlockMaxIndex(vectors, len(terms) + 1), None)
-    raw = np.array([model.vote(*v, skip=i)[0] for i, v in enumerate(vectors)])
+    examples = sample.select("doc_id", "label", "text").mapInArrow(_counter(terms, ("doc_id", "label")), f"doc_id {kind}, label int, {columns}")
+    rows = [(r["label"], sorted(zip(r["terms"], r["counts"])), r["n_words"], r["doc_id"]) for r in examples.collect()]  # EXAMPLES rows, without their texts
+    rows.sort(key=lambda r: r[:3] + (str(r[3]),))  # alike examples share blocks
+    vectors = [weights(dict(found), n, idf) for _, found, n, _ in rows]
+    model = Model(terms, idf, np.array([r[0] for r in rows]), np.array([r[3] for r in rows]), BlockMaxIndex(vectors, len(terms) + 1), None)
+    raw = np.empty(len(rows))
+    lo = 0
+    for hi in range(1, len(rows) + 1):
+        if hi == len(rows) or rows[hi][:3] != rows[lo][:3]:  # an example and its copies vote on none of them
+            raw[lo:hi] = model.vote(*vectors[lo], skip=(lo, hi))[0]
+            lo = hi
     model.knots = rising(raw, model.labels.astype(float))
     return model, counted
 
@@ -263,7 +277,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
     """Score every whole text by its VOTES nearest labelled examples.
 
     Votes weigh by 1 / (1 - cosine + NEAR); the share of toxic votes is calibrated by isotonic
-    regression on the examples, each scored without itself. Only the text is an input. Null and
+    regression on the examples, each scored without itself and its copies. Only the text is an input. Null and
     empty texts score as texts without any term do; without labels of both kinds all score 0; null
     doc_ids are never learned from; repeated rows are scored each; of several labels of a doc_id
     the greatest counts; equal cosines go to the example that comes first by label, terms and
@@ -280,9 +294,9 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
 
 def _clean(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counts(model.terms)
+        count, score = Counts(model.terms), Scores(model)
         for batch in slices(batches):
-            clean = [model.score(*count(t.as_py()))[0] < 0.5 for t in batch.column("text")]
+            clean = [score(*count(t.as_py()))[0] < 0.5 for t in batch.column("text")]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run

@@ -358,7 +358,7 @@ def test_block_max_is_exact():
         row[t] = w
     index = toxicity.BlockMaxIndex(vectors, 40)
     for i in range(0, 500, 7):
-        ids, cosines = index.nearest(*vectors[i], 10, skip=i)
+        ids, cosines = index.nearest(*vectors[i], 10, skip=(i, i + 1))
         scores = dense @ dense[i]
         scores[i] = -1
         want = np.lexsort((np.arange(500), -np.round(scores, 6)))[:10]
