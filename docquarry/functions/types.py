@@ -89,3 +89,21 @@ def ancestors(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     up = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
     return F.when(F.size(parts) > 0, up).otherwise(F.array().cast("array<string>"))
+
+
+#: Media types by the end of a file's name.
+EXTENSIONS = {"html": "text/html", "htm": "text/html", "pdf": "application/pdf", "zip": "application/zip", "csv": "text/csv", "txt": "text/plain"}
+
+
+def mime_of_extension(ext: Column) -> Column:
+    """The media type that a name's end stands for; without one, plain bytes."""
+    out = F.lit("application/octet-stream")
+    for end, mime in EXTENSIONS.items():
+        out = F.when(ext == end, mime).otherwise(out)
+    return out
+
+
+def is_mail(text: Column, least: int = 3, lines: int = 20) -> Column:
+    """Whether `least` of the first lines are mail headers."""
+    head = F.slice(F.split(text, "\n"), 1, lines)
+    return F.size(F.filter(head, lambda line: line.rlike("^(From|To|Cc|Subject|Date|Message-ID|Received|MIME-Version): "))) >= least
