@@ -12,18 +12,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import positions, table, text_hash
+from docquarry.llm.common import materialize, positions, table, text_hash
 
 WORDS = 24
 #: Paragraphs of a text: up to WORDS words of one line with the white space before them, then white space at the end.
 PARAGRAPH = r"\s*+\S++(?:[^\S\n]++\S++){0,%d}|\s++" % (WORDS - 1)
-#: Cells of the fingerprint; of each block of a larger sketch, and the digests it is meant for.
+#: Cells of the fingerprint; of each block of a larger sketch, and the digests that a block is
+#: meant for at first. A sketch that fails is followed by one of twice as many blocks.
 SMALL, LARGE, LOAD = 24, 120, 24
 #: Seeds of the cell choice in both, of the blocks and of the check sums.
 SEED_SMALL, SEED_LARGE, SEED_BLOCK, SEED_CHECK = 100, 200, 300, 400
 #: Rounds of peeling: what is left after them counts as a failure.
 ROUNDS = 24
 
+
 def paragraphs(text: Column) -> Column:
     """Hashes of the paragraphs, in order."""
     return F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p))
@@ -101,15 +103,74 @@ def _tagged(side: int) -> Column:
     return F.transform(f"p{side}", lambda h: F.struct(h.alias("h"), F.lit(side).alias("side")))
 
 
+#: Columns that name a document.
+KEY = ["_id", "_hash"]
+
+
+def _added(digest: Column, sign: int, cells: int, seed: int) -> Column:
+    """The three cells that a digest falls in, with what it adds to them."""
+    return F.array(*[F.struct(_cell(digest, j, cells, seed).alias("cell"), F.lit(sign).alias("c"), digest.alias("k"), _check(digest).alias("x")) for j in range(3)])
+
+
+def _on_side(side: int):
+    return lambda r: F.struct(F.lit(side).alias("side"), r.alias("r"))
+
+
+def _small(counts: DataFrame) -> DataFrame:
+    """The fingerprints: key, s0 to s2 (cells of the three texts), and d1, d2: the digests in
+    which the first differs from the others, -1 where these cells don't tell."""
+    none = F.array().cast("array<struct<side:int,r:struct<cell:int,c:int,k:bigint,x:bigint>>>")
+    sides = []
+    for i in range(3):
+        own = F.transform(_added(F.xxhash64("h", f"n{i}"), 1, SMALL, SEED_SMALL), _on_side(i))
+        sides.append(F.when(F.col(f"n{i}") > 0, own).otherwise(none))
+    # One entry of no text keeps documents without any digest.
+    mark = F.array(F.struct(F.lit(-1).alias("side"), F.struct(F.lit(0).alias("cell"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("x")).alias("r")))
+    cells = counts.select(*KEY, F.explode(F.concat(F.when(F.col("mark"), mark).otherwise(none), *sides)).alias("e")).select(*KEY, "e.side", "e.r")
+    cells = cells.groupBy(*KEY, "side", "r.cell").agg(F.sum("r.c").alias("c"), F.bit_xor("r.k").alias("k"), F.bit_xor("r.x").alias("x"))
+    whole = cells.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("side", "cell", "c", "k", "x"))).alias("all"))
+    own = lambda i: F.transform(F.filter("all", lambda c: c["side"] == i), lambda c: F.struct(c["cell"].alias("cell"), c["c"].alias("c"), c["k"].alias("k"), c["x"].alias("x")))
+    whole = whole.select(*KEY, *[own(i).alias(f"s{i}") for i in range(3)])
+    maps = whole.withColumns({f"m{i}": F.map_from_entries(F.transform(f"s{i}", lambda c: F.struct(c["cell"], c))) for i in range(3)})
+
+    def less(i: int) -> Column:
+        def cell(at: Column) -> Column:
+            a, b, null = F.try_element_at("m0", at), F.try_element_at(f"m{i}", at), F.lit(0).cast("long")
+            (ac, bc), (ak, bk), (ax, bx) = ((F.coalesce(a[f], null), F.coalesce(b[f], null)) for f in ("c", "k", "x"))
+            return F.struct(at.alias("cell"), (ac - bc).alias("c"), ak.bitwiseXOR(bk).alias("k"), ax.bitwiseXOR(bx).alias("x"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(SMALL - 1)), cell)
+
+    return maps.select(*KEY, "s0", "s1", "s2", *[peel(less(i), SMALL, SEED_SMALL).alias(f"d{i}") for i in (1, 2)])
+
+
+def _larger(counts: DataFrame, asked: DataFrame, turn: int) -> DataFrame:
+    """(key, other, blocks, d) by sketches of so many blocks, for asked documents and others: the
+    differing digests, -1 if a block fails."""
+    sides = F.filter(
+        F.array(F.struct(F.lit(1).alias("sign"), F.xxhash64("h", "n0").alias("d"), F.col("n0").alias("n")), F.struct(F.lit(-1).alias("sign"), F.when(F.col("other") == 1, F.xxhash64("h", "n1")).otherwise(F.xxhash64("h", "n2")).alias("d"), F.when(F.col("other") == 1, F.col("n1")).otherwise(F.col("n2")).alias("n"))),
+        lambda s: s["n"] > 0,
+    )
+    entries = counts.join(asked, KEY).select(*KEY, "other", "blocks", F.explode(sides).alias("s"))
+    seed = SEED_LARGE + 10 * turn
+    block = F.pmod(F.xxhash64("s.d", F.lit(SEED_BLOCK + turn)), F.col("blocks")).cast("int")
+    name = [*KEY, "other", "blocks"]
+    cells = entries.select(*name, block.alias("block"), F.col("s.sign").alias("sign"), F.explode(_added(F.col("s.d"), 1, LARGE, seed)).alias("r"))
+    cells = cells.groupBy(*name, "block", "r.cell").agg(F.sum(F.col("r.c") * F.col("sign")).alias("c"), F.bit_xor("r.k").alias("k"), F.bit_xor("r.x").alias("x"))
+    sketches = cells.groupBy(*name, "block").agg(F.sort_array(F.collect_list(F.struct("cell", "c", "k", "x"))).alias("cells"))
+    got = sketches.select(*name, peel(F.col("cells"), LARGE, seed).alias("d"))
+    return got.groupBy(*name).agg(F.when(F.min("d") >= 0, F.sum("d")).otherwise(-1).cast("int").alias("d"))
+
+
 def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprint every whole text and its edited text, and compare.
 
     The edited text has its last floor(n_chars / 3) characters replaced by the first as many (or
     all) of the next document, descending doc_id, after the last the first. Likeness is that of the
     sets of digests, (a + b - d) / (a + b + d), where peeling the difference of the sketches
-    recovers the d digests that differ (two empty texts: 1). If the fingerprints' own SMALL cells
-    don't suffice, larger sketches do: blocks of LARGE cells, as many as the texts' paragraphs
-    ask for. A block that fails even so, less than one in a hundred, is counted from its digests.
+    recovers the d digests that differ (two empty texts: 1). Where the fingerprints' own SMALL cells
+    don't suffice, larger sketches are made: blocks of LARGE cells, as many as the texts' paragraphs
+    ask for, and for those that fail again twice as many blocks, until all are recovered.
 
     Null text is empty; null doc_ids come last; equal doc_ids go by text_hash; rows that repeat
     both are one document, returned as often as they come; a lone document is its own next; an
@@ -120,78 +181,38 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     joined = _with_next(docs, spark)
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.col("head"))
     parts = joined.select(
-        "_id", "_hash", "copies", "n_chars", F.sha2(edited, 256).alias("sha"), paragraphs(F.col("text")).alias("p0"), paragraphs(edited).alias("p1"), F.col("next").alias("p2")
+        *KEY, "copies", "n_chars", F.sha2(edited, 256).alias("sha"), paragraphs(F.col("text")).alias("p0"), paragraphs(edited).alias("p1"), F.col("next").alias("p2")
     )
-    meta = ["_id", "_hash", "copies", "n_chars", "sha", "b1", "b2"]
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil((F.size("p0") + F.size(c)) / LOAD)).cast("int")
-    tagged = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("side"))), *[_tagged(i) for i in range(3)])
-    entries = parts.withColumns({"b1": blocks("p1"), "b2": blocks("p2")}).select(*meta, F.explode(tagged).alias("e"))
-    counts = entries.groupBy(*meta, "e.h").agg(*[F.count_if(F.col("e.side") == i).cast("int").alias(f"n{i}") for i in range(3)])
-
-    digest = [F.xxhash64("h", f"n{i}") for i in range(3)]
-    none = F.array().cast("array<struct<tag:int,block:int,cell:int,c:int,k:bigint,x:bigint>>")
-
-    def adds(tag: int, side: int, sign: int, cells: int, seed: int, block: Column) -> Column:
-        d = digest[side]
-        rows = [
-            F.struct(F.lit(tag).alias("tag"), block.cast("int").alias("block"), _cell(d, j, cells, seed).alias("cell"), F.lit(sign).alias("c"), d.alias("k"), _check(d).alias("x"))
-            for j in range(3)
-        ]
-        return F.when(F.col(f"n{side}") > 0, F.array(*rows)).otherwise(none)
-
-    zero = F.lit(0)
-    in_block = lambda side, b: F.pmod(F.xxhash64(digest[side], F.lit(SEED_BLOCK)), F.col(b))
-    # What differs, counted directly, for blocks that fail.
-    exact = lambda i: F.when(F.col("n0") != F.col(f"n{i}"), (F.col("n0") > 0).cast("int") + (F.col(f"n{i}") > 0).cast("int")).otherwise(zero)
-    counted = [
-        F.struct(F.lit(4 + i).alias("tag"), zero.alias("block"), zero.alias("cell"), exact(i).alias("c"), zero.cast("long").alias("k"), zero.cast("long").alias("x")) for i in (1, 2)
-    ]
-    rows = F.concat(
-        F.array(*counted),
-        *[adds(i, i, 1, SMALL, SEED_SMALL, zero) for i in range(3)],
-        *[adds(2 + i, side, sign, LARGE, SEED_LARGE, in_block(side, f"b{i}")) for i in (1, 2) for side, sign in ((0, 1), (i, -1))],
-    )
-    cells = (
-        counts.select(*meta, F.explode(rows).alias("r"))
-        .groupBy(*meta, "r.tag", "r.block", "r.cell")
-        .agg(F.sum("r.c").alias("c"), F.bit_xor("r.k").alias("k"), F.bit_xor("r.x").alias("x"))
+    parts = materialize(spark, parts, "fingerprint-parts")
+    mark = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("side")))
+    entries = parts.select(*KEY, F.explode(F.concat(mark, *[_tagged(i) for i in range(3)])).alias("e"))
+    counts = entries.groupBy(*KEY, "e.h").agg(
+        (F.count_if(F.col("e.side") == -1) > 0).alias("mark"), *[F.count_if(F.col("e.side") == i).cast("int").alias(f"n{i}") for i in range(3)]
     )
-    sketches = cells.groupBy(*meta, "tag", "block").agg(F.sort_array(F.collect_list(F.struct("cell", "c", "k", "x"))).alias("cells"))
-    whole = sketches.groupBy(*meta).agg(F.collect_list(F.struct("tag", "block", "cells")).alias("all"))
+    counts = materialize(spark, counts, "fingerprint-counts")
+    small = materialize(spark, _small(counts), "fingerprint-sketches")
 
-    of = lambda tag: F.filter("all", lambda s: s["tag"] == tag)
-    empty = F.array().cast("array<struct<cell:int,c:bigint,k:bigint,x:bigint>>")
-    small = lambda tag: F.coalesce(F.get(of(tag), F.lit(0))["cells"], empty)
-    whole = whole.withColumns({f"s{i}": small(i) for i in range(3)} | {f"m{i}": F.map_from_entries(F.transform(small(i), lambda c: F.struct(c["cell"], c))) for i in range(3)})
-    size = lambda i: F.aggregate(f"s{i}", F.lit(0).cast("long"), lambda a, c: a + c["c"]) / 3
-
-    def less(i: int) -> Column:
-        def cell(at: Column) -> Column:
-            a, b = F.try_element_at("m0", at), F.try_element_at(f"m{i}", at)
-            null = F.lit(0).cast("long")
-            both = lambda f: (F.coalesce(a[f], null), F.coalesce(b[f], null))
-            (ac, bc), (ak, bk), (ax, bx) = both("c"), both("k"), both("x")
-            return F.struct(at.alias("cell"), (ac - bc).alias("c"), ak.bitwiseXOR(bk).alias("k"), ax.bitwiseXOR(bx).alias("x"))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(SMALL - 1)), cell)
-
-    def differing(i: int) -> Column:
-        first = peel(less(i), SMALL, SEED_SMALL)
-        again = F.aggregate(
-            of(2 + i),
-            F.lit(0),
-            lambda n, s: F.when(n < 0, n).otherwise(
-                F.get(F.transform(F.array(peel(s["cells"], LARGE, SEED_LARGE)), lambda got: F.when(got < 0, got).otherwise(n + got)), F.lit(0))
-            ),
-        )
-        counted = F.get(of(4 + i), F.lit(0))["cells"][0]["c"].cast("int")
-        let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-        return let(first, lambda d: F.when(d >= 0, d).otherwise(let(again, lambda e: F.when(e >= 0, e).otherwise(counted))))
+    size = lambda i: (F.aggregate(f"s{i}", F.lit(0).cast("long"), lambda a, c: a + c["c"]) / 3).cast("int")
+    sizes = small.withColumns({f"z{i}": size(i) for i in range(3)})
+    open_ = [
+        sizes.where(F.col(f"d{i}") < 0).select(*KEY, F.lit(i).alias("other"), F.greatest(F.lit(1), F.ceil((F.col("z0") + F.col(f"z{i}")) / LOAD)).cast("int").alias("blocks")) for i in (1, 2)
+    ]
+    asked = open_[0].unionByName(open_[1])
+    narrow, known, turn = counts.select(*KEY, "h", "n0", "n1", "n2"), None, 0
+    while True:
+        got = materialize(spark, _larger(narrow, asked, turn), f"fingerprint-peeled-{turn}")
+        done = got.where("d >= 0").select(*KEY, "other", "d")
+        known = done if known is None else known.unionByName(done)
+        asked = got.where("d < 0").select(*KEY, "other", (F.col("blocks") * 2).alias("blocks"))
+        if asked.isEmpty():
+            break
+        turn += 1
+    large = known.groupBy(*KEY).agg(*[F.max(F.when(F.col("other") == i, F.col("d"))).alias(f"l{i}") for i in (1, 2)])
 
     text = lambda i: F.array_join(
         F.transform(f"s{i}", lambda c: F.concat_ws(".", F.hex(c["cell"]), F.hex(c["c"]), F.hex(c["k"]), F.hex(c["x"]))), ":"
     )
-    measured = whole.withColumns({"d1": differing(1), "d2": differing(2)} | {f"z{i}": size(i) for i in range(3)})
+    measured = parts.select(*KEY, "copies", "n_chars", "sha").join(sizes, KEY).join(large, KEY, "left").withColumns({f"d{i}": F.when(F.col(f"d{i}") >= 0, F.col(f"d{i}")).otherwise(F.col(f"l{i}")) for i in (1, 2)})
     near = lambda i: F.when(F.col("z0") + F.col(f"z{i}") == 0, F.lit(1.0)).otherwise(
         (F.col("z0") + F.col(f"z{i}") - F.col(f"d{i}")) / (F.col("z0") + F.col(f"z{i}") + F.col(f"d{i}"))
     )
