@@ -172,7 +172,7 @@ def test_dense_buckets_link_without_pairs():
     assert len(set(groups)) == 1
 
 
-def slow_cut(texts):
+def slow_cut(texts, whole=False):
     seen = collections.Counter(b[i : i + 200] for b in texts for i in range(len(b) - 199))
     out = []
     for b in texts:
@@ -183,7 +183,7 @@ def slow_cut(texts):
                     mark[j] = 1
                 done = i + 200
         kept = bytes(x for x, m in zip(b, mark) if not m)
-        out.append((len(b), sum(mark), sum(m and (not i or not mark[i - 1]) for i, m in enumerate(mark)), hashlib.sha256(kept).hexdigest()))
+        out.append(kept if whole else (len(b), sum(mark), sum(m and (not i or not mark[i - 1]) for i, m in enumerate(mark)), hashlib.sha256(kept).hexdigest()))
     return out
 
 
@@ -276,6 +276,39 @@ def test_passages_link_all_holders(spark):
     assert {d: (got[d]["n_links"], got[d]["class_id"]) for d in (60, 61, 62, 63)} == {60: (0, 60), 61: (1, 61), 62: (1, 61), 63: (0, 63)}
 
 
+def test_passages_that_others_hold_in_part(spark):
+    """A passage of two texts of which 48 others hold 28 words; and texts with every sixth word changed."""
+    rng = random.Random(21)
+    text = lambda n: [rng.choice(WORDS) + str(rng.randrange(4000)) for _ in range(n)]
+    passage = text(60)
+    rows = [(d, " ".join([*text(40), *passage, *text(40)])) for d in (0, 1)]
+    for d in range(2, 50):
+        lo = rng.randrange(0, 33)
+        rows.append((d, " ".join([*text(30), *passage[lo : lo + 28], *text(30)])))
+    edited = range(100, 160, 2)
+    for d in edited:
+        own = text(200)
+        rows += [(d, " ".join(own)), (d + 1, " ".join(w if i % 6 else "changed" + str(rng.randrange(9999)) for i, w in enumerate(own)))]
+    got = {r["doc_id"]: r for r in passages.report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["class_id"] == got[1]["class_id"] == 0 and got[0]["passages"] == got[1]["passages"] == "40-99"
+    assert all(got[d]["n_links"] == 0 for d in range(2, 50))
+    assert sum(got[d + 1]["class_id"] == d for d in edited) >= 0.9 * len(edited)
+
+
+def test_sql_of_licenses_and_shards(spark):
+    import duckdb
+
+    from docquarry.llm import registry
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    for name, sql in registry.ORACLES.items():
+        df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        want = con.execute(sql)
+        order = [df.columns.index(d[0]) for d in want.description]
+        assert sorted((tuple(r[i] for i in order) for r in df.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_chains_by_brute_force():
     rng = random.Random(3)
     for _ in range(30):
@@ -410,6 +443,26 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(d, 1, int(d % 6 == 0)) for d in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(got) == {d for d in range(300) if d % 6 and d != 11} and all(r["round_trip"] for r in got.values())
+    # The stages after the learned one by brute force: fingerprints, windows, turns of equal sources, the library's ids.
+    left = sorted(r for r in rows if r[0] % 6)
+    fps = {r[0]: slow_simhash(r[1]) for r in left}
+    group = {d: d for d in fps}
+    for a in sorted(fps):
+        for b in fps:
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                low = min(group[a], group[b])
+                group = {d: low if g in (group[a], group[b]) else g for d, g in group.items()}
+    left = [r for r in left if group[r[0]] == r[0]]
+    kept = [k.decode("utf-8", "ignore") for k in slow_cut([r[1].encode() for r in left], True)]
+    turns = []
+    for j, source in enumerate(sorted({r[3] for r in left})):
+        own = [(r[0], xxhash.xxh64_intdigest(k)) for r, k in zip(left, kept) if r[3] == source]
+        turns += [(j + 3 * (n // 16), n % 16, d) for n, (d, _) in enumerate(own)]
+    slot = {t: i for i, t in enumerate(sorted({t for t, _, _ in turns}))}
+    library = spm.SentencePieceProcessor(model_file=sentencepiece.MODEL_PATH)
+    want = {d: (slot[t], n) for t, n, d in turns}
+    assert {d: (r["slot"], r["row"]) for d, r in got.items()} == want
+    assert {d: r["ids"] for d, r in got.items()} == {r[0]: library.encode(k) for r, k in zip(left, kept)}
     codec = sentencepiece.Codec(sentencepiece.load_pieces(sentencepiece.MODEL_PATH))
     assert passage[5:200] not in codec.decode(got[13]["ids"]) and codec.decode(got[7]["ids"]) == rows[7][1]
 
