@@ -78,19 +78,17 @@ RULES = (
 
 
 def _matches(number: int, rule: Rule) -> Column:
-    """(rule, m, at) of a rule's matches in the column text. The n-th of equal matches is found
-    after the n-1 before it."""
-    every = F.regexp_extract_all("text", F.lit(f"({rule.pattern})"), F.lit(1))
+    """(rule, m, at) of a rule's matches in the column text: each begins after what lies between the
+    matches up to it, and the matches before it."""
+    sum_of = lambda parts: F.aggregate(parts, F.lit(0), lambda n, t: n + F.length(t))
 
-    def place(found: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            nth = F.size(F.filter(F.slice(found, F.lit(1), i + 1), lambda x: x == m))
-            at = F.length(F.call_function("substring_index", F.col("text"), m, nth)) + 1
-            return F.struct(F.lit(number).alias("rule"), m.alias("m"), at.alias("at"))
+    def place(both: Column) -> Column:
+        found, between = both["found"], both["between"]
+        at = lambda i: sum_of(F.slice(between, F.lit(1), i + 1)) + sum_of(F.slice(found, F.lit(1), i)) + 1
+        return F.transform(found, lambda m, i: F.struct(F.lit(number).alias("rule"), m.alias("m"), at(i).alias("at")))
 
-        return F.transform(found, one)
-
-    return F.get(F.transform(F.array(every), place), F.lit(0))
+    both = F.struct(F.regexp_extract_all("text", F.lit(f"({rule.pattern})"), F.lit(1)).alias("found"), F.split("text", rule.pattern).alias("between"))
+    return F.get(F.transform(F.array(both), place), F.lit(0))
 
 
 def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
