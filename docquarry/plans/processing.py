@@ -232,23 +232,28 @@ def stoplist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quoted(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the body holds the quote whole: an equi-join, then the exact test.
 
-    The words of a quote but its first and last, up to five of them, are whole words of the text.
-    Quotes of two words or less have none and are joined on their first twelve characters.
+    The words of a quote but its first and last, up to five of them, are whole words of the text. A
+    quote of two words is joined on the letters about its blank, six of which one side has at least,
+    a quote of one word on its first twelve, which stand in a word of the text.
     """
     form = items.select("item_id", "quote", T.quote_form(F.col("quote")).alias("q")).where(F.length("q") >= 12)
-    inner = F.least(F.size(F.split("q", " ")) - 2, F.lit(5))
-    keyed = form.withColumn("n", F.greatest(inner, F.lit(0)))
-    key = F.when(F.col("n") > 0, F.xxhash64(F.array_join(F.slice(F.split("q", " "), F.lit(2), F.col("n")), " "))).otherwise(F.xxhash64(F.substring("q", 1, 12)))
-    keyed = keyed.withColumn("key", key)
+    words = F.split("q", " ")
+    keyed = form.withColumn("n", F.least(F.size(words) - 2, F.lit(5)))
+    about = lambda a, b, left, right: F.xxhash64(F.right(a, F.lit(left)), F.left(b, F.lit(right)))
+    one, two = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    of_two = F.when(F.length(one) >= F.length(two), about(one, two, 5, 1)).otherwise(about(one, two, 1, 5))
+    inner = F.xxhash64(F.array_join(F.slice(words, F.lit(2), F.greatest(F.col("n"), F.lit(0))), " "))
+    keyed = keyed.withColumn("key", F.when(F.col("n") > 0, inner).when(F.col("n") == 0, of_two).otherwise(F.xxhash64(F.substring("q", 1, 12))))
     texts = docs.select("doc_id", "body", T.quote_form(F.col("body")).alias("t")).withColumn("w", F.split("t", " "))
+    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))
+    grams_of = {
+        0: F.flatten(F.transform(pairs, lambda p: F.array(about(p["a"], p["b"], 5, 1), about(p["a"], p["b"], 1, 5)))),
+        -1: F.flatten(F.transform(F.filter("w", lambda x: F.length(x) >= 12), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 11), lambda i: F.xxhash64(F.substr(x, i, F.lit(12)))))),
+    }
     hits = None
-    for n in [r["n"] for r in keyed.select("n").distinct().collect()]:  # 0 to 5
+    for n in [r["n"] for r in keyed.select("n").distinct().collect()]:  # -1 to 5
         size = F.lit(n)
-        grams = (
-            F.transform("w", lambda _, i: F.xxhash64(F.array_join(F.slice("w", i + 1, size), " ")))
-            if n
-            else F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 11, F.lit(1))), lambda i: F.xxhash64(F.substr("t", i, F.lit(12))))
-        )
+        grams = F.transform("w", lambda _, i: F.xxhash64(F.array_join(F.slice("w", i + 1, size), " "))) if n > 0 else grams_of[n]
         own = texts.select("doc_id", "body", F.explode(F.array_distinct(grams)).alias("key")).join(keyed.where(F.col("n") == n), "key")
         found = own.where(T.quote_occurs(F.col("quote"), F.col("body"))).select("item_id", "doc_id")
         hits = found if hits is None else hits.unionByName(found)
