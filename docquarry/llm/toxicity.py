@@ -22,7 +22,7 @@ HALF = 5.0
 #: Lengths of the word beginnings that are terms beside whole words.
 PREFIXES = range(4, 9)
 #: Rows of a block of the index; votes of a score; added to a distance before it weighs a vote.
-BLOCK, VOTES, NEAR = 64, 10, 1e-4
+BLOCK, VOTES, NEAR = 512, 10, 1e-4
 #: Words, and term counts, whose results are remembered at most; characters of such a word.
 MEMO, MEMO_SCORES, MEMO_CHARS = 1 << 15, 1 << 13, 40
 _words = re.compile(r"\w+").findall
@@ -84,7 +84,7 @@ class BlockMaxIndex:
         order = np.lexsort((ids, terms))
         self.ids, self.values, terms = ids[order], values[order], terms[order]
         cells = terms * self.blocks + self.ids // BLOCK
-        self.start = np.searchsorted(cells, np.arange(n_terms * self.blocks + 1))
+        self.start = np.searchsorted(cells, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
         self.most = np.zeros(n_terms * self.blocks, np.float32)
         np.maximum.at(self.most, cells, self.values)
         self.most = self.most.reshape(n_terms, self.blocks)
@@ -97,16 +97,16 @@ class BlockMaxIndex:
             if len(best) == k and bound[b] < best[-1] - 1e-6:
                 break
             got = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), q.tolist(), strict=True):
-                at = t * self.blocks + b
-                lo, hi = self.start[at], self.start[at + 1]
+            at = terms * self.blocks + b
+            for w, lo, hi in zip(q.tolist(), self.start[at].tolist(), self.start[at + 1].tolist(), strict=True):
                 if hi > lo:
                     got[self.ids[lo:hi] - b * BLOCK] += w * self.values[lo:hi]
             own = np.arange(b * BLOCK, min(self.n, (b + 1) * BLOCK))
             got = got[: len(own)]
             others = (own < skip[0]) | (own >= skip[1])
             own, got = own[others], got[others]
-            best_ids, best = np.concatenate((best_ids, own)), np.concatenate((best, got))
+            first = np.argsort(-np.round(got, 6), kind="stable")[:k]
+            best_ids, best = np.concatenate((best_ids, own[first])), np.concatenate((best, got[first]))
             order = np.lexsort((best_ids, -np.round(best, 6)))[:k]
             best_ids, best = best_ids[order], best[order]
         return best_ids, best
