@@ -459,7 +459,8 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_rest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """All documents with what `remove_repeats` leaves of their texts, and n_chars to match.
 
-    A character that is cut apart goes whole; a null text becomes empty.
+    A character that is cut apart goes whole; a null text becomes empty. Other columns stay as they
+    are, whatever they are called.
     """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     texts = keyed(docs, others)

@@ -303,7 +303,7 @@ def _clean(model: Model):
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that `score_toxicity` doesn't predict toxic, with all their columns."""
+    """The documents that `score_toxicity` doesn't predict toxic, with all their columns, whatever those are called."""
     model, _ = learn(spark, docs, labels)
     return docs.mapInArrow(_clean(model), docs.schema) if model.index is not None else docs
 

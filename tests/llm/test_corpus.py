@@ -379,6 +379,25 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in toxicity.score_toxicity(spark, docs, marks.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_names_that_clash_long_texts_and_ties(spark):
+    """Extra columns with the operators' own names, a very long text, nulls, ties and repeated vectors."""
+    rng = random.Random(9)
+    rows = [(d, " ".join(rng.choice(WORDS) for _ in range(30)) + (" vile rotten" if d % 4 == 0 else ""), 7, "x", 1.5, 3) for d in range(120)]
+    rows += [(200, "word " * 400_000 + "vile rotten " * 3000, 7, "x", 1.5, 3), (201, None, None, None, None, None), rows[4], rows[4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, terms string, counts double, n_words int")
+    marks = spark.createDataFrame([(d, int(d % 4 == 0), "x") for d in range(120)], "doc_id long, toxic int, text string")
+    scored = toxicity.score_toxicity(spark, docs, marks).collect()
+    assert len(scored) == len(rows) and sum(r["doc_id"] == 4 for r in scored) == 3 and all(0 <= r["score"] <= 1 for r in scored)
+    kept = toxicity.keep_clean(spark, docs, marks)
+    clean = {r["doc_id"] for r in scored if not r["predicted"]}
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {r for r in rows if r[0] in clean}
+
+    same = [(i, [1.0, 0.0], 9, 9, "m") for i in (0, 7, 3, 5, 40)] + [(9, [0.0, 1.0], 9, 9, "m")]
+    found = ann.nearest(spark, spark.createDataFrame(same, "vec_id long, embedding array<double>, q int, c int, members string"), top=3).collect()
+    by = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found}
+    assert by == {(0, 1): (3, 1.0), (0, 2): (5, 1.0), (0, 3): (7, 1.0), (40, 1): (0, 1.0), (40, 2): (3, 1.0), (40, 3): (5, 1.0)}
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(1)
     vectors = []
