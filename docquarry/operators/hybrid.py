@@ -31,13 +31,23 @@ def rrf(lists: DataFrame, source: str, key: str, score: str) -> DataFrame:
     return once.withColumn("_r", rank).groupBy(key).agg(F.sum(1 / (RRF_K + F.col("_r"))).alias("rrf"), F.array_join(F.array_sort(F.collect_set(source)), ",").alias("sources"))
 
 
-def per_kind_floor(ranked: DataFrame, kind: str, order: Sequence[Column | str], total: int, floor: int) -> DataFrame:
-    """`total` rows in which each kind has at least `floor` if it has as many: the first of each
-    kind are reserved, the best of the rest fill up."""
-    own = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
-    reserved = F.when(own <= floor, 0).otherwise(1)
-    picked = ranked.withColumn("_own", own).where(F.col("_own") <= total).withColumn("_late", reserved)
-    return picked.orderBy("_late", *order).limit(total).drop("_own", "_late")
+def per_kind_floor(ranked: DataFrame, kind: str, order: Sequence[Column | str], total: int, floor: int, ceiling: int, deserving: Column | None = None) -> DataFrame:
+    """`total` rows, in order, in which each kind has its best `floor`, as far as it has so many that
+    are deserving, and the best of the rest fill up, no kind over `ceiling`. What is reserved stays
+    even if that alone is more than `total`."""
+    if ceiling < floor:
+        raise ValueError("the ceiling must not be below the floor")
+    fit = F.coalesce(deserving, F.lit(False)) if deserving is not None else F.lit(True)
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    judged = ranked.withColumn("_fit", fit).withColumn("_kept", F.col("_fit") & (nth(kind, "_fit") <= floor))
+    kept = judged.where("_kept").drop("_fit", "_kept")
+    own = kept.groupBy(kind).agg(F.count("*").alias("_own"))
+    rest = judged.where("not _kept").withColumn("_nth", nth(kind)).join(own, kind, "left")
+    rest = rest.where(F.col("_nth") <= ceiling - F.coalesce("_own", F.lit(0))).orderBy(*order).limit(total)
+    place = F.row_number().over(Window.orderBy(*order))  # of `total` rows at most
+    room = F.broadcast(own.agg((total - F.coalesce(F.sum("_own"), F.lit(0))).alias("_room")))
+    filled = rest.withColumn("_place", place).crossJoin(room).where("_place <= _room").select(*ranked.columns)
+    return kept.unionByName(filled).orderBy(*order)
 
 
 def within_budget(ranked: DataFrame, order: Sequence[Column | str], cost: Column, budget: int, least: int) -> DataFrame:

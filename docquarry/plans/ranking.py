@@ -49,10 +49,13 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir).select("key", F.round("rrf", 9).alias("rrf"), "sources").orderBy(F.desc("rrf"), "key").limit(50)
 
 
-@query(f"""with k as ({KNN.format(k=60)}), o as (select *, row_number() over (partition by label order by cosine desc, vec_id) as own from k)
-select vec_id, label, cosine from o order by (case when own <= 2 then 0 else 1 end), cosine desc, vec_id limit 20""")
+@query(f"""with k as ({KNN.format(k=60)}), o as (select *, vec_id % 3 > 0 as fit, row_number() over (partition by label, vec_id % 3 > 0 order by cosine desc, vec_id) as own from k),
+r as (select *, fit and own <= 2 as kept from o), n as (select *, row_number() over (partition by label, kept order by cosine desc, vec_id) as nth, count(*) filter (kept) over (partition by label) as has, count(*) filter (kept) over () as all_kept from r),
+f as (select *, row_number() over (order by cosine desc, vec_id) as place from n where not kept and nth <= 4 - has)
+select vec_id, label, cosine from n where kept union all select vec_id, label, cosine from f where place <= 20 - all_kept""")
 def per_kind_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.per_kind_floor(nearest(spark, sf_dir, 60), "label", [F.desc("cosine"), F.col("vec_id")], 20, 2)
+    """Twenty of the nearest, at least two deserving and at most four of each label."""
+    return H.per_kind_floor(nearest(spark, sf_dir, 60), "label", [F.desc("cosine"), F.col("vec_id")], 20, 2, 4, F.col("vec_id") % 3 > 0)
 
 
 TERMS = ("license", "apache", "mit")
