@@ -6,6 +6,7 @@ there is no query language to parse.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -133,3 +134,66 @@ def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int =
         top.withColumn("row", F.row_number().over(w)).withColumn("prev_key", F.lag(key).over(w)).withColumn("next_key", F.lead(key).over(w))
         .where((F.col("row") > number * size) & (F.col("row") <= (number + 1) * size))
     )
+
+
+#: Columns that filters and facets may name.
+FIELDS = (
+    "collection_dataset", "file_types", "file_extensions", "mime_types", "languages", "email_from", "email_to", "email_domains", "entities", "locations", "organisations", "persons",
+    "dates", "mentioned_dates", "file_size_bytes", "money", "tags", "ancestors",
+)
+
+
+def queryable(field: str) -> str:
+    """The field itself, if filters may name it."""
+    if field not in FIELDS:
+        raise ValueError(f"no such field: {field}")
+    return field
+
+
+def within(low: float | None, high: float | None, column: Column) -> Column:
+    """A closed range that may be open at either end; with no bound all rows, nulls too."""
+    if low is not None and high is not None and low > high:
+        raise ValueError(f"the range from {low} to {high} is inverted")
+    test = F.lit(True)
+    if low is not None:
+        test = test & (column >= low)
+    if high is not None:
+        test = test & (column <= high)
+    return F.coalesce(test, F.lit(False)) if low is not None or high is not None else test
+
+
+def order_of(name: str, asked: str, newest: Column, score: Column, keys: Sequence[str]) -> list[Column]:
+    """Sort keys; by relevance without any words to match means by date. Ties go by the keys."""
+    by = newest if name == "date" or not asked.strip() else score
+    return [by.desc_nulls_last(), *[F.col(k).asc() for k in keys]]
+
+
+def assert_readable(dataset: str, permitted: Sequence[str]) -> str:
+    """The dataset itself, if the user may read it."""
+    if dataset not in permitted:
+        raise PermissionError(f"{dataset} may not be read")
+    return dataset
+
+
+def collections_of(selected: Sequence[str], known: Sequence[str]) -> list[str]:
+    """Of known collections those that a selection of datasets, named collection_dataset, needs; all without a selection."""
+    return [c for c in known if not selected or any(s == c or s.startswith(f"{c}_") for s in selected)]
+
+
+def highlight_spans(text: Column, terms: Sequence[str]) -> Column:
+    """(start, end) from 1, end not included, of the stretches that the terms cover, whatever their
+    case; spans that overlap or touch are one."""
+
+    def spans(term: str) -> Column:
+        between = F.split(F.lower(text), "(?=" + re.escape(term.lower()) + ")")
+        start = F.aggregate(between, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(p.startswith(term.lower()), F.concat(s["out"], F.array(s["at"]))).otherwise(s["out"]).alias("out")))
+        return F.transform(start["out"], lambda i: F.struct(i.alias("start"), (i + len(term)).alias("end")))
+
+    every = F.array_sort(F.flatten(F.array(*[spans(t) for t in terms])))
+
+    def join(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        wider = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"]), wider).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(every, F.slice(every, 1, 0), join)

@@ -90,3 +90,25 @@ def test_money_columns_and_functions(spark):
     assert {"dq_slug", "dq_lines", "dq_hash63"} <= set(sqlfunctions.register(spark))
     assert spark.sql("select dq_slug('A b!'), dq_size_bucket(5), dq_hash63('x') >= 0").first()[:] == ("a_b", "small", True)
     assert [r["line"] for r in spark.sql("select line from dq_lines('a\nb') order by line_number").collect()] == ["a", "b"]
+
+
+def test_what_a_search_may_ask(spark):
+    import pytest
+
+    from docquarry.operators import search as S
+
+    assert S.queryable("file_types") == "file_types" and S.assert_readable("a_b", ["a_b"]) == "a_b"
+    for bad, kind in ((lambda: S.queryable("evil"), ValueError), (lambda: S.within(2, 1, F.col("x")), ValueError), (lambda: S.assert_readable("a_b", []), PermissionError)):
+        with pytest.raises(kind):
+            bad()
+    assert S.collections_of([], ["a", "b"]) == ["a", "b"] and S.collections_of(["a_x"], ["a", "b"]) == ["a"]
+    rows = spark.createDataFrame([(1, 5, 0.1), (2, 9, 0.9), (3, None, 0.5)], "id int, x int, s double")
+    assert [r["id"] for r in rows.where(S.within(None, 5, F.col("x"))).collect()] == [1] and rows.where(S.within(None, None, F.col("x"))).count() == 3
+    by = lambda asked: [r["id"] for r in rows.orderBy(*S.order_of("relevance", asked, F.col("x"), F.col("s"), ["id"])).collect()]
+    assert by(" ") == [2, 1, 3] and by("word") == [2, 3, 1]
+    text = "The other theme: THE end, lathe"
+    spans = spark.createDataFrame([(text,), ("",)], "t string").select(S.highlight_spans(F.col("t"), ["the", "heme", "end", "er"]).alias("s")).collect()
+    marked = [any(text.lower()[i - k : i - k + len(t)] == t and i - k >= 0 for t in ("the", "heme", "end", "er") for k in range(len(t))) for i in range(len(text))]
+    assert [tuple(x) for x in spans[1]["s"]] == []
+    got = [any(a <= i + 1 < b for a, b in spans[0]["s"]) for i in range(len(text))]
+    assert got == marked and all(b < c for (_, b), (c, _) in zip(spans[0]["s"], spans[0]["s"][1:]))
