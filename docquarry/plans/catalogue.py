@@ -117,27 +117,31 @@ def display_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.display_url(F.col("url")).alias("shown"))
 
 
-LINKS = [(1, "https://r.example/go?url=https%3A%2F%2Fa.org%2Fx%3Fy%3D1&s=2"), (2, "https://a.org/x?url=plain"), (3, "https://s.example/l?q=http://b.org/z")]
-
-
-@query("select * from (values (1, 'https://a.org/x?y=1'), (2, 'https://a.org/x?url=plain'), (3, 'http://b.org/z')) v(id, url)")
+@query(r"""with l as (select page_id, case when page_id % 2 = 0 then 'https://r.example/go?url=' || url_encode(url) || '&s=2' else url end as link from pages),
+t as (select page_id, link, regexp_extract(link, '[?&](?:url|u|q)=(https?(?:://|%3A%2F%2F)[^&#]*)', 1) as inside from l) select page_id, case when inside <> '' then url_decode(inside) else link end as url from t""")
 def unwrap_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(LINKS, "id int, url string").select("id", T.unwrap_redirect(F.col("url")).alias("url"))
-
-
-HEADERS = [(1, '[["From","a@x"],["subject","One"],["Subject","Two"]]'), (2, '[["To","b@x"]]')]
+    """Every other page's URL within a redirect, and taken out of it again."""
+    wrapped = F.concat(F.lit("https://r.example/go?url="), F.url_encode("url"), F.lit("&s=2"))
+    link = F.when(F.col("page_id") % 2 == 0, wrapped).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", T.unwrap_redirect(link).alias("url"))
 
 
-@query("select * from (values (1, 'One'), (2, null)) v(id, subject)")
+@query("select conv_id, (min(turn) filter (role = 'assistant'))::varchar as first_answer from conversations group by 1")
 def header_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(HEADERS, "id int, pairs string").select("id", T.first_header(F.col("pairs"), "Subject").alias("subject"))
+    """A conversation's turns as pairs of name and value in JSON; the first value of a name."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    pairs = F.to_json(F.transform(turns, lambda t: F.array(t["role"], t["turn"].cast("string"))))
+    convs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(pairs.alias("pairs"))
+    return convs.select("conv_id", T.first_header(F.col("pairs"), "Assistant").alias("first_answer"))
 
 
-@query("select * from (values ('ocr:tess:deu+eng', 'tess', 'deu,eng'), ('raw_text', null, null)) v(key, engine, languages)")
+@query("""with k as (select n_nationkey, n_regionkey, list_sort([lower(substr(n_name, 1, 3)), 'eng']) as l from nation)
+select n_nationkey, case when n_regionkey > 0 then 'ocr:e' || n_regionkey || ':' || array_to_string(l, '+') else 'raw_text' end as key, case when n_regionkey > 0 then 'e' || n_regionkey end as engine, case when n_regionkey > 0 then array_to_string(l, ',') end as languages from k""")
 def variant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = T.variant_key(F.lit("tess"), F.array(F.lit("eng"), F.lit("deu")))
-    keys = spark.range(2).select(F.when(F.col("id") == 0, made).otherwise("raw_text").alias("key")).select("key", T.parse_variant_key(F.col("key")).alias("v"))
-    return keys.select("key", "v.engine", F.array_join("v.languages", ",").alias("languages"))
+    """Keys of OCR variants made of an engine and languages, and taken apart again."""
+    made = T.variant_key(F.concat(F.lit("e"), F.col("n_regionkey").cast("string")), F.array(F.lower(F.substring("n_name", 1, 3)), F.lit("eng")))
+    keys = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_regionkey") > 0, made).otherwise("raw_text").alias("key")).withColumn("v", T.parse_variant_key(F.col("key")))
+    return keys.select("n_nationkey", "key", "v.engine", F.array_join("v.languages", ",").alias("languages"))
 
 
 @query("select item_id, md5('passage: ' || trim(regexp_replace(text, '\\s+', ' ', 'g'))) as digest from benchmark")

@@ -299,20 +299,24 @@ def reconcile_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.where(F.col("at") < F.lit("2024-01-29 20:00:00").cast("timestamp_ntz")).select("user_id", F.lit(1).alias("tombstone"))
 
 
-DATES = [(1, "2020-05-06T07:08:09Z"), (2, "D:20191231235959Z"), (3, "2021-03-04"), (4, "1700-01-01"), (5, "soon"), (6, "2020-05-06T07:08:09+02:00")]
-
-
-@query("""select * from (values (1, 1588748889::bigint), (2, 1577836799::bigint), (3, 1614816000::bigint), (6, 1588741689::bigint)) v(id, at_s)""")
+@query("""select o_orderkey, case o_orderkey % 4 when 2 then epoch(date_trunc('day', o_orderdate))::bigint when 3 then epoch(o_orderdate)::bigint - 7200 else epoch(o_orderdate)::bigint end as at_s
+from orders where o_orderkey % 5 > 0 and o_orderdate < timestamp '1998-01-01'""")
 def document_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates in several notations as seconds, those of a sane range only."""
-    raw = spark.createDataFrame(DATES, "id int, raw string")
-    return raw.select("id", types.parse_date(F.col("raw")).alias("at_s")).where(types.sane_date(F.col("at_s"), F.lit("2024-01-01").cast("timestamp")))
-
-
-PATHS = ["/a/b/c.txt", "a//b/", "/", "x"]
-
-
-@query("""select * from (values ('/a/b/c.txt', '/a/b/c.txt', '/,/a,/a/b', 'c.txt'), ('a//b/', '/a/b', '/,/a', 'b'), ('/', '/', '', ''), ('x', '/x', '/', 'x')) v(raw, path, ancestors, name)""")
+    """Order dates written in four notations, some spoilt, read as seconds; those up to a year after 1997 only."""
+    at, key = F.col("o_orderdate"), F.col("o_orderkey")
+    raw = (
+        F.when(key % 4 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(key % 4 == 1, F.concat(F.lit("D:"), F.date_format(at, "yyyyMMddHHmmss"), F.lit("Z")))
+        .when(key % 4 == 2, F.date_format(at, "yyyy-MM-dd")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+    )
+    spoilt = F.when(key % 5 == 0, F.concat(F.lit("about "), raw)).otherwise(raw)
+    read = table(spark, sf_dir, "orders").select("o_orderkey", types.parse_date(spoilt).alias("at_s"))
+    return read.where(types.sane_date(F.col("at_s"), F.lit("1996-12-31 23:59:59").cast("timestamp")))
+
+
+@query("""with p as (select page_id, '/' || regexp_replace(url, '^[a-zA-Z]+://', '') || '//' as raw from pages), g as (select page_id, list_filter(string_split(raw, '/'), lambda x: x <> '') as g from p)
+select page_id, '/' || array_to_string(g, '/') as path, array_to_string(list_transform(range(0, len(g)), lambda i: '/' || array_to_string(g[1:i], '/')), ',') as ancestors, g[-1] as name from g""")
 def path_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(p,) for p in PATHS], "raw string").withColumn("path", types.normalise_path(F.col("raw")))
-    return raw.select("raw", "path", F.array_join(types.ancestors(F.col("path")), ",").alias("ancestors"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    """Paths with doubled and trailing slashes, made plain, and the folders above each."""
+    raw = F.concat(F.lit("/"), F.regexp_replace("url", "^[a-zA-Z]+://", ""), F.lit("//"))
+    pages = table(spark, sf_dir, "pages").select("page_id", types.normalise_path(raw).alias("path"))
+    return pages.select("page_id", "path", F.array_join(types.ancestors(F.col("path")), ",").alias("ancestors"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
