@@ -24,7 +24,7 @@ BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Units longer than this many characters are not remembered; the last MEMO to twice MEMO that came
 #: up are, and as many pairs of pieces.
-MEMO_CHARS, MEMO = 48, 1 << 17
+MEMO_CHARS, MEMO = 48, 3 << 16
 
 
 class Memo(dict):
