@@ -144,14 +144,24 @@ def _small(counts: DataFrame) -> DataFrame:
     return maps.select(*KEY, "s0", "s1", "s2", *[peel(less(i), SMALL, SEED_SMALL).alias(f"d{i}") for i in (1, 2)])
 
 
-def _larger(counts: DataFrame, asked: DataFrame, turn: int) -> DataFrame:
+def _counts(parts: DataFrame, *more: str) -> DataFrame:
+    """(key, more, h, mark, n0 to n2): how often each paragraph stands in the three texts. parts are
+    dealt by the key, so that neither this nor what follows by key moves them again."""
+    mark = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("side")))
+    entries = parts.select(*KEY, *more, F.explode(F.concat(mark, *[_tagged(i) for i in range(3)])).alias("e"))
+    return entries.groupBy(*KEY, *more, "e.h").agg(
+        (F.count_if(F.col("e.side") == -1) > 0).alias("mark"), *[F.count_if(F.col("e.side") == i).cast("int").alias(f"n{i}") for i in range(3)]
+    )
+
+
+def _larger(parts: DataFrame, asked: DataFrame, turn: int) -> DataFrame:
     """(key, other, blocks, d) by sketches of so many blocks, for asked documents and others: the
     differing digests, -1 if a block fails."""
     sides = F.filter(
         F.array(F.struct(F.lit(1).alias("sign"), F.xxhash64("h", "n0").alias("d"), F.col("n0").alias("n")), F.struct(F.lit(-1).alias("sign"), F.when(F.col("other") == 1, F.xxhash64("h", "n1")).otherwise(F.xxhash64("h", "n2")).alias("d"), F.when(F.col("other") == 1, F.col("n1")).otherwise(F.col("n2")).alias("n"))),
         lambda s: s["n"] > 0,
     )
-    entries = counts.join(asked, KEY).select(*KEY, "other", "blocks", F.explode(sides).alias("s"))
+    entries = _counts(parts.join(asked, KEY), "other", "blocks").select(*KEY, "other", "blocks", F.explode(sides).alias("s"))
     seed = SEED_LARGE + 10 * turn
     block = F.pmod(F.xxhash64("s.d", F.lit(SEED_BLOCK + turn)), F.col("blocks")).cast("int")
     name = [*KEY, "other", "blocks"]
@@ -184,13 +194,7 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         *KEY, "copies", "n_chars", F.sha2(edited, 256).alias("sha"), paragraphs(F.col("text")).alias("p0"), paragraphs(edited).alias("p1"), F.col("next").alias("p2")
     )
     parts = materialize(spark, parts, "fingerprint-parts")
-    mark = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("side")))
-    entries = parts.select(*KEY, F.explode(F.concat(mark, *[_tagged(i) for i in range(3)])).alias("e"))
-    counts = entries.groupBy(*KEY, "e.h").agg(
-        (F.count_if(F.col("e.side") == -1) > 0).alias("mark"), *[F.count_if(F.col("e.side") == i).cast("int").alias(f"n{i}") for i in range(3)]
-    )
-    counts = materialize(spark, counts, "fingerprint-counts")
-    small = materialize(spark, _small(counts), "fingerprint-sketches")
+    small = materialize(spark, _small(_counts(parts.repartition(*KEY))), "fingerprint-sketches")
 
     size = lambda i: (F.aggregate(f"s{i}", F.lit(0).cast("long"), lambda a, c: a + c["c"]) / 3).cast("int")
     sizes = small.withColumns({f"z{i}": size(i) for i in range(3)})
@@ -198,9 +202,9 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         sizes.where(F.col(f"d{i}") < 0).select(*KEY, F.lit(i).alias("other"), F.greatest(F.lit(1), F.ceil((F.col("z0") + F.col(f"z{i}")) / LOAD)).cast("int").alias("blocks")) for i in (1, 2)
     ]
     asked = open_[0].unionByName(open_[1])
-    narrow, known, turn = counts.select(*KEY, "h", "n0", "n1", "n2"), None, 0
+    known, turn = None, 0
     while True:
-        got = materialize(spark, _larger(narrow, asked, turn), f"fingerprint-peeled-{turn}")
+        got = materialize(spark, _larger(parts, asked, turn), f"fingerprint-peeled-{turn}")
         done = got.where("d >= 0").select(*KEY, "other", "d")
         known = done if known is None else known.unionByName(done)
         asked = got.where("d < 0").select(*KEY, "other", (F.col("blocks") * 2).alias("blocks"))
