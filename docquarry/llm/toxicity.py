@@ -230,6 +230,7 @@ def choose_terms(sample: DataFrame) -> list[tuple[str, float]]:
         .groupBy("term")
         .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
         .where((F.col("a") > 0) & (F.col("a") / n1 > 3 * (F.col("b") + 0.5) / (n0 + 1)))
+        .where((F.col("a") > 1) | ~F.col("term").endswith("*"))  # what begins a single example's word says no more than the word
     )
     clipped = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
     like = lambda k, n, p: k * F.log(clipped(p)) + (n - k) * F.log(1 - clipped(p))
