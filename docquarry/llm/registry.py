@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docquarry.llm import codebooks, decontaminate, spelling
 from docquarry.llm.ann import op8_nearest
+from docquarry.llm.codebooks import op12_codebooks
+from docquarry.llm.decontaminate import op13_decontaminate
 from docquarry.llm.fingerprints import op4_fingerprints
 from docquarry.llm.licenses import GAP, LOWER, UPPER, op1_licenses
 from docquarry.llm.mixing import op9_mixing
@@ -12,6 +15,7 @@ from docquarry.llm.passages import op3_passages
 from docquarry.llm.sentencepiece import op10_sentencepiece
 from docquarry.llm.sharding import op5_sharding
 from docquarry.llm.simhash import op6_simhash
+from docquarry.llm.spelling import op11_spelling
 from docquarry.llm.suffixes import op7_repeats
 from docquarry.llm.toxicity import op2_toxicity
 
@@ -26,6 +30,9 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling": op11_spelling,
+    "op12_codebooks": op12_codebooks,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 
@@ -53,4 +60,4 @@ def shards_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"licenses_base": licenses_base, "shards_by_bytes": shards_by_bytes}
-ORACLES: dict[str, str | None] = {"licenses_base": BASE_SQL, "shards_by_bytes": SHARDS_SQL}
+ORACLES: dict[str, str | None] = {"licenses_base": BASE_SQL, "shards_by_bytes": SHARDS_SQL, "op11_spelling": spelling.SQL, "op12_codebooks": codebooks.SQL, "op13_decontaminate": decontaminate.SQL}
