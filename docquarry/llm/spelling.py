@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import materialize, release, table
+from docquarry.llm.common import materialize, release, slices, small_batches, table
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+RUN, GAP = re.compile("[a-z\u00C0-\u00FF]+"), re.compile("[^a-z\u00C0-\u00FF]")
 #: Letters counted together, of about equal shares in European prose; all others are the last group.
 GROUPS = ("e", "tw", "am", "oc", "id", "nl", "sr")
 #: Words of a block, and code points of all of them: a block of more is dealt to several by hash.
@@ -20,22 +23,44 @@ BLOCK_WORDS, BLOCK_CHARS = 256, 65536
 DIMS = 32
 
 
-def words_of(docs: DataFrame, every: int = 97) -> DataFrame:
-    """word: each letter run of the texts as it stands, A-Z lower-cased; where `every` divides the
-    crc32 of "<doc_id>:<run>" the run lacks its code point crc32 % length."""
-    runs = docs.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-        F.explode(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z\\u00C0-\\u00FF]+"), F.lit(0))).alias("run"),
-    ).select("id", F.translate("run", UPPER, LOWER).alias("run"))
-    hashed = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
-    at = F.pmod(F.col("h"), F.length("run").cast("long")).cast("int")
-    shorter = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
-    return hashed.select(F.when(F.col("h") % every == 0, shorter).otherwise(F.col("run")).alias("word"))
-
-
-def vocabulary(docs: DataFrame, least_length: int = 5, least_count: int = 3) -> DataFrame:
-    """word, n: the distinct words of `words_of` that are long and common enough."""
-    counted = words_of(docs).where(F.length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n"))
+def _runs(text: str, most: int = 1 << 20) -> Iterator[Counter]:
+    """How often letter runs stand in a text, A-Z lower-cased, for pieces cut between runs."""
+    text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    start = 0
+    while start < len(text):
+        gap = GAP.search(text, start + most)
+        end = gap.start() if gap else len(text)
+        yield Counter(RUN.findall(text, start, end))
+        start = end
+
+
+def _speller(every: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text) to (word, n): counts of the words of a few texts at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            total: Counter = Counter()
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                base = zlib.crc32(f"{doc}:".encode())
+                for runs in _runs(text or ""):
+                    for word, n in runs.items():
+                        h = zlib.crc32(word.encode(), base)
+                        if h % every == 0:
+                            at = h % len(word)
+                            word = word[:at] + word[at + 1 :]
+                        if len(word) >= least:
+                            total[word] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+    return run
+
+
+def vocabulary(docs: DataFrame, least_length: int = 5, least_count: int = 3, every: int = 97) -> DataFrame:
+    """word, n: the distinct words that are long and common enough. Words are the letter runs of the
+    texts as they stand, A-Z lower-cased; where `every` divides the crc32 of "<doc_id>:<run>" the
+    run lacks its code point crc32 % length."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
+    counted = texts.mapInArrow(_speller(every, least_length), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= least_count)
 
 
@@ -88,23 +113,29 @@ def near_pairs(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.
     return i[ok], j[ok]
 
 
+SELF, LEVEL, SHORTER = 0, 1, 2
+
+
 def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks to (word, near, near_n), both ways."""
-    held: tuple = (None, None, None, None)
+    """Pairs of blocks to (word, near, near_n), both ways. Rows come sorted by the right block, so
+    all left blocks of one kind that meet it within a batch are one matrix."""
     for batch in batches:
+        block, lefts, rights, kinds = (batch.column(c).to_pylist() for c in (0, 1, 3, 5))
+        left_n, right_n = ((batch.column(c).values.to_numpy(), batch.column(c).offsets.to_numpy()) for c in (2, 4))
+        counts = lambda n, row: n[0][n[1][row] : n[1][row + 1]]
         out: tuple[list, list, list] = ([], [], [])
-        for row in range(batch.num_rows):
-            block, lw, rw = (batch.column(c)[row].as_py() for c in (0, 1, 3))
-            if held[0] != block:
-                names = lw.split(" ")
-                held = (block, np.array(names, dtype=object), batch.column(2)[row].values.to_numpy(), _letters(names))
-            _, left, left_n, a = held
-            same = batch.column(5)[row].as_py()
-            names = rw.split(" ")
-            right, right_n, b = np.array(names, dtype=object), batch.column(4)[row].values.to_numpy(), _letters(names)
-            i, j = near_pairs(a, b, same)
-            for k, v in enumerate(((left[i], right[j]), (right[j], left[i]), (right_n[j], left_n[i]))):
-                out[k].extend(v)
+        cuts = [0, *[i for i in range(1, len(block)) if block[i] != block[i - 1]], len(block)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            names = rights[start].split(" ")
+            right, b, n = np.array(names, dtype=object), _letters(names), counts(right_n, start)
+            for kind in (SELF, LEVEL, SHORTER):
+                rows = [i for i in range(start, end) if kinds[i] == kind]
+                if rows:
+                    names = " ".join(lefts[i] for i in rows).split(" ")
+                    i, j = near_pairs(_letters(names), b, kind == SELF)
+                    left, m = np.array(names, dtype=object)[i], np.concatenate([counts(left_n, r) for r in rows])[i]
+                    for k, v in enumerate(((left, right[j]), (right[j], left), (n[j], m))):
+                        out[k].extend(v)
         if out[0]:
             words, near, n = (np.concatenate(v) for v in out)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(near, pa.string()), pa.array(n, pa.int64())], ["word", "near", "near_n"])
@@ -126,12 +157,13 @@ def near_words(spark: SparkSession, words: DataFrame) -> DataFrame:
     block = dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("word", "n")).alias("w"))
     blocks = materialize(spark, block.select(F.array_join("key", ",").alias("key"), F.col("key").alias("counts"), "chunk", F.array_join("w.word", " ").alias("words"), F.col("w.n").alias("ns")), "spelling-blocks")
     left = blocks.select(
-        F.concat_ws("/", "key", "chunk").alias("block"), F.col("key").alias("own"), F.col("chunk").alias("own_chunk"), F.col("words").alias("left_words"), F.col("ns").alias("left_ns"),
+        F.col("key").alias("own"), F.col("chunk").alias("own_chunk"), F.col("words").alias("left_words"), F.col("ns").alias("left_ns"),
         F.explode(F.transform(_neighbours(F.col("counts")), lambda k: F.array_join(k, ","))).alias("key"),
     )
-    met = left.join(blocks.drop("counts"), "key").where((F.col("own") != F.col("key")) | (F.col("own_chunk") <= F.col("chunk")))
-    same = (F.col("own") == F.col("key")) & (F.col("own_chunk") == F.col("chunk"))
-    links = met.select("block", "left_words", "left_ns", "words", "ns", same.alias("same")).mapInArrow(_linker, "word string, near string, near_n long")
+    met = left.join(blocks.drop("counts").hint("merge"), "key").where((F.col("own") != F.col("key")) | (F.col("own_chunk") <= F.col("chunk")))
+    size = lambda c: F.length(F.substring_index(c, " ", 1))
+    kind = F.when(size("left_words") < size("words"), SHORTER).when((F.col("own") == F.col("key")) & (F.col("own_chunk") == F.col("chunk")), SELF).otherwise(LEVEL)
+    links = met.select(F.concat_ws("/", "key", "chunk"), "left_words", "left_ns", "words", "ns", kind).mapInArrow(_linker, "word string, near string, near_n long")
     out = materialize(spark, links, "spelling-links")
     release(spark, keyed, blocks)
     return out
@@ -163,6 +195,7 @@ def variants(spark: SparkSession, docs: DataFrame, ratio: int = 2) -> DataFrame:
 
     Returns word, form, root, n, n_near, form_n.
     """
+    small_batches(spark)
     words = materialize(spark, vocabulary(docs), "spelling-words")
     links = near_words(spark, words)
     best = links.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
