@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.intervals import range_join
 from docquarry.session import shared_dir
+from docquarry.staging import drop, keep
+from docquarry.versioned import n_per_group
 
 
 def star_edges(nodes: DataFrame, key: str, by: Sequence[str], kind: str) -> DataFrame:
@@ -75,29 +77,56 @@ def edge_counts(edges: DataFrame) -> DataFrame:
 
 def ego(edges: DataFrame, start: int, depth: int = 3, most: int = 50) -> DataFrame:
     """(node, hops) within `depth` hops of a node, the nearest `most`, then by node."""
+    return _reached(edges, start, depth).orderBy("hops", "node").limit(most)
+
+
+def _reached(edges: DataFrame, start: int, depth: int) -> DataFrame:
+    """(node, hops) of all nodes within `depth` hops."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     seen = edges.sparkSession.createDataFrame([(start, 0)], "node long, hops int")
     for hop in range(1, depth + 1):
         step = both.join(seen.where(F.col("hops") == hop - 1).select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         seen = seen.unionByName(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
-    return seen.orderBy("hops", "node").limit(most)
+    return seen
 
 
 def ego_flags(edges: DataFrame, start: int, depth: int = 3, most: int = 50) -> DataFrame:
     """(nodes, more_nodes, more_depth): the size of what `ego` returns, and whether nodes within reach
     were left out, or any lie beyond it."""
-    wide = ego(edges, start, depth + 1, most * most)
+    wide = _reached(edges, start, depth + 1)
     inside = F.count_if(F.col("hops") <= depth)
     return wide.agg(F.least(inside, F.lit(most)).cast("long").alias("nodes"), (inside > most).alias("more_nodes"), (F.count_if(F.col("hops") > depth) > 0).alias("more_depth"))
 
 
+def ancestors(parents: DataFrame, depth: int = 64, most: int = 4096) -> DataFrame:
+    """(node, ancestor, hops, truncated) over (node, parent) rows with several parents and cycles.
+
+    Each round goes one hop up from the pairs that the last one found, and keeps only pairs that
+    aren't known: work grows with the pairs, not with the ways between them. A node has the fewest
+    hops to each ancestor and isn't its own. Nodes that have over `most` ancestors keep the nearest,
+    ties by name, and stop; they and nodes with more than `depth` hops above them are truncated.
+    """
+    edges = keep(parents.select("node", "parent").where("node <> parent").distinct(), "closure-edges")
+    up = edges.select(F.col("node").alias("ancestor"), "parent")
+    fresh = keep(edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("hops")), "closure-pairs")
+    known, hops, rounds = fresh, 1, [fresh]
+    while True:
+        full = known.groupBy("node").count().where(F.col("count") > most).select("node")
+        above = fresh.join(full, "node", "left_anti").join(up, "ancestor").select("node", F.col("parent").alias("ancestor")).where("node <> ancestor").distinct()
+        fresh = keep(above.join(known, ["node", "ancestor"], "left_anti").withColumn("hops", F.lit(hops + 1)), "closure-pairs")
+        rounds.append(fresh)
+        if hops == depth or not fresh.limit(1).count():
+            break
+        known, hops = known.unionByName(fresh), hops + 1
+    # What a hop more would have found is truncated, like what is over `most`.
+    deep = fresh.select("node").distinct().withColumn("_deep", F.lit(True))
+    large = known.groupBy("node").agg((F.count("*") > most).alias("_large"))
+    out = n_per_group(known, ["node"], ["hops", "ancestor"], most).join(large, "node").join(deep, "node", "left")
+    out = keep(out.select("node", "ancestor", "hops", (F.col("_large") | F.coalesce("_deep", F.lit(False))).alias("truncated")), "closure")
+    drop(edges, *rounds)
+    return out
+
+
 def closure(parents: DataFrame, depth: int = 64) -> DataFrame:
-    """(node, ancestor, hops) over (node, parent) rows with several parents and cycles; the fewest
-    hops to each ancestor, by a recursive query that keeps what is new."""
-    parents.createOrReplaceTempView("_parents")
-    return parents.sparkSession.sql(
-        f"""with recursive up(node, ancestor, hops) as (
-              select node, parent, 1 from _parents
-              union all select u.node, p.parent, u.hops + 1 from up u join _parents p on u.ancestor = p.node where u.hops < {depth} and p.parent <> u.node)
-            select node, ancestor, min(hops) as hops from up group by node, ancestor"""
-    )
+    """(node, ancestor, hops) over (node, parent) rows with several parents and cycles: all within `depth` hops."""
+    return ancestors(parents, depth, 1 << 62).select("node", "ancestor", "hops")

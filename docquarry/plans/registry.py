@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from docquarry.plans import catalogue, extraction, graphs, index, intake, joins, operations, processing, ranking, search, streams  # noqa: F401
+    from docquarry.plans import catalogue, extraction, graphs, index, intake, joins, operations, processing, ranking, search, storing, streams  # noqa: F401
 
 
 _load()
