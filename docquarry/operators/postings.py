@@ -77,6 +77,10 @@ def _invert(group: int, docs: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
 BLOCK = "term string, grp int, n int, total long, max_tf int, min_len int, ids array<long>, tfs array<int>, lens array<int>, places array<array<int>>"
 
 
+#: Columns of the tables' files.
+TABLES = {"postings": BLOCK, "terms": "term string, df long, cf long", "grams": "gram string, term string", "docs": "doc_id long, length int"}
+
+
 def _inverter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grp, doc_id, lower-cased text), sorted by group, to blocks."""
     group, held, words = None, [], 0
@@ -118,7 +122,8 @@ class Index:
         found = self.generations()
         if not found:
             raise ValueError(f"there is no index in {self.path}")
-        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/gen={g}" for g in found])
+        schema = f"{TABLES[name]}, gen int" + ("" if name == "docs" else ", bucket int")
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/gen={g}" for g in found])
 
     def add(self, docs: DataFrame) -> int:
         """Index the documents whose doc_id isn't indexed yet, as a generation of its own, and give
@@ -140,10 +145,11 @@ class Index:
         # Blocks of a bucket may go to several tasks, so that a bucket of a term of all documents can be written by many.
         spread = blocks.repartition("bucket", F.pmod("grp", F.lit(max(1, groups // 64)))).sortWithinPartitions("bucket", "term", "grp")
         spread.write.mode("overwrite").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").partitionBy("bucket").parquet(at("postings"))
-        read = self.spark.read.parquet(at("postings"))
+        part = lambda name: self.spark.read.schema(f"{TABLES[name]}, bucket int").parquet(at(name))
+        read = part("postings")
         terms = read.where(~F.col("term").isin(END, EVERY)).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("total").alias("cf"))
         terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
-        grams = self.spark.read.parquet(at("terms")).select(F.explode(grams_of(F.col("term"))).alias("gram"), "term").withColumn("bucket", _bucket("gram", GRAM_BUCKETS))
+        grams = part("terms").select(F.explode(grams_of(F.col("term"))).alias("gram"), "term").withColumn("bucket", _bucket("gram", GRAM_BUCKETS))
         grams.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("bucket", "gram", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
         every = read.where((F.col("bucket") == bucket_of(EVERY, BUCKETS)) & (F.col("term") == EVERY))
         every.select(F.explode(F.arrays_zip("ids", "lens")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.lens").alias("length")).write.mode("overwrite").parquet(at("docs"))
