@@ -2,10 +2,11 @@
 
 Below the index's folder:
 
-* `postings/gen=/bucket=`: blocks (term, grp, n, total, max_tf, min_len, ids, tfs, lens, places). A block holds a term's
-  places in the documents of one group; documents are dealt to groups of about GROUP by hash, the
-  same for all terms, so that a group's bound is the sum of its blocks' bounds. Whole numbers are
-  delta-packed and sorted terms prefix-coded by the file format.
+* `postings/gen=/bucket=`: blocks (term, grp, n, max_tf, min_len, ids, lens, ends, places). A block holds a term's
+  places in the documents of one group, one after another; those of its k-th document end at the
+  k-th of `ends`. Documents are dealt to groups of about GROUP by hash, the same for all terms, so
+  that a group's bound is the sum of its blocks' bounds. Whole numbers are delta-packed and sorted
+  terms prefix-coded by the file format.
 * `terms/gen=/bucket=`: (term, df, cf), the dictionary.
 * `grams/gen=/bucket=`: (gram, term), the character n-grams of the dictionary's terms.
 * `docs/gen=`: (doc_id, length), written last: a generation without it doesn't count.
@@ -20,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.search import B, K1
 
-BUCKETS, GRAM_BUCKETS, GROUP, GRAM = 32, 8, 256, 3
+BUCKETS, GRAM_BUCKETS, GROUP, GRAM = 32, 8, 512, 3
 #: Words of a block's documents held at once; a group with more comes in several blocks a term.
 PART_WORDS = 1_000_000
 END, EVERY = ".", ""
-_TOKEN = re.compile(rb"[a-z0-9]+|[.!?]+(?=[ \t\r\n]|\Z)")
+_MARK = b"\x01"
+_ENDING = re.compile(rb"[.!?]+(?=[ \t\r\n]|\Z)")
+_PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c == 1 else 32 for c in range(256))
 
 
 def bucket_of(term: str, buckets: int) -> int:
@@ -47,14 +51,24 @@ def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
 
 
+def _split(text: str) -> list[bytes]:
+    """"" once, then words and marks of ends of sentences in their order."""
+    return [b"", *_ENDING.sub(b" \x01 ", text.encode().replace(_MARK, b" ")).translate(_PLAIN).split()]
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _invert(group: int, docs: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
     """Blocks of some documents of a group: words sorted by term, keeping the order of documents and places."""
-    known: dict[bytes, int] = {b"": 0, b".": 1}
-    size = np.array([len(words) + 1 for _, words in docs])
-    term = np.fromiter((known.setdefault(b"." if w[:1] in b".!?" and w else w, len(known)) for _, words in docs for w in (b"", *words)), np.int64, int(size.sum()))
+    known = _Numbers({b"": 0, _MARK: 1})
+    size = np.array([len(words) for _, words in docs])
+    term = np.fromiter(map(known.__getitem__, chain.from_iterable(words for _, words in docs)), np.int64, int(size.sum()))
     doc = np.repeat(np.arange(len(docs)), size)
-    word = term > 1
-    before = np.concatenate(([0], np.cumsum(word)))
+    before = np.concatenate(([0], np.cumsum(term > 1)))
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     place = before[:-1] - before[first][doc]
     length = before[np.cumsum(size)] - before[first]
@@ -63,18 +77,19 @@ def _invert(group: int, docs: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
     run = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(doc) != 0)))
     tfs = np.diff(np.append(run, len(term)))
     block = np.flatnonzero(np.append(True, np.diff(term[run]) != 0))
+    n = np.diff(np.append(block, len(run)))
     ids, lens = np.array([d for d, _ in docs], np.int64)[doc[run]], length[doc[run]]
-    names = np.array([w.decode() for w in known], dtype=object)[term[run][block]]
+    ends = run + tfs - np.repeat(run[block], n)
+    words = [END if w == _MARK else w.decode() for w in known]
     columns = {
-        "term": pa.array(names, pa.string()), "grp": pa.array(np.full(len(block), group), pa.int32()), "n": pa.array(np.diff(np.append(block, len(run))), pa.int32()),
-        "total": pa.array(np.add.reduceat(tfs, block), pa.int64()), "max_tf": pa.array(np.maximum.reduceat(tfs, block), pa.int32()), "min_len": pa.array(np.minimum.reduceat(lens, block), pa.int32()),
-        "ids": _lists(ids, block, pa.int64()), "tfs": _lists(tfs, block, pa.int32()), "lens": _lists(lens, block, pa.int32()),
-        "places": pa.ListArray.from_arrays(pa.array(np.append(block, len(run)), pa.int32()), _lists(place, run, pa.int32())),
+        "term": pa.array([words[t] for t in term[run][block].tolist()], pa.string()), "grp": pa.array(np.full(len(block), group), pa.int32()), "n": pa.array(n, pa.int32()),
+        "max_tf": pa.array(np.maximum.reduceat(tfs, block), pa.int32()), "min_len": pa.array(np.minimum.reduceat(lens, block), pa.int32()),
+        "ids": _lists(ids, block, pa.int64()), "lens": _lists(lens, block, pa.int32()), "ends": _lists(ends, block, pa.int32()), "places": _lists(place, run[block], pa.int32()),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-BLOCK = "term string, grp int, n int, total long, max_tf int, min_len int, ids array<long>, tfs array<int>, lens array<int>, places array<array<int>>"
+BLOCK = "term string, grp int, n int, max_tf int, min_len int, ids array<long>, lens array<int>, ends array<int>, places array<int>"
 
 
 #: Columns of the tables' files.
@@ -85,15 +100,16 @@ def _inverter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grp, doc_id, lower-cased text), sorted by group, to blocks."""
     group, held, words = None, [], 0
     for batch in batches:
+        groups, docs = (batch.column(i).to_pylist() for i in (0, 1))
         for at in range(batch.num_rows):
-            g, doc, text = (c[at].as_py() for c in batch.columns)
+            g, doc, text = groups[at], docs[at], batch.column(2)[at].as_py()
             if g == group and held and held[-1][0] == doc:
                 words -= len(held.pop()[1])
             elif held and (g != group or words >= PART_WORDS):
                 yield _invert(group, held)
                 held, words = [], 0
             group = g
-            held.append((doc, _TOKEN.findall((text or "").encode())))
+            held.append((doc, _split(text or "")))
             words += len(held[-1][1])
     if held:
         yield _invert(group, held)
@@ -147,7 +163,7 @@ class Index:
         spread.write.mode("overwrite").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").partitionBy("bucket").parquet(at("postings"))
         part = lambda name: self.spark.read.schema(f"{TABLES[name]}, bucket int").parquet(at(name))
         read = part("postings")
-        terms = read.where(~F.col("term").isin(END, EVERY)).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("total").alias("cf"))
+        terms = read.where(~F.col("term").isin(END, EVERY)).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(F.get("ends", F.size("ends") - 1)).cast("long").alias("cf"))
         terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
         grams = part("terms").select(F.explode(grams_of(F.col("term"))).alias("gram"), "term").withColumn("bucket", _bucket("gram", GRAM_BUCKETS))
         grams.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("bucket", "gram", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
@@ -194,6 +210,18 @@ class Index:
         return out
 
 
+def _documents(placed: bool) -> Column:
+    """A block as (ids, lens, tf, places) of its documents, without places unless asked for."""
+
+    def of(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+        tf = F.get("ends", i) - before
+        places = F.slice("places", before + 1, tf) if placed else F.lit(None).cast("array<int>")
+        return F.struct(x.alias("ids"), F.get("lens", i).alias("lens"), tf.alias("tf"), places.alias("places"))
+
+    return F.transform("ids", of)
+
+
 def idf(n: int, df: int) -> float:
     return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -221,8 +249,8 @@ def top(index: Index, weights: dict[str, float], k: int, every: bool = False) ->
     groups = groups.where(F.col("held") == len(words)) if every else groups
 
     def scored(blocks: DataFrame) -> DataFrame:
-        each = blocks.select("leaf", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("d"))
-        score = weight[F.col("leaf")] * impact(F.col("d.tfs"), F.col("d.lens"), mean)
+        each = blocks.select("leaf", F.explode(_documents(False)).alias("d"))
+        score = weight[F.col("leaf")] * impact(F.col("d.tf"), F.col("d.lens"), mean)
         out = each.groupBy(F.col("d.ids").alias("doc_id")).agg(F.sum(score).alias("score"), F.count("*").alias("held"))
         return (out.where(F.col("held") == len(words)) if every else out).select("doc_id", "score")
 
@@ -456,16 +484,15 @@ def search(index: Index, node: Node) -> DataFrame:
     n, mean = index.statistics()
     blocks = index.blocks([*words, END] if ends else words, patterns)
     df = {r["leaf"]: r["df"] for r in blocks.groupBy("leaf").agg(F.sum("n").alias("df")).collect()}
-    columns = ["ids", "tfs", "lens", *(["places"] if placed else [])]
-    each = blocks.select("leaf", F.explode(F.arrays_zip(*columns)).alias("d"))
+    each = blocks.select("leaf", F.explode(_documents(placed)).alias("d"))
     none = F.lit(None).cast("array<int>")
     if patterns:
         # A pattern's terms may share a document: their counts add, their places mix.
         df |= {r["leaf"]: r["df"] for r in each.where(F.col("leaf").isin(patterns)).groupBy("leaf").agg(F.count_distinct("d.ids").alias("df")).collect()}
         places = F.array_sort(F.flatten(F.collect_list("d.places"))) if placed else none
-        each = each.groupBy(F.col("d.ids").alias("doc_id"), "leaf").agg(F.first("d.lens").alias("len"), F.sum("d.tfs").alias("tf"), places.alias("places"))
+        each = each.groupBy(F.col("d.ids").alias("doc_id"), "leaf").agg(F.first("d.lens").alias("len"), F.sum("d.tf").alias("tf"), places.alias("places"))
     else:
-        each = each.select(F.col("d.ids").alias("doc_id"), "leaf", F.col("d.lens").alias("len"), F.col("d.tfs").cast("long").alias("tf"), (F.col("d.places") if placed else none).alias("places"))
+        each = each.select(F.col("d.ids").alias("doc_id"), "leaf", F.col("d.lens").alias("len"), F.col("d.tf").cast("long").alias("tf"), F.col("d.places").alias("places"))
     docs = each.groupBy("doc_id").agg(F.max("len").alias("len"), F.map_from_entries(F.collect_list(F.struct("leaf", F.struct("tf", "places")))).alias("at"))
     weight = lambda leaf: F.lit(idf(n, df.get(leaf, 0)))
     gain = {leaf: F.coalesce(weight(leaf) * impact(F.col("at")[leaf]["tf"], F.col("len"), mean), F.lit(0.0)) for leaf in [*words, *patterns]}
