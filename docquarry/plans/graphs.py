@@ -11,44 +11,34 @@ from docquarry.functions import types
 from docquarry.operators import graph as G
 from docquarry.plans.registry import query
 
-MAIL = [
-    (1, "<a@x>", "", "Budget plan", 1000, "ann,bob"), (2, "<b@x>", "<a@x>", "Re: Budget plan", 2000, "bob,ann"), (3, "<a@x>", "", "Budget plan", 1000, "ann,bob"),
-    (4, "<d@x>", "<zz@x> <b@x>", "AW: Budget plan", 3000, "cyd"), (5, "<e@x>", "", "Other", 500, "eve"), (6, "<f@x>", "", "Re: Other", 900, "eve,ann"), (7, "<g@x>", "", "Hi", 100, "ann"), (8, "<h@x>", "", "Re: Hi", 200, "ann"),
-]
-
-
-def mail(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(MAIL, "id long, message string, refs string, subject string, at long, people string")
-    return rows.select(
-        "id", T.normalise_message_id(F.col("message")).alias("message"), T.split_message_ids(F.col("refs")).alias("refs"), T.normalise_subject(F.col("subject")).alias("subject"),
-        (T.subject_prefix_kind(F.col("subject")) != "none").alias("marked"), "at", F.split("people", ",").alias("people"),
+def mail_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as messages: equal texts are one, each refers to the turn before it, an answer follows earlier ones of its role."""
+    turns = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 10000 + F.col("turn")).alias("id"), F.md5("text").alias("body"), F.concat(F.lit("<"), "conv_id", F.lit("."), "turn", F.lit("@X>")).alias("message"),
+        F.concat(F.lit("<none@x> <"), "conv_id", F.lit("."), F.col("turn") - 1, F.lit("@x>")).alias("refs"), F.concat(F.lit("Re: conversation "), "conv_id").alias("subject"),
+        F.col("turn").alias("at"), F.array("role").alias("people"), (F.col("role") == "assistant").alias("marked"),
     )
-
-
-def mail_edges(spark: SparkSession) -> DataFrame:
-    nodes = mail(spark)
+    nodes = turns.withColumns({"message": T.normalise_message_id(F.col("message")), "refs": T.split_message_ids(F.col("refs")), "subject": T.normalise_subject(F.col("subject"))})
     return (
-        G.star_edges(nodes, "id", ["message"], "identity").unionByName(G.parent_edges(nodes, "id", "message", F.col("refs"), "reply"))
-        .unionByName(G.follow_edges(nodes, "id", "subject", "at", "people", "marked", 90 * 86400)).dropDuplicates(["src", "dst", "kind"])
+        G.star_edges(nodes, "id", ["body"], "identity").unionByName(G.parent_edges(nodes, "id", "message", F.col("refs"), "reply"))
+        .unionByName(G.follow_edges(nodes, "id", "subject", "at", "people", "marked", 10)).dropDuplicates(["src", "dst", "kind"])
     )
 
 
-MAIL_EDGES = f"""raw(id, message, refs, subject, "at", people) as (values {", ".join(str(r) for r in MAIL)}),
-m as (select id, lower(regexp_replace(message, '[<>]', '', 'g')) as message, list_transform(regexp_extract_all(refs, '<[^<>]+>'), lambda r: lower(regexp_replace(r, '[<>]', '', 'g'))) as refs,
-  trim(regexp_replace(lower(subject), '^(re|aw|fwd?):\\s*', '')) as subject, regexp_matches(lower(subject), '^(re|aw|fwd?):') as marked, "at", string_split(people, ',') as people from raw),
-e as (select id::bigint as src, hub::bigint as dst, 'identity' as kind from (select id, min(id) over (partition by message) as hub from m) where id <> hub
- union select a.id, b.id, 'reply' from m a join m b on list_contains(a.refs, b.message) and a.id <> b.id
- union select a.id, b.id, 'inferred' from m a join m b on a.subject = b.subject and length(a.subject) > 3 and a.marked and b."at" < a."at" and a."at" - b."at" <= 7776000 and list_has_any(a.people, b.people))"""
+MAIL_EDGES = """m as (select conv_id * 10000 + turn as id, conv_id as c, turn as t, role, md5(text) as body from conversations),
+e as (select id as src, hub as dst, 'identity' as kind from (select id, min(id) over (partition by body) as hub from m where body is not null) where id <> hub
+ union select a.id, b.id, 'reply' from m a join m b on a.c = b.c and b.t = a.t - 1
+ union select a.id, b.id, 'inferred' from m a join m b on a.c = b.c and a.role = 'assistant' and b.role = a.role and b.t < a.t and a.t - b.t <= 10)"""
 
 
 @query(f"with {MAIL_EDGES} select * from e")
 def graph_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mail_edges(spark)
+    return mail_edges(spark, sf_dir)
 
 
 @query(f"with {MAIL_EDGES} select kind, count(*) as edges, count(distinct src) as nodes from e group by 1")
 def graph_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.edge_counts(mail_edges(spark))
+    return G.edge_counts(mail_edges(spark, sf_dir))
 
 
 @query("""select doc_id as src, hub as dst, 'identity' as kind from (select doc_id, min(doc_id) over (partition by md5(text)) as hub from documents) where doc_id <> hub""")
@@ -127,15 +117,14 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(folders).groupBy("node").agg(F.min("kind").alias("kind"), F.countDistinct("page_id").alias("pages"))
 
 
-CONTAINERS = [(1, 2), (2, 3), (3, 1), (4, 2), (4, 5), (5, 6)]
-CONTAINER_VALUES = ", ".join(f"({a}::bigint, {b}::bigint)" for a, b in CONTAINERS)
-
-
-@query(f"""with recursive p(node, parent) as (values {CONTAINER_VALUES}), up(node, ancestor, hops) as (select node, parent, 1 from p
-union select u.node, p.parent, u.hops + 1 from up u join p on u.ancestor = p.node where u.hops < 12 and p.parent <> u.node) select node, ancestor, min(hops) as hops from up group by 1, 2""")
+@query("""with recursive p(node, parent) as (select conv_id * 10000 + turn, conv_id * 10000 + turn - 1 from conversations where turn > 0 union select conv_id * 10000 + turn, conv_id * 10000 from conversations where turn > 0
+ union select conv_id * 10000, conv_id * 10000 + 1 from conversations where turn = 1), up(node, ancestor, hops) as (select node, parent, 1 from p
+union select u.node, p.parent, u.hops + 1 from up u join p on u.ancestor = p.node where u.hops < 12 and p.parent <> u.node) select node, ancestor, min(hops)::int as hops from up where node <> ancestor group by 1, 2""")
 def tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers within containers, with two parents and a cycle."""
-    return G.closure(spark.createDataFrame(CONTAINERS, "node long, parent long"), 12)
+    """Turns above a turn: the one before it and the first are its parents, and the first hangs on the second, a cycle."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10000).alias("c"), "turn")
+    later = turns.where("turn > 0").select((F.col("c") + F.col("turn")).alias("node"), F.explode(F.array(F.col("c") + F.col("turn") - 1, "c")).alias("parent"))
+    return G.closure(later.unionByName(turns.where("turn = 1").select(F.col("c").alias("node"), (F.col("c") + 1).alias("parent"))), 12)
 
 
 @query(f"""with {URL_PATHS} select page_id, '/' || coalesce(' > ' || array_to_string(list_transform(range(1, len(g)), lambda i: '/' || array_to_string(g[1:i], '/')), ' > '), '') as crumbs from path where len(g) > 1""")

@@ -134,14 +134,15 @@ def below_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("r <= 2").select("conv_id", "turn", "text")
 
 
-FORMATS = ["General", "0.00", "yyyy-mm-dd", "m/d/yy h:mm", '"days" 0', "[h]:mm:ss", "0.00E+00", '#,##0 "hrs"', "[Red]0", "\\d0", "mmm-yy", "@", "_d0"]
-FORMAT_VALUES = ", ".join("('" + f.replace("'", "''") + "')" for f in FORMATS)
-
-
-@query(f"""select code, not contains(b, 'general') and regexp_matches(b, '[dmyhs]') as is_date from (select code, regexp_replace(lower(code), '"[^"]*"|\\\\.|_.|\\[[^\\]]*\\]', '', 'g') as b from (values {FORMAT_VALUES}) v(code))""")
+@query(r"""with c as (select distinct unnest(string_split_regex(text, '[ \t\r\n]+')) as code from conversations union select distinct '"' || c_mktsegment || '" 0' from customer union select distinct o_orderpriority from orders union
+select distinct '[' || p_brand || ']' || p_size || '\' || left(p_type, 1) from part), b as (select code, regexp_replace(lower(code), '"[^"]*"|\\.|_.|\[[^\]]*\]', '', 'g') as b from c where code is not null)
+select code, not contains(b, 'general') and regexp_matches(b, '[dmyhs]') as is_date from b""")
 def format_is_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number formats that show dates."""
-    codes = spark.createDataFrame([(f,) for f in FORMATS], "code string")
+    """Which words of turns, and strings made of customers, orders and parts, would show dates as number formats."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "[ \t\r\n]+")).alias("code"))
+    quoted = table(spark, sf_dir, "customer").select(F.concat(F.lit('"'), "c_mktsegment", F.lit('" 0')).alias("code"))
+    bracketed = table(spark, sf_dir, "part").select(F.concat(F.lit("["), "p_brand", F.lit("]"), F.col("p_size").cast("string"), F.lit("\\"), F.left("p_type", F.lit(1))).alias("code"))
+    codes = words.unionByName(quoted).unionByName(bracketed).unionByName(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("code"))).where("code is not null").distinct()
     return codes.select("code", N.is_date_format(F.col("code")).alias("is_date"))
 
 

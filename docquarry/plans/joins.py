@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.catalog import table
 from docquarry.operators.intervals import range_join
+from docquarry.operators.ordering import running
 from docquarry.plans.registry import query
 from docquarry.versioned import argmax, final, n_per_group, unprocessed
 
@@ -168,8 +169,12 @@ def term_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select conv_id, turn, dense_rank() over (partition by role order by conv_id) as ordinal from conversations""")
 def dense_row_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordinal = F.dense_rank().over(Window.partitionBy("role").orderBy("conv_id")).cast("long")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ordinal.alias("ordinal"))
+    """The number of a conversation among its role's: distinct pairs are numbered over their whole order, less the pairs of earlier roles."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    placed = running(turns.select("role", "conv_id").distinct(), ["role", "conv_id"]).select("role", "conv_id", "pos")
+    first = placed.groupBy("role").agg(F.min("pos").alias("first"))
+    ordinals = placed.join(first, "role").select("role", "conv_id", (F.col("pos") - F.col("first") + 1).alias("ordinal"))
+    return turns.join(ordinals, ["role", "conv_id"]).select("conv_id", "turn", "ordinal")
 
 
 @query("""select event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 600000000 preceding and current row) as recent from events""")

@@ -34,39 +34,62 @@ def near_line_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.md5("line").alias("line_hash")).agg(F.count("*").alias("places"), F.countDistinct("doc_id").alias("docs")).where("places > 1")
 
 
-MIMES = ["text/plain", "text/csv", "application/pdf", "image/png", "message/rfc822", "application/zip", "video/mp4", "audio/mpeg", "application/vnd.ms-excel", "text/html", "application/x-unknown"]
+COARSE = """case when {0} in ('message/rfc822', 'application/mbox', 'application/vnd.ms-outlook') then 'email'
+when {0} in ('text/csv', 'text/tab-separated-values', 'application/vnd.ms-excel', 'application/vnd.oasis.opendocument.spreadsheet') or contains({0}, 'spreadsheetml') then 'table'
+when {0} in ('application/zip', 'application/x-tar', 'application/gzip', 'application/x-7z-compressed', 'application/vnd.rar') then 'archive'
+when {0} = 'application/pdf' then 'pdf' when {0} = 'text/html' then 'html' when starts_with({0}, 'text/') then 'text' when starts_with({0}, 'image/') then 'image'
+when starts_with({0}, 'video/') then 'video' when starts_with({0}, 'audio/') then 'audio' else 'other' end"""
 
 
-@query(f"""select m, case when m in ('message/rfc822', 'application/mbox', 'application/vnd.ms-outlook') then 'email'
-when m in ('text/csv', 'text/tab-separated-values', 'application/vnd.ms-excel', 'application/vnd.oasis.opendocument.spreadsheet') or contains(m, 'spreadsheetml') then 'table'
-when m in ('application/zip', 'application/x-tar', 'application/gzip', 'application/x-7z-compressed', 'application/vnd.rar') then 'archive'
-when m = 'application/pdf' then 'pdf' when m = 'text/html' then 'html' when starts_with(m, 'text/') then 'text' when starts_with(m, 'image/') then 'image'
-when starts_with(m, 'video/') then 'video' when starts_with(m, 'audio/') then 'audio' else 'other' end as kind from (values {", ".join(f"('{m}')" for m in MIMES)}) t(m)""")
+@query(f"""with m as (select distinct replace(lower(p_type), ' ', '/') as m from part union select distinct 'text/' || lang from documents union
+select case when regexp_matches(url, '[.]html?([?#]|$)') then 'text/html' else 'application/octet-stream' end from pages) select m, {COARSE.format("m")} as kind from m where m is not null""")
 def mime_coarse_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in MIMES], "m string").select("m", types.coarse_type(F.col("m")).alias("kind"))
+    """Kinds of what stands as types of parts, languages and pages' addresses."""
+    parts = table(spark, sf_dir, "part").select(F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")).alias("m"))
+    languages = table(spark, sf_dir, "documents").select(F.concat(F.lit("text/"), "lang").alias("m"))
+    addresses = table(spark, sf_dir, "pages").select(types.mime_of_extension(F.regexp_extract("url", "[.](html?)([?#]|$)", 1)).alias("m"))
+    every = parts.unionByName(languages).unionByName(addresses).where("m is not null").distinct()
+    return every.select("m", types.coarse_type(F.col("m")).alias("kind"))
 
 
-SHEETS = [(1, "a,b,c\n1,2,3\n4,5,6\n7,8,9\n0,0,0"), (2, "a;b\n1;2\n3;4\n5;6\n7;8"), (3, "just words\nand, more\nlines here\nof prose\nend"), (4, "x\ty\tz\n1\t2\t3\n1\t2\t3\n1\t2\t3\n1\t2\t3"), (5, "a,b\n1,2")]
+#: Order lines as delimited text, separated by the order's state, and whole documents.
+_LINE = "concat_ws({sep}, l_linenumber, l_partkey, l_suppkey, l_returnflag)"
 
 
-@query(f"""with s(id, body) as (values {", ".join(f"({i}, '{b}')" for i, b in SHEETS)}), d(sep, pri) as (values (',', 4), (chr(9), 3), (';', 2), ('|', 1)),
+@query(f"""with s as (select 'order ' || l_orderkey as id, string_agg({_LINE.format(sep="case o_orderstatus when 'O' then ',' when 'F' then ';' else '|' end")}, chr(10) order by l_linenumber, l_partkey, l_suppkey, l_returnflag) as body
+  from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey union all select 'doc ' || doc_id, text from documents where text is not null),
+d(sep, pri) as (values (',', 4), (chr(9), 3), (';', 2), ('|', 1)),
 c as (select id, sep, pri, list_transform(string_split(body, chr(10)), lambda l: len(string_split(l, sep))) as n from s, d),
 ok as (select id, sep, n[1] as fields, len(n) as lines, row_number() over (partition by id order by n[1] desc, pri desc) as r from c where len(n) >= 5 and n[1] > 1 and len(list_distinct(n)) = 1)
 select id, sep, fields::integer as fields, lines::integer as lines from ok where r = 1""")
 def sniff_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delimiter of rectangular tables of five lines or more; the most fields win."""
-    bodies = spark.createDataFrame([(i, b.replace("\\n", "\n").replace("\\t", "\t")) for i, b in SHEETS], "id int, body string")
-    return bodies.select("id", types.sniff_table(F.col("body")).alias("t")).where("t is not null").select("id", "t.sep", "t.fields", "t.lines")
+    """Delimiter of rectangular tables of five lines or more; the most fields win. Orders' lines are tables, prose seldom is."""
+    sep = F.when(F.col("o_orderstatus") == "O", ",").when(F.col("o_orderstatus") == "F", ";").otherwise("|")
+    columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select("l_orderkey", sep.alias("sep"), F.struct(*columns).alias("l")).groupBy("l_orderkey", "sep").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    rows = F.transform("l", lambda x: F.concat_ws("\x00", *[x[c].cast("string") for c in columns]))
+    bodies = lines.select(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("id"), F.replace(F.array_join(rows, "\n"), F.lit("\x00"), F.col("sep")).alias("body"))
+    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("body"))
+    return bodies.unionByName(texts).select("id", types.sniff_table(F.col("body")).alias("t")).where("t is not null").select("id", "t.sep", "t.fields", "t.lines")
 
 
-CELLS = ["1", "007", "-5", "3.14", "1e5", "2024-02-29", "2023-02-29", "2024-01-01 10:00", "true", "9223372036854775807", "9223372036854775808", "0", "-0.5", "abc", ".5"]
+CELLS = """select p_size::varchar as t from part union select p_name from part union select lpad(p_partkey::varchar, 9, '0') from part union select p_retailprice::decimal(12, 2)::varchar from part
+union select strftime(o_orderdate, '%Y-%m-%d') from orders union select strftime(o_orderdate, '%Y-%m-') || (20 + o_orderkey % 20) from orders union select strftime(o_orderdate, '%Y-%m-%d %H:%M') from orders
+union select o_orderkey || '00000000000000' from orders union select (-o_orderkey)::varchar from orders union select o_orderpriority from orders"""
 
 
 @query(f"""select t, case when regexp_matches(t, '^-?(0|[1-9][0-9]{{0,18}})$') and try_cast(t as bigint) is not null then 'int' when regexp_matches(t, '^-?[0-9]+\\.[0-9]+$') then 'float'
 when regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}})?)?$') and try_cast(substr(t, 1, 10) as date) is not null then 'date' else 'text' end as kind
-from (values {", ".join(f"('{c}')" for c in CELLS)}) v(t)""")
+from ({CELLS}) where t is not null""")
 def cell_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in CELLS], "t string").select("t", tab.cell_kind(F.col("t")).alias("kind"))
+    """Kinds of the cells that parts and orders give as text: numbers, zeros before them, too long ones, days that a month lacks."""
+    parts, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    key, day = F.col("o_orderkey").cast("string"), lambda f: F.date_format("o_orderdate", f)
+    of_parts = [F.col("p_size").cast("string"), F.col("p_name"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.col("p_retailprice").cast("decimal(12, 2)").cast("string")]
+    of_orders = [day("yyyy-MM-dd"), F.concat(day("yyyy-MM-"), (F.col("o_orderkey") % 20 + 20).cast("string")), day("yyyy-MM-dd HH:mm"), F.concat(key, F.lit("0" * 14)), (-F.col("o_orderkey")).cast("string"), F.col("o_orderpriority")]
+    cells = parts.select(F.explode(F.array(*of_parts)).alias("t")).unionByName(orders.select(F.explode(F.array(*of_orders)).alias("t")))
+    return cells.where("t is not null").distinct().select("t", tab.cell_kind(F.col("t")).alias("kind"))
 
 
 PART_COLUMNS = ["p_name", "p_brand", "p_type", "p_size"]
@@ -113,15 +136,21 @@ def table_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return size.join(tab.matching_rows(cells, 2, F.col("cell_text") == "Brand#11"), "row_id", "left_anti")
 
 
-@query("select i, case when i <= 26 then chr(64 + i) else chr(64 + (i - 1) // 26) || chr(65 + (i - 1) % 26) end as letters from (select unnest(range(1, 300))::integer as i)")
+@query("""with p as (select p_partkey + 1 as i, p_partkey as a, p_partkey - 26 as b, p_partkey - 702 as c, p_partkey - 18278 as d from part)
+select i, case when i <= 26 then chr((65 + a)::int) when i <= 702 then chr((65 + b // 26)::int) || chr((65 + b % 26)::int) when i <= 18278 then chr((65 + c // 676)::int) || chr((65 + c // 26 % 26)::int) || chr((65 + c % 26)::int)
+else chr((65 + d // 17576)::int) || chr((65 + d // 676 % 26)::int) || chr((65 + d // 26 % 26)::int) || chr((65 + d % 26)::int) end as letters from p""")
 def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 300).select(F.col("id").cast("int").alias("i"), tab.column_letter(F.col("id")).alias("letters"))
+    """Letters of the columns that parts' numbers, from 0, stand for."""
+    at = F.col("p_partkey") + 1
+    return table(spark, sf_dir, "part").select(at.alias("i"), tab.column_letter(at).alias("letters"))
 
 
-@query("select s, (timestamp '1899-12-30' + to_days((case when s < 60 then s + 1 else s end)::integer)) as at from (select unnest([1, 59, 61, 367, 44197, 45000])::integer as s)")
+@query("select o_orderkey, date_trunc('day', o_orderdate)::timestamp as at, date_trunc('day', o_orderdate)::timestamp as at_1904 from orders")
 def excel_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = spark.createDataFrame([(s,) for s in (1, 59, 61, 367, 44197, 45000)], "s int")
-    return days.select("s", tab.excel_serial(F.col("s")).cast("timestamp_ntz").alias("at"))
+    """Orders' days, by their numbers in the systems of 1900 and of 1904."""
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))
+    at = lambda days, later: tab.excel_serial(days, later).cast("timestamp_ntz")
+    return table(spark, sf_dir, "orders").select("o_orderkey", at(days, False).alias("at"), at(days - 1462, True).alias("at_1904"))
 
 
 NOISE = [(1, "QUJD" * 40), (2, "a b c d e f g h i j " * 8), (3, " ".join(str(i) for i in range(100, 140))), (4, "#$%& ** ++ -- ~~ " * 10), (5, "plain words in a row that make a fair sentence " * 4), (6, "short")]
@@ -158,14 +187,16 @@ def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SUBJECTS = ["Re: Fwd:  Budget   2024", "AW: Re[2]: Hello", "no prefix", "  RE :  spaced", "Fw: Re: x", "Regarding: y", ""]
-
-
-@query(f"""select s, trim(regexp_replace(regexp_replace(lower(s), '^(?:\\s*(?:re|fw|fwd|aw|wg|sv|vs|antw|tr|rv)\\s*(?:\\[\\d+\\])?\\s*:)+\\s*', ''), '\\s+', ' ', 'g')) as norm,
+@query("""with c as (select conv_id, turn, case role when 'assistant' then 'Re: ' when 'system' then ' FWD : re[' || turn || ']:  ' else '' end || case when turn > 2 then 'AW: ' else '' end || left(text, 60) as s from conversations)
+select conv_id, turn, trim(regexp_replace(regexp_replace(lower(s), '^(?:\\s*(?:re|fw|fwd|aw|wg|sv|vs|antw|tr|rv)\\s*(?:\\[\\d+\\])?\\s*:)+\\s*', ''), '\\s+', ' ', 'g')) as norm,
 case when regexp_extract(lower(s), '^\\s*([a-z]+)\\s*(?:\\[\\d+\\])?\\s*:', 1) in ('fw', 'fwd', 'wg', 'vs', 'tr', 'rv') then 'forward'
-when regexp_extract(lower(s), '^\\s*([a-z]+)\\s*(?:\\[\\d+\\])?\\s*:', 1) in ('re', 'aw', 'sv', 'antw') then 'reply' else 'none' end as kind from (values {", ".join(f"('{s}')" for s in SUBJECTS)}) v(s)""")
+when regexp_extract(lower(s), '^\\s*([a-z]+)\\s*(?:\\[\\d+\\])?\\s*:', 1) in ('re', 'aw', 'sv', 'antw') then 'reply' else 'none' end as kind from c""")
 def subject_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SUBJECTS], "s string").select("s", T.normalise_subject(F.col("s")).alias("norm"), T.subject_prefix_kind(F.col("s")).alias("kind"))
+    """Turns' first words as subjects, with the marks that answers and notes would have."""
+    turn = F.col("turn").cast("string")
+    mark = F.when(F.col("role") == "assistant", F.lit("Re: ")).when(F.col("role") == "system", F.concat(F.lit(" FWD : re["), turn, F.lit("]:  "))).otherwise("")
+    s = F.concat(mark, F.when(F.col("turn") > 2, "AW: ").otherwise(""), F.left("text", F.lit(60)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise_subject(s).alias("norm"), T.subject_prefix_kind(s).alias("kind"))
 
 
 @query("""with a as (select page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') as u from pages),
@@ -208,25 +239,34 @@ def shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "source", [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], F.col("size"), 100000, 25).select("source", "doc_id", "unit")
 
 
-EVIDENCE = [(1, "application/pdf", "text/plain", 0), (2, "application/zip", "", 3), (3, "application/zip", "", 0), (4, "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/zip", 5), (5, "text/plain", "message/rfc822", 0), (6, "", "", 0), (7, "text/plain", "text/csv", 0)]
+_KINDS = "'email', 'office', 'table', 'pdf', 'html', 'image', 'video', 'audio', 'archive', 'text', 'other'"
+_FOUND = "case when regexp_matches({0}, 'officedocument|opendocument|epub') and not contains({0}, 'spreadsheet') then 'office' else " + COARSE + " end"
 
 
-@query("""select * from (values (1, 'pdf', 'content'), (2, 'archive', 'members'), (3, 'other', 'none'), (4, 'office', 'zip document'), (5, 'email', 'content'), (6, 'other', 'none'), (7, 'table', 'content')) v(id, kind, decided_by)""")
+@query(f"""with f as (select page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '[.]([a-z]+)$', 1) as ext, case when starts_with(html, '<!DOCTYPE') then 'text/html' else 'text/plain' end as b, (length(html) - length(replace(html, '<a ', ''))) // 3 as members from pages),
+e as (select page_id, case ext when 'html' then 'text/html' when 'htm' then 'text/html' when 'pdf' then 'application/pdf' when 'zip' then 'application/zip' when 'csv' then 'text/csv' when 'txt' then 'text/plain'
+  else 'application/vnd.' || case when members > 4 then 'oasis.opendocument.text' when members = 0 then 'rar' else 'x' end end as a, b, members from f),
+k as (select page_id, list_filter([{_FOUND.format("a")}, {_FOUND.format("b")}], lambda x: x <> 'archive' or members > 0) as kinds from e),
+r as (select page_id, coalesce([{_KINDS}][list_min(list_transform(kinds, lambda x: list_position([{_KINDS}], x)))], 'other') as kind from k)
+select page_id, kind, case kind when 'other' then 'none' when 'archive' then 'members' when 'office' then 'zip document' else 'content' end as decided_by from r""")
 def canonical_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One type of each file from what its detectors and parsers found."""
-    files = spark.createDataFrame(EVIDENCE, "id int, a string, b string, members int")
-    found = types.canonical_type(F.filter(F.array("a", "b"), lambda m: m != ""), F.col("members"))
-    return files.select("id", found.alias("t")).select("id", "t.kind", "t.decided_by")
-
-
-ENTITIES = [("person", "John Smith"), ("person", "re"), ("org", "12345"), ("org", "ACME Ltd"), ("loc", "x"), ("org", "aGVsbG8gd29ybGQgYmFzZTY0"), ("person", "From: Jane"), ("misc", "----"), ("person", "")]
-
-
-@query(f"""select kind, value, (length(trim(value)) < 2 or not regexp_matches(value, '[A-Za-zÀ-ÿ]') or lower(trim(value)) in ('re', 'fw', 'fwd', 'cc', 'bcc', 'to', 'from', 'subject', 'date', 'sent')
-or regexp_matches(lower(value), '^(from|to|cc|subject|sent|date)\\s*:') or (not contains(value, ' ') and length(value) >= 16 and len(regexp_extract_all(value, '[a-z][A-Z]|[A-Z][a-z]')) >= 5)) as stopped
-from (values {", ".join(f"('{k}', '{v}')" for k, v in ENTITIES)}) t(kind, value)""")
+    """One type of each page from what its address, its first characters and its links say; a page without an ending in its address passes for another document by its links."""
+    links = F.floor((F.length("html") - F.length(F.replace("html", F.lit("<a "), F.lit("")))) / 3)
+    ext = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "[.]([a-z]+)$", 1)
+    other = F.when(links > 4, "oasis.opendocument.text").when(links == 0, "rar").otherwise("x")
+    by_name = F.when(ext.isin(*types.EXTENSIONS), types.mime_of_extension(ext)).otherwise(F.concat(F.lit("application/vnd."), other))
+    by_content = F.when(F.startswith("html", F.lit("<!DOCTYPE")), "text/html").otherwise("text/plain")
+    found = table(spark, sf_dir, "pages").select("page_id", types.canonical_type(F.array(by_name, by_content), links).alias("t"))
+    return found.select("page_id", "t.kind", "t.decided_by")
+
+
+@query(r"""with e as (select distinct lang as kind, unnest(string_split_regex(text, '[ \t\r\n]+')) as value from documents)
+select kind, value, (length(trim(value)) < 2 or not regexp_matches(value, '[A-Za-zÀ-ÿ]') or lower(trim(value)) in ('re', 'fw', 'fwd', 'cc', 'bcc', 'to', 'from', 'subject', 'date', 'sent')
+or regexp_matches(lower(value), '^(from|to|cc|subject|sent|date)\s*:') or (not contains(value, ' ') and length(value) >= 16 and len(regexp_extract_all(value, '[a-z][A-Z]|[A-Z][a-z]')) >= 5)) as stopped from e where value is not null""")
 def stoplist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(ENTITIES, "kind string, value string").select("kind", "value", types.is_stopped_entity(F.col("value")).alias("stopped"))
+    """Which words of the documents would be noise as entities."""
+    words = table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), F.explode(F.split("text", "[ \t\r\n]+")).alias("value")).distinct()
+    return words.select("kind", "value", types.is_stopped_entity(F.col("value")).alias("stopped"))
 
 
 def quoted(items: DataFrame, docs: DataFrame) -> DataFrame:
