@@ -29,8 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators.search import B, K1
+from docquarry.staging import passing_shuffles
 
-BUCKETS, GRAM_BUCKETS, GROUP, GRAM = 32, 8, 512, 3
+BUCKETS, GRAM_BUCKETS, GROUP, GRAM = 32, 8, 2048, 3
+#: Documents that a task inverts, and writes a file a bucket of; few documents still go to up to SPREAD tasks.
+TASK_DOCS, SPREAD = 1 << 18, 64
 #: Words of a block's documents held at once; a group with more comes in several blocks a term.
 PART_WORDS = 1_000_000
 END, EVERY = ".", ""
@@ -154,21 +157,22 @@ class Index:
         if not count and found:
             return 0
         groups = -(-count // GROUP) or 1
+        tasks = max(-(-count // TASK_DOCS), min(SPREAD, -(-groups // 2)))
         # Rows of one doc_id come to one group, sorted by text, of which the last is taken.
-        dealt = new.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp"), "doc_id", F.lower("text").alias("text")).repartition("grp").sortWithinPartitions("grp", "doc_id", "text")
-        blocks = dealt.mapInArrow(_inverter, BLOCK).withColumn("bucket", _bucket("term", BUCKETS))
+        dealt = new.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp"), "doc_id", F.lower("text").alias("text")).repartition(tasks, "grp").sortWithinPartitions("grp", "doc_id", "text")
         at = lambda name: f"{self.path}/{name}/gen={gen}"
-        # Blocks of a bucket may go to several tasks, so that a bucket of a term of all documents can be written by many.
-        spread = blocks.repartition("bucket", F.pmod("grp", F.lit(max(1, groups // 64)))).sortWithinPartitions("bucket", "term", "grp")
-        spread.write.mode("overwrite").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").partitionBy("bucket").parquet(at("postings"))
         part = lambda name: self.spark.read.schema(f"{TABLES[name]}, bucket int").parquet(at(name))
-        read = part("postings")
-        terms = read.where(~F.col("term").isin(END, EVERY)).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(F.get("ends", F.size("ends") - 1)).cast("long").alias("cf"))
-        terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
-        grams = part("terms").select(F.explode(grams_of(F.col("term"))).alias("gram"), "term").withColumn("bucket", _bucket("gram", GRAM_BUCKETS))
-        grams.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("bucket", "gram", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
-        every = read.where((F.col("bucket") == bucket_of(EVERY, BUCKETS)) & (F.col("term") == EVERY))
-        every.select(F.explode(F.arrays_zip("ids", "lens")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.lens").alias("length")).write.mode("overwrite").parquet(at("docs"))
+        with passing_shuffles(self.spark):
+            # Texts are shuffled once, blocks never: each task writes its own file of a bucket, sorted by term.
+            blocks = dealt.mapInArrow(_inverter, BLOCK).withColumn("bucket", _bucket("term", BUCKETS)).sortWithinPartitions("bucket", "term", "grp")
+            blocks.write.mode("overwrite").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").partitionBy("bucket").parquet(at("postings"))
+            read = part("postings")
+            terms = read.where(~F.col("term").isin(END, EVERY)).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(F.get("ends", F.size("ends") - 1)).cast("long").alias("cf"))
+            terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
+            grams = part("terms").select(F.explode(grams_of(F.col("term"))).alias("gram"), "term").withColumn("bucket", _bucket("gram", GRAM_BUCKETS))
+            grams.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("bucket", "gram", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
+            every = read.where((F.col("bucket") == bucket_of(EVERY, BUCKETS)) & (F.col("term") == EVERY))
+            every.select(F.explode(F.arrays_zip("ids", "lens")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.lens").alias("length")).write.mode("overwrite").parquet(at("docs"))
         return self.spark.read.parquet(at("docs")).count()
 
     def statistics(self) -> tuple[int, float]:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.staging import delete, drop, keep
+from docquarry.staging import delete, drop, keep, passing_shuffles
 
 VARIANT = ["file_hash", "extracted_by"]
+_PART = F.pmod(F.hash(*VARIANT), F.lit(4))
 
 
 @dataclass(frozen=True)
@@ -55,9 +56,11 @@ class PageStore:
         return every.join(heads.select(*VARIANT, "gen", "bucket"), [*VARIANT, "gen", "bucket"], "left_semi")
 
     def _write(self, gen: int, pages: DataFrame, heads: DataFrame) -> None:
-        rows = pages.repartition("bucket", F.pmod(F.xxhash64(*VARIANT), F.lit(4))).sortWithinPartitions("bucket", *VARIANT, "page_id")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/pages/gen={gen}")
-        heads.write.mode("overwrite").parquet(f"{self.path}/heads/gen={gen}")
+        """`pages` come dealt by bucket and part of it, so that a bucket is written by several tasks."""
+        with passing_shuffles(self.spark):
+            rows = pages.sortWithinPartitions("bucket", *VARIANT, "page_id")
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/pages/gen={gen}")
+            heads.write.mode("overwrite").parquet(f"{self.path}/heads/gen={gen}")
 
     def _next(self) -> int:
         return 1 + max([int(p[4:]) for t in ("pages", "heads") for p in self._parts(t, False)], default=-1)
@@ -70,25 +73,34 @@ class PageStore:
         text is taken. Variants that are stored just so aren't written again.
         """
         bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
-        rows = pages.groupBy(*VARIANT, F.col("page_id").cast("int").alias("page_id")).agg(F.max(bare).alias("text"))
-        bucket = F.pmod(F.xxhash64(*VARIANT), F.lit(self.buckets)).cast("int")
-        rows = keep(rows.withColumns({"text_bytes": F.octet_length("text").cast("long"), "bucket": bucket}), "pages-put")
-        if rows.where("page_id < 1 or page_id is null").limit(1).count():
-            drop(rows)
+        given = pages.select(*VARIANT, F.col("page_id").cast("int").alias("page_id"), bare.alias("text"), self._bucket().alias("bucket"), _PART.alias("part"))
+        # First hashes alone, to see what has changed; texts of unchanged variants aren't shuffled.
+        hashed = given.groupBy("bucket", *VARIANT, "page_id").agg(F.max("text").alias("text")) if self._doubled(given) else given
+        heads = hashed.groupBy("bucket", *VARIANT).agg(F.hex(F.bit_xor(F.xxhash64("page_id", "text"))).alias("digest"), F.max("page_id").alias("last_page"), F.min(F.coalesce("page_id", F.lit(0))).alias("least"))
+        every = keep(heads, "heads-put")
+        if every.where("least < 1").limit(1).count():
+            drop(every)
             raise ValueError("page_id counts from 1")
-        digest = F.hex(F.bit_xor(F.xxhash64("page_id", "text"))).alias("digest")
-        heads = rows.groupBy(*VARIANT, "bucket").agg(digest, F.max("page_id").alias("last_page"))
-        known = self.heads()
+        known, new = self.heads(), every.select(*VARIANT, "bucket", "digest", "last_page")
         if known is not None:
-            heads = heads.join(known.select(*VARIANT, "digest", "last_page"), [*VARIANT, "digest", "last_page"], "left_anti")
-        heads = keep(heads.select(*VARIANT, "bucket", "digest", "last_page"), "heads-put")
-        changed = heads.count()
+            new = new.join(known.select(*VARIANT, "digest", "last_page"), [*VARIANT, "digest", "last_page"], "left_anti")
+        new = keep(new, "heads-put")
+        changed = new.count()
         if changed:
-            stored = rows.where(F.length("text") >= 2).join(heads.select(*VARIANT), VARIANT, "left_semi")
-            self._write(self._next(), stored.select(*VARIANT, "page_id", "text", "text_bytes", "bucket"), heads)
-        drop(rows, heads)
+            chosen = given if changed == every.count() else given.join(new.select(*VARIANT), VARIANT, "left_semi")
+            stored = chosen.where(F.length("text") >= 2).repartition("bucket", "part").groupBy("bucket", "part", *VARIANT, "page_id").agg(F.max("text").alias("text"))
+            self._write(self._next(), stored.select(*VARIANT, "page_id", "text", F.octet_length("text").cast("long").alias("text_bytes"), "bucket"), new)
+        drop(every, new)
         return changed
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*VARIANT), F.lit(self.buckets)).cast("int")
+
+    @staticmethod
+    def _doubled(given: DataFrame) -> bool:
+        """Whether any page is given twice."""
+        return bool(given.groupBy(*VARIANT, "page_id").count().where("count > 1").limit(1).count())
+
     def compact(self) -> list[int]:
         """Rewrite the buckets whose rows lie in several generations as one, delete what they had, and
         give them. Other buckets keep their files."""
@@ -100,7 +112,7 @@ class PageStore:
         if several:
             live = self._live().where(F.col("bucket").isin(several))
             chosen = keep(heads.where(F.col("bucket").isin(several)).select(*VARIANT, "bucket", "digest", "last_page"), "heads-compact")
-            self._write(self._next(), live.select(*VARIANT, "page_id", "text", "text_bytes", "bucket"), chosen)
+            self._write(self._next(), live.select(*VARIANT, "page_id", "text", "text_bytes", "bucket").repartition("bucket", _PART), chosen)
             drop(chosen)
             for p, b in folders:
                 if b in several:
