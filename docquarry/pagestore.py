@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from docquarry.staging import delete, drop, keep, passing_shuffles
 
 VARIANT = ["file_hash", "extracted_by"]
-_PART = F.pmod(F.hash(*VARIANT), F.lit(4))
 
 
 @dataclass(frozen=True)
@@ -73,7 +72,7 @@ class PageStore:
         text is taken. Variants that are stored just so aren't written again.
         """
         bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
-        given = pages.select(*VARIANT, F.col("page_id").cast("int").alias("page_id"), bare.alias("text"), self._bucket().alias("bucket"), _PART.alias("part"))
+        given = pages.select(*VARIANT, F.col("page_id").cast("int").alias("page_id"), bare.alias("text"), self._bucket().alias("bucket"), self._part().alias("part"))
         # First hashes alone, to see what has changed; texts of unchanged variants aren't shuffled.
         hashed = given.groupBy("bucket", *VARIANT, "page_id").agg(F.max("text").alias("text")) if self._doubled(given) else given
         heads = hashed.groupBy("bucket", *VARIANT).agg(F.hex(F.bit_xor(F.xxhash64("page_id", "text"))).alias("digest"), F.max("page_id").alias("last_page"), F.min(F.coalesce("page_id", F.lit(0))).alias("least"))
@@ -96,6 +95,11 @@ class PageStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*VARIANT), F.lit(self.buckets)).cast("int")
 
+    @staticmethod
+    def _part() -> Column:
+        """Of a bucket's variants, those that one task writes."""
+        return F.pmod(F.hash(*VARIANT), F.lit(4))
+
     @staticmethod
     def _doubled(given: DataFrame) -> bool:
         """Whether any page is given twice."""
@@ -112,7 +116,7 @@ class PageStore:
         if several:
             live = self._live().where(F.col("bucket").isin(several))
             chosen = keep(heads.where(F.col("bucket").isin(several)).select(*VARIANT, "bucket", "digest", "last_page"), "heads-compact")
-            self._write(self._next(), live.select(*VARIANT, "page_id", "text", "text_bytes", "bucket").repartition("bucket", _PART), chosen)
+            self._write(self._next(), live.select(*VARIANT, "page_id", "text", "text_bytes", "bucket").repartition("bucket", self._part()), chosen)
             drop(chosen)
             for p, b in folders:
                 if b in several:
