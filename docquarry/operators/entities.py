@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import checksums as C
+from docquarry.functions import wallets as W
 from docquarry.functions.entities import iso_6346
 
 
@@ -53,6 +54,12 @@ def degrees(pair: Column, side: int) -> Column:
     return F.trim(F.get(F.split(pair, ","), F.lit(side))).cast("double")
 
 
+def one_case_low(address: Column) -> Column:
+    """Capitals are kept only where they are a checksum."""
+    digits = F.substr(address, F.lit(3))
+    return F.when(digits == F.upper(digits), F.lower(address)).otherwise(address)
+
+
 RULES = (
     Rule("email", "email.basic", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,24}", 90, lambda m: ~F.contains(m, F.lit("..")) & (F.instr(m, "@") <= 65), lower_domain),
     Rule("network", "network.ip", r"\b[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\b", 60, octets),
@@ -69,7 +76,8 @@ RULES = (
     Rule("money", "money.iso_code", r"\b(?:USD|EUR|GBP|JPY|CHF) ?[0-9]{1,3}(?:,[0-9]{3})*(?:[.][0-9]{2})?\b", 55, value=lambda m: F.regexp_replace(m, "[ ,]", "")),
     Rule("phone", "phone.e164", r"[+][1-9][0-9 ().-]{6,18}[0-9]", 45, lambda m: F.length(plus_digits(m)).between(9, 16), lambda m: plus_digits(m)),
     Rule("national_id", "national_id.us_ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 72, lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$")),
-    Rule("crypto_wallet", "crypto.hex40", r"\b0x[0-9a-fA-F]{40}\b", 87, value=F.lower),
+    Rule("crypto_wallet", "crypto.ethereum", r"\b0x[0-9a-fA-F]{40}\b", 87, W.eip55, one_case_low),
+    Rule("crypto_wallet", "crypto.bitcoin", W.PATTERN, 86, W.bitcoin, lambda m: F.when(m.startswith("BC1"), F.lower(m)).otherwise(m)),
     Rule("coordinates", "coordinates.decimal", r"-?[0-9]{1,2}[.][0-9]{3,}, ?-?[0-9]{1,3}[.][0-9]{3,}", 40, lambda m: degrees(m, 0).between(-90, 90) & degrees(m, 1).between(-180, 180)),
     Rule("cargo_container", "container.iso6346", r"\b[A-Z]{3}[UJZ] ?[0-9]{6} ?[0-9]\b", 74, iso_6346, no_spaces),
     Rule("network", "network.asn", r"\bAS[0-9]{1,10}\b", 58, lambda m: F.substr(m, F.lit(3)).cast("decimal(10,0)").between(1, 4294967295)),
