@@ -73,6 +73,11 @@ def parse_date(raw: Column) -> Column:
     return F.unix_seconds(F.coalesce(*tries))
 
 
+def nearest_second(at: Column) -> Column:
+    """A time rounded to the nearest second, halves to the even one."""
+    return F.timestamp_seconds(F.rint(F.unix_micros(at.cast("timestamp")) / 1e6).cast("long"))
+
+
 def sane_date(seconds: Column, now: Column) -> Column:
     """From 1800 to a year after now."""
     return seconds.between(F.lit(-5364662400), F.unix_seconds(now) + 365 * 86400)
