@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators.intervals import range_join
-from docquarry.session import shared_dir
 from docquarry.staging import drop, keep
 from docquarry.versioned import n_per_group
 
@@ -39,30 +38,31 @@ def follow_edges(nodes: DataFrame, key: str, subject: str, at: str, people: str,
     return near.select("src", "dst", F.lit(kind).alias("kind")).distinct()
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) with the least of each src and its neighbours. Tables are joined by sorting:
+    one of small numbers packs so well that its files don't tell what a broadcast takes in the driver."""
+    return edges.join(edges.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least")).hint("merge"), "src")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that can be reached. Labels spread to neighbours and to
-    their labels' labels; each round is checkpointed, and rounds end when no label falls."""
-    both = _checkpoint(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
-    total = None
+    """(node, component): the least node that can be reached, by star contraction. Each round links
+    larger neighbours, then all, to the least around a node, and is written and read back; rounds end
+    when no edge changes."""
+    down = lambda e: e.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    now, mark = keep(down(edges), "component-edges"), None
     while True:
-        labels = _checkpoint(labels)
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("_near"))
-        fallen = labels.join(near, "node").select("node", F.least("component", "_near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("_far"))
-        labels = fallen.join(jump, "component", "left").select("node", F.least("component", "_far").alias("component"))
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+        both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        large = down(_with_least(both).where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")))
+        small = _with_least(large)
+        linked = small.select(F.col("dst").alias("src"), F.col("least").alias("dst")).unionByName(small.select("src", F.col("least").alias("dst")))
+        before, now = now, keep(down(linked), "component-edges")
+        drop(before)
+        after = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        if after == mark:
+            break
+        mark = after
+    roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
+    return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
 
 
 def clusters(labels: DataFrame, key: str = "node", label: str = "component") -> DataFrame:
