@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +63,15 @@ def within_budget(ranked: DataFrame, order: Sequence[Column | str], cost: Column
 
 def hash_embedding(tokens: Column, dim: int = 64) -> Column:
     """A deterministic stand-in for an embedding service: signed token counts in `dim` buckets, for tests and offline use."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: F.aggregate(
-            F.filter(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)) == d), F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        ),
-    )
+    # Each token is hashed once: 2 * bucket, and 1 more for the negative sign.
+    codes = F.transform(tokens, lambda t: (F.pmod(F.xxhash64(t), F.lit(dim)) * 2 + F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2))).cast("int"))
+
+    def sums(column: pa.Array) -> pa.Array:
+        """Null tokens have null sums."""
+        code = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        total = np.bincount(row * dim + code // 2, 1.0 - 2 * (code % 2), len(column) * dim)
+        values = pa.array(total, mask=np.repeat(column.is_null().to_numpy(zero_copy_only=False), dim))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1) * dim, pa.int32()), values)
+
+    return F.arrow_udf(sums, "array<double>")(codes)
