@@ -59,3 +59,20 @@ def test_any_number_of_holders(spark):
     expected |= {1000 + i: 9 for i in range(9)} | {5000: 9}
     got = {r["doc_id"]: r["n_links"] for r in passages.report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == expected
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_commonest_seeds_lose_no_link(spark, monkeypatch, block):
+    """Twelve words stand first in a hub, then in 40 texts whose words go on otherwise, but alike in pairs: the hub, and all runs of equal seeds, link none of these."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(5)
+    text = lambda n: [rng.choice(WORDS) + str(rng.randrange(4000)) for _ in range(n)]
+    head = next(h for h in (text(12) for _ in range(999)) if len(passages.seeds_of(passages.word_ids(" ".join(h).encode()))[0]) >= 2)
+    tails = [t for t in (text(40) for _ in range(2000)) if not len(passages.seeds_of(passages.word_ids(" ".join(t[:30]).encode()))[0]) > 2][:20]
+    rows = [(d, " ".join([*text(20), *head, *text(20)])) for d in range(20)]
+    for k, tail in enumerate(tails):
+        other = [w if i % 7 else "x" + w for i, w in enumerate(tail, 1)]
+        rows += [(100 + 2 * k, " ".join([*text(20), *head, *tail])), (101 + 2 * k, " ".join([*text(20), *head, *other]))]
+    got = {r["doc_id"]: r for r in passages.report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d]["n_links"] == 0 for d in range(20))
+    assert all(got[d]["n_links"] == 1 and got[d]["class_id"] == d // 2 * 2 for d in range(100, 100 + 2 * len(tails)))
