@@ -84,6 +84,21 @@ def test_mixing(spark, docs, none, weights):
     assert ordered.columns == docs.columns and sorted(map(repr, ordered.collect())) == sorted(map(repr, docs.collect()))
 
 
+def test_mixing_query_schedules_several_classes(spark, tmp_path):
+    """Sources of 4, 64 and 1024 rows and without a name weigh 2, 8, 32 and 4, and their turns show it."""
+    sizes = {"a": 4, "b": 64, "c": 1024, None: 16}
+    rows = [(1000 * k + i, f"{s} {i}", s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["source"]: r["weight"] for r in mixing.tempered_weights(docs).collect()} == {"a": 2.0, "b": 8.0, "c": 32.0, mixing.NO_SOURCE: 4.0}
+    got = mixing.op9_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    share = {"a": (2, 46), "b": (8, 46), "c": (32, 46), None: (4, 46)}
+    for r in got:
+        q, length = share[r["source"]]
+        assert r["release"] == r["block"] * length // q and r["deadline"] == -((r["block"] + 1) * length // -q) and r["release"] <= r["turn"] < r["deadline"]
+
+
 def test_mixing_keeps_within_one_block(spark):
     """Against the exact shares, over all turns; a weight of 0.0004 too."""
     weights = {"a": 0.5, "b": 0.25, "c": 0.2496, "d": 0.0004}
