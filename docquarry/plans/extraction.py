@@ -155,7 +155,9 @@ t as (select p_partkey, 'bc1' || array_to_string(list_transform(list_concat(v, l
 select p_partkey, case when p_partkey % 3 = 0 then a[:20] || case when a[21] = 'q' then 'p' else 'q' end || a[22:] else a end as address, p_partkey % 3 <> 0 as ok from t""")
 def segwit_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bitcoin addresses of hashes of parts' keys, one character of each third changed, and whether they are right."""
-    made = table(spark, sf_dir, "part").select("p_partkey", W.segwit_address(F.substring(F.sha2(F.col("p_partkey").cast("string"), 256), 1, 40)).alias("a"))
+    # Rows are few bytes but much work: they are dealt to all cores, however few files or row groups hold them.
+    keys = table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism * 4, "p_partkey")
+    made = keys.select("p_partkey", W.segwit_address(F.substring(F.sha2(F.col("p_partkey").cast("string"), 256), 1, 40)).alias("a"))
     changed = F.concat(F.substring("a", 1, 20), F.when(F.substring("a", 21, 1) == "q", "p").otherwise("q"), F.substr("a", F.lit(22)))
     address = made.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, changed).otherwise(F.col("a")).alias("address"))
     return address.select("p_partkey", "address", W.bitcoin(F.col("address")).alias("ok"))

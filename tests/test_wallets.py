@@ -63,3 +63,10 @@ def test_wallets_in_texts(spark):
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     got = {(r["doc_id"], r["value"]) for r in E.scan(df).where("kind = 'crypto_wallet'").collect()}
     assert got == {(1, GOOD[0]), (1, GOOD[3]), (1, "0x" + CAPITALS[0]), (1, "0x" + CAPITALS[1].lower())}
+
+
+def test_segwit_addresses_are_dealt_to_all_cores(spark):
+    """One small file of keys is the work of more than one task."""
+    from docquarry.plans import registry
+
+    assert registry.QUERIES["segwit_addresses"](spark, "/root/testdata/sf0.001").withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
