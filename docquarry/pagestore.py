@@ -52,10 +52,27 @@ class PageStore:
             return self.spark.createDataFrame([], "file_hash string, extracted_by string, page_id int, text string, text_bytes long, gen int, bucket int")
         parts = [p for p in self._parts("heads", True) if p in self._parts("pages", False)]
         every = self.spark.read.option("basePath", f"{self.path}/pages").parquet(*[f"{self.path}/pages/{p}" for p in parts])
+        # What the newest generation of a bucket wrote counts whole: no text of it is joined, nor shuffled.
+        whole = F.lit(False)
+        for gen, buckets in self._newest().items():
+            whole = whole | ((F.col("gen") == gen) & F.col("bucket").isin(buckets))
+        return every.where(whole).unionByName(self._joined(every.where(~whole), heads))
+
+    def _newest(self) -> dict[int, list[int]]:
+        """Buckets by the newest generation that has heads in them."""
+        parts = self._parts("heads", True)
+        every = self.spark.read.option("basePath", f"{self.path}/heads").parquet(*[f"{self.path}/heads/{p}" for p in parts])
+        out: dict[int, list[int]] = {}
+        for r in every.groupBy("bucket").agg(F.max("gen").alias("gen")).collect():
+            out.setdefault(r["gen"], []).append(r["bucket"])
+        return out
+
+    @staticmethod
+    def _joined(every: DataFrame, heads: DataFrame) -> DataFrame:
         return every.join(heads.select(*VARIANT, "gen", "bucket"), [*VARIANT, "gen", "bucket"], "left_semi")
 
     def _write(self, gen: int, pages: DataFrame, heads: DataFrame) -> None:
-        """`pages` come dealt by bucket and part of it, so that a bucket is written by several tasks."""
+        """Each task writes a file a bucket of what it has, so that texts needn't be shuffled for it."""
         with passing_shuffles(self.spark):
             rows = pages.sortWithinPartitions("bucket", *VARIANT, "page_id")
             rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/pages/gen={gen}")
@@ -74,7 +91,8 @@ class PageStore:
         bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
         given = pages.select(*VARIANT, F.col("page_id").cast("int").alias("page_id"), bare.alias("text"), self._bucket().alias("bucket"), self._part().alias("part"))
         # First hashes alone, to see what has changed; texts of unchanged variants aren't shuffled.
-        hashed = given.groupBy("bucket", *VARIANT, "page_id").agg(F.max("text").alias("text")) if self._doubled(given) else given
+        doubled = self._doubled(given)
+        hashed = given.groupBy("bucket", *VARIANT, "page_id").agg(F.max("text").alias("text")) if doubled else given
         heads = hashed.groupBy("bucket", *VARIANT).agg(F.hex(F.bit_xor(F.xxhash64("page_id", "text"))).alias("digest"), F.max("page_id").alias("last_page"), F.min(F.coalesce("page_id", F.lit(0))).alias("least"))
         every = keep(heads, "heads-put")
         if every.where("least < 1").limit(1).count():
@@ -87,7 +105,9 @@ class PageStore:
         changed = new.count()
         if changed:
             chosen = given if changed == every.count() else given.join(new.select(*VARIANT), VARIANT, "left_semi")
-            stored = chosen.where(F.length("text") >= 2).repartition("bucket", "part").groupBy("bucket", "part", *VARIANT, "page_id").agg(F.max("text").alias("text"))
+            stored = chosen.where(F.length("text") >= 2)
+            if doubled:
+                stored = stored.repartition("bucket", "part").groupBy("bucket", "part", *VARIANT, "page_id").agg(F.max("text").alias("text"))
             self._write(self._next(), stored.select(*VARIANT, "page_id", "text", F.octet_length("text").cast("long").alias("text_bytes"), "bucket"), new)
         drop(every, new)
         return changed

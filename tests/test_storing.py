@@ -197,3 +197,19 @@ def test_ego_counts_all_within_reach(spark):
     assert tuple(graph.ego_flags(edges, 0, 2, 5).first()) == (5, True, True)
     assert tuple(graph.ego_flags(edges, 0, 3, 50).first()) == (33, False, False)
     assert [r["node"] for r in graph.ego(edges, 0, 2, 5).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_newest_pages_are_read_without_a_join(spark, tmp_path):
+    """After compaction no text is joined or shuffled to read the pages; pages replaced by nothing go."""
+    from docquarry.pagestore import PageStore
+
+    store = PageStore(spark, f"{tmp_path}/pages", 2)
+    rows = [(f"f{i}", "text", 1, f"text {i}") for i in range(40)]
+    columns = "file_hash string, extracted_by string, page_id int, text string"
+    store.put(spark.createDataFrame(rows, columns))
+    store.put(spark.createDataFrame([(f"f{i}", "text", 1, "") for i in range(0, 40, 4)], columns))
+    kept = {f"text {i}" for i in range(40) if i % 4}
+    assert {r["text"] for r in store.pages().collect()} == kept
+    store.put(spark.createDataFrame([("f1", "text", 1, "other"), ("f0", "text", 1, "back")], columns))
+    store.compact()
+    assert {r["text"] for r in store.pages().collect()} == kept - {"text 1"} | {"other", "back"}
