@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from docquarry.llm import links, passages
@@ -76,3 +78,37 @@ def test_commonest_seeds_lose_no_link(spark, monkeypatch, block):
     got = {r["doc_id"]: r for r in passages.report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[d]["n_links"] == 0 for d in range(20))
     assert all(got[d]["n_links"] == 1 and got[d]["class_id"] == d // 2 * 2 for d in range(100, 100 + 2 * len(tails)))
+
+
+def test_places_of_a_seed_against_all_pairs():
+    """Lines that texts repeat, some edited: the links and stretches of all pairs of places, each but a few times."""
+    rng = random.Random(9)
+    seed = [7, 8, 9, 10, 11]
+    lines = [[*seed, *[rng.randrange(20, 400) for _ in range(rng.randrange(2, 22))]] for _ in range(4)]
+    rows, texts = [], {}
+    for key in range(12):
+        words = []
+        for _ in range(25):
+            words += [w if rng.random() > 0.04 else rng.randrange(400, 9000) for w in rng.choice(lines)]
+        texts[key] = np.array(words, np.uint16)
+        for at in (i for i in range(len(words)) if words[i : i + 5] == seed):
+            first = max(0, at - passages.AROUND)
+            rows.append((1, 0, 0, 0, len(rows), key, at, 0, True, at - first, texts[key][first : at + passages.K + passages.AROUND]))
+    links_, spans = set(), set()
+    for x in rows:
+        for y in rows:
+            if x[5] < y[5]:
+                n, m = passages._equal_run(x[10][: x[9]][::-1], y[10][: y[9]][::-1]), passages._equal_run(x[10][x[9] :], y[10][y[9] :])
+                whole = [(x[9] - n, x[9] + m, y[9] - n, y[9] + m)] if n + m >= 30 else passages.align(x[10], y[10], [(x[9], y[9])])
+                for lo, hi, plo, phi in whole:
+                    p, q = x[6] - x[9], y[6] - y[9]
+                    links_ |= {(x[5], y[5]), (y[5], x[5])}
+                    spans |= {(x[5], lo + p, hi + p), (y[5], plo + q, phi + q)}
+    kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.int32()] * 2, pa.bool_(), pa.int32(), pa.binary()]
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    columns[10] = [w.tobytes() for w in columns[10]]
+    batch = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list("abcdefghijk"))
+    got = [r for found in passages._hot_passages(iter([batch])) for r in found.to_pylist()]
+    assert len(links_) > 20 and len(spans) > 50
+    assert {(r["key"], r["other"]) for r in got} == links_ and {(r["key"], r["lo"], r["hi"]) for r in got} == spans
+    assert len(got) <= len(links_) + len(spans)
