@@ -21,7 +21,6 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,17 +64,20 @@ class _Numbers(dict):
         return n
 
 
-def _invert(group: int, docs: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
-    """Blocks of some documents of a group: words sorted by term, keeping the order of documents and places."""
-    known = _Numbers({b"": 0, _MARK: 1})
+def _numbers() -> _Numbers:
+    return _Numbers({b"": 0, _MARK: 1})
+
+
+def _invert(group: int, docs: list[tuple[int, np.ndarray]], known: _Numbers) -> pa.RecordBatch:
+    """Blocks of some documents of a group, of numbers of known words: sorted by term, keeping the order of documents and places."""
     size = np.array([len(words) for _, words in docs])
-    term = np.fromiter(map(known.__getitem__, chain.from_iterable(words for _, words in docs)), np.int64, int(size.sum()))
-    doc = np.repeat(np.arange(len(docs)), size)
-    before = np.concatenate(([0], np.cumsum(term > 1)))
+    term = np.concatenate([words for _, words in docs])
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), size)
+    before = np.concatenate((np.zeros(1, np.int32), np.cumsum(term > 1, dtype=np.int32)))
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     place = before[:-1] - before[first][doc]
     length = before[np.cumsum(size)] - before[first]
-    order = np.argsort(term, kind="stable")
+    order = np.argsort(term, kind="stable").astype(np.int32)
     term, doc, place = term[order], doc[order], place[order]
     run = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(doc) != 0)))
     tfs = np.diff(np.append(run, len(term)))
@@ -101,7 +103,8 @@ TABLES = {"postings": BLOCK, "terms": "term string, df long, cf long", "grams":
 
 def _inverter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grp, doc_id, lower-cased text), sorted by group, to blocks."""
-    group, held, words = None, [], 0
+    # Words are held as numbers of 4 bytes: as Python's strings they would take some ten times that.
+    group, held, words, known = None, [], 0, _numbers()
     for batch in batches:
         groups, docs = (batch.column(i).to_pylist() for i in (0, 1))
         for at in range(batch.num_rows):
@@ -109,13 +112,13 @@ def _inverter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if g == group and held and held[-1][0] == doc:
                 words -= len(held.pop()[1])
             elif held and (g != group or words >= PART_WORDS):
-                yield _invert(group, held)
-                held, words = [], 0
-            group = g
-            held.append((doc, _split(text or "")))
-            words += len(held[-1][1])
+                yield _invert(group, held, known)
+                held, words, known = [], 0, _numbers()
+            group, split = g, _split(text or "")
+            held.append((doc, np.fromiter(map(known.__getitem__, split), np.int32, len(split))))
+            words += len(split)
     if held:
-        yield _invert(group, held)
+        yield _invert(group, held, known)
 
 
 def grams_of(term: Column, size: int = GRAM) -> Column:

@@ -157,3 +157,25 @@ def test_an_index_of_nothing(spark, tmp_path):
     none = P.Index(spark, str(tmp_path / "none"))
     none.add(spark.createDataFrame([], "doc_id long, text string"))
     assert none.statistics() == (0, 1.0) and P.search(none, T("apache")).count() == 0
+
+
+def test_inverter_holds_words_as_numbers():
+    """Words of a group take few bytes each while they are held: in the test before the blocks are made, as Python's strings over 60."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from docquarry.operators import postings
+
+    def batches(peaks):
+        for b in range(8):
+            yield pa.record_batch([pa.array([0] * 64), pa.array(range(64 * b, 64 * b + 64)), pa.array([" ".join(f"w{(i * 7 + d) % 900}" for i in range(200)) for d in range(64)])], ["grp", "doc_id", "text"])
+            peaks.append(tracemalloc.get_traced_memory()[0])
+
+    tracemalloc.start()
+    try:
+        before, peaks = tracemalloc.get_traced_memory()[0], []
+        rows = sum(b.num_rows for b in postings._inverter(batches(peaks)))
+    finally:
+        tracemalloc.stop()
+    assert rows == 901 and (peaks[-1] - before) / (8 * 64 * 200) < 20
