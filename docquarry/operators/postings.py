@@ -32,7 +32,7 @@ from docquarry.staging import passing_shuffles
 
 BUCKETS, GRAM_BUCKETS, GROUP, GRAM = 32, 8, 2048, 3
 #: Documents that a task inverts, and writes a file a bucket of; few documents still go to up to SPREAD tasks.
-TASK_DOCS, SPREAD = 1 << 18, 64
+TASK_DOCS, SPREAD = 1 << 15, 64
 #: Words of a block's documents held at once; a group with more comes in several blocks a term.
 PART_WORDS = 1_000_000
 END, EVERY = ".", ""
@@ -172,8 +172,9 @@ class Index:
             read = part("postings")
             terms = read.where(~F.col("term").isin(END, EVERY)).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(F.get("ends", F.size("ends") - 1)).cast("long").alias("cf"))
             terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
-            grams = part("terms").select(F.explode(grams_of(F.col("term"))).alias("gram"), "term").withColumn("bucket", _bucket("gram", GRAM_BUCKETS))
-            grams.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("bucket", "gram", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
+            # Terms are shuffled, not their grams, which are several times as many.
+            grams = part("terms").select("term").repartition(max(BUCKETS, tasks), "term").select(F.explode(grams_of(F.col("term"))).alias("gram"), "term").withColumn("bucket", _bucket("gram", GRAM_BUCKETS))
+            grams.sortWithinPartitions("bucket", "gram", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("grams"))
             every = read.where((F.col("bucket") == bucket_of(EVERY, BUCKETS)) & (F.col("term") == EVERY))
             every.select(F.explode(F.arrays_zip("ids", "lens")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.lens").alias("length")).write.mode("overwrite").parquet(at("docs"))
         return self.spark.read.parquet(at("docs")).count()

@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.operators import postings as P
 from docquarry.operators import search as S
@@ -180,3 +181,21 @@ def test_inverter_holds_words_as_numbers():
     finally:
         tracemalloc.stop()
     assert rows == 901 and (peaks[-1] - before) / (8 * 64 * 200) < 20
+
+
+def test_terms_are_dealt_before_their_grams(spark, tmp_path):
+    """All grams of a term are written by one task: what is shuffled is terms."""
+    from docquarry.operators import postings
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = postings.Index(spark, str(tmp_path / "grams"))
+        index.add(spark.createDataFrame([(d, " ".join(f"word{i * d % 97}s" for i in range(40))) for d in range(60)], "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    grams = index.table("grams").withColumn("task", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1))
+    assert {r["n"] for r in grams.groupBy("term").agg(F.count_distinct("task").alias("n")).collect()} == {1}
+    terms = {r["term"] for r in index.dictionary().collect()}
+    expected = {(f"^{t}$"[i : i + 3], t) for t in terms for i in range(len(t))}
+    assert sorted((r["gram"], r["term"]) for r in grams.collect()) == sorted(expected) and len(terms) > 50
