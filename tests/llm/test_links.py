@@ -112,3 +112,39 @@ def test_places_of_a_seed_against_all_pairs():
     assert len(links_) > 20 and len(spans) > 50
     assert {(r["key"], r["other"]) for r in got} == links_ and {(r["key"], r["lo"], r["hi"]) for r in got} == spans
     assert len(got) <= len(links_) + len(spans)
+
+
+def test_repeated_words_are_few_places(spark):
+    """Texts that repeat one word from 30 to 400 times: few seeds each, all linked, and each repeat shared as a whole."""
+    for word in WORDS[:20]:
+        assert len(passages.seeds_of(passages.word_ids(f"{word} ".encode() * 400))[0]) <= 1 + passages.RESYNC
+    rng = random.Random(13)
+    text = lambda n: [rng.choice(WORDS) + str(rng.randrange(4000)) for _ in range(n)]
+    counts = [30, 400, *[rng.randrange(30, 200) for _ in range(22)]]
+    rows = [(d, " ".join([*text(20), *["of"] * n, *text(20)])) for d, n in enumerate(counts)]
+    rows += [(100, " ".join([*text(20), *["to"] * 90, *text(20)])), (101, " ".join([*text(20), *["of"] * 12, *text(20)]))]
+    rows += [(200 + d, " ".join([*text(20), *["as"] * n, *text(20)])) for d, n in enumerate((31, 150))]
+    got = {r["doc_id"]: r for r in passages.report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[d]["n_links"], got[d]["class_id"], got[d]["passages"]) == (len(counts) - 1, 0, f"20-{19 + n}") for d, n in enumerate(counts))
+    assert all((got[d]["n_links"], got[d]["passages"]) == (0, "") for d in (100, 101))
+    assert [(got[d]["n_links"], got[d]["class_id"], got[d]["passages"]) for d in (200, 201)] == [(1, 200, "20-50"), (1, 200, "20-169")]
+
+
+def test_found_links_and_stretches_by_themselves(monkeypatch):
+    """What is handed on of the passages found: each two texts once, and a text's stretches that meet as one, whatever the batches."""
+    rng = random.Random(17)
+    rows = [(rng.randrange(6), rng.randrange(6, 12), lo, lo + rng.randrange(30, 60), 0) for lo in (rng.randrange(900) for _ in range(400))]
+    rows += [(o, k, lo, hi, 0) for k, o, lo, hi, _ in rows]
+    batches = [passages._found([tuple(np.array(c) for c in zip(*rows[at : at + 50], strict=True))], at == 0) for at in range(0, len(rows), 50)]
+    for most in (1 << 15, 2):
+        monkeypatch.setattr(passages, "PAIRS", most)
+        monkeypatch.setattr(passages, "_hot_passages", lambda given: given)
+        got = [r for b in passages._gathered(iter(batches)) for r in b.to_pylist()]
+        assert [r for r in got if r["equal"]] == batches[0].to_pylist()
+        links_ = [(r["key"], r["other"]) for r in got if not r["equal"] and r["other"] is not None]
+        assert set(links_) == {(min(r[:2]), max(r[:2])) for r in rows[50:]}
+        words = lambda spans: {(k, w) for k, lo, hi in spans for w in range(lo, hi)}
+        runs = [(r["key"], r["lo"], r["hi"]) for r in got if r["other"] is None]
+        assert words(runs) == words((r[0], r[2], r[3]) for r in rows[50:])
+        if most > 2:
+            assert len(links_) == len(set(links_)) and all(a[0] != b[0] or a[2] < b[1] for a, b in zip(sorted(runs), sorted(runs)[1:]))
