@@ -148,3 +148,18 @@ def test_found_links_and_stretches_by_themselves(monkeypatch):
         assert words(runs) == words((r[0], r[2], r[3]) for r in rows[50:])
         if most > 2:
             assert len(links_) == len(set(links_)) and all(a[0] != b[0] or a[2] < b[1] for a, b in zip(sorted(runs), sorted(runs)[1:]))
+
+
+def test_seeds_of_many_texts_at_once():
+    """Texts chosen seeds of together have those that each has by itself, repeats and short or empty ones too; runs never go on into the next text."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice([["of"] * n, [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(n)]])).encode() for n in [0, 3, 4, 5, 40, 0, *[rng.randrange(200) for _ in range(60)]]]
+    starts, words = passages._words(b"\n".join(texts))
+    bounds = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
+    at, seeds = passages.seeds_of(words, bounds)
+    alone = [passages.seeds_of(passages.word_ids(t)) for t in texts]
+    assert at.tolist() == [int(b + x) for b, (a, _) in zip(bounds, alone) for x in a]
+    assert seeds.tolist() == [x for _, s in alone for x in s.tolist()]
+    text = np.repeat(np.arange(len(texts)), [len(a) for a, _ in alone])
+    runs = [passages.runs_of(np.zeros(len(a), int), a, s) for a, s in alone]
+    assert passages.runs_of(text, at, seeds).tolist() == [x for r in runs for x in r.tolist()]
